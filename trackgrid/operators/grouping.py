@@ -16,13 +16,14 @@ FRAMES_PER_GROUP = 64
 def _labels(kind: np.ndarray, mode: str) -> np.ndarray:
     """Smallest cell number of each cell's component; ``kind`` is (frames, rows, cols) with a zero border."""
     label = np.where(kind > 0, np.arange(kind.size).reshape(kind.shape), kind.size)
-    links = [(r, c) for r, c in ORTHOGONAL + DIAGONAL[mode] if (r, c) > (0, 0)]
-    links += [(-r, -c) for r, c in DIAGONAL[mode] if (r, c) < (0, 0) and (-r, -c) not in links]
+    straight = [(r, c) for r, c in ORTHOGONAL if (r, c) > (0, 0)]
     while True:
         before = label.copy()
-        for r, c in links:
+        for r, c in straight + DIAGONAL[mode]:
             near = np.roll(kind, (-r, -c), axis=(1, 2))
-            joined = (kind > 0) & (near > 0) & ((kind == 1) | (near == 1))
+            # a straight link needs an original at either end, a diagonal one at the end it starts from
+            start = (kind == 1) | ((near == 1) if r == 0 or c == 0 else False)
+            joined = (kind > 0) & (near > 0) & start
             low = np.where(joined, np.minimum(label, np.roll(label, (-r, -c), axis=(1, 2))), label)
             label = np.minimum(low, np.roll(np.where(joined, low, kind.size), (r, c), axis=(1, 2)))
         flat = np.append(label.ravel(), kind.size)

@@ -81,18 +81,15 @@ def anchor_consistency(anchors: DataFrame, matches: DataFrame) -> DataFrame:
     video, frame_idx, l_track_id, r_track_id. An unmatched anchor is incorrect.
     """
     by = [c for c in ("variant_id",) if c in anchors.columns] + ["video"]
-    pair = matches.select(*by, "frame_idx", F.col("l_track_id").alias("track_id"), F.col("r_track_id").alias("_pred"))
-    around = with_neighbours(anchors.select(*by, "track_id", "frame_idx"), [*by, "track_id"], "frame_idx", ["frame_idx"],
-                             backward="prev")
-    out = around.join(pair, [*by, "frame_idx", "track_id"], "left")
-    for way in ("next", "prev"):
-        there = pair.select(*by, "track_id", F.col("frame_idx").alias(f"{way}_frame_idx"), "_pred",
-                            F.lit(True).alias(f"_{way}"))
-        out = out.join(there, [*by, "track_id", f"{way}_frame_idx", "_pred"], "left")
+    on = [c for c in by if c in matches.columns]
+    pair = matches.select(*on, "frame_idx", F.col("l_track_id").alias("track_id"), F.col("r_track_id").alias("_pred"))
+    seen = anchors.select(*by, "track_id", "frame_idx").join(pair, [*on, "frame_idx", "track_id"], "left")
+    # Matching is one-to-one in a frame, so the pair holds at a frame when the track's match there is the same one.
+    around = with_neighbours(seen, [*by, "track_id"], "frame_idx", ["frame_idx", "_pred"], backward="prev")
     ok = F.col("_pred").isNotNull()
     for way in ("next", "prev"):
-        ok = ok & (F.col(f"{way}_frame_idx").isNull() | F.coalesce(F.col(f"_{way}"), F.lit(False)))
-    return out.select(*by, "frame_idx", "track_id", ok.alias("correct"))
+        ok = ok & (F.col(f"{way}_frame_idx").isNull() | F.coalesce(F.col(f"{way}__pred") == F.col("_pred"), F.lit(False)))
+    return around.select(*by, "frame_idx", "track_id", ok.alias("correct"))
 
 
 def group_ids(groups: DataFrame, frame: list[str] | None = None) -> DataFrame:
