@@ -259,4 +259,6 @@ def sql(body: str, *names: str, recursive: bool = False, **extra: str) -> str:
     parts += [f"{n} AS MATERIALIZED ({text})" if not n.startswith("rec_") else f"{n} AS ({text})"
               for n, text in extra.items()]
     head = "WITH RECURSIVE " if recursive else "WITH "
+    if body.lstrip().startswith("WITH"):
+        body = f"SELECT * FROM ({body})"
     return head + ",\n".join(parts) + "\n" + body if parts else body

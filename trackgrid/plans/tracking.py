@@ -1 +1,403 @@
-"""Registered queries."""
+"""Registered queries over tracks: matching, linking, evaluation, learned rates."""
+
+from __future__ import annotations
+
+from pyspark.sql import Window
+from pyspark.sql import functions as F
+
+from trackgrid.evaluation import metrics, rates
+from trackgrid.functions import geometry as g
+from trackgrid.operators import aggregates as agg
+from trackgrid.operators import linking, matching, tiles, trajectories
+from trackgrid.plans import fixtures as fx
+from trackgrid.plans.catalog import register, rounded
+from trackgrid.plans.fixtures import COLS, HEIGHT, ROWS, TILE, WIDTH, sql
+from trackgrid.plans.tiles import _CENTER, _CLIP, _IOU_SQL, _PAIR_SQL
+
+
+def greedy_sql(pairs: str, within: str, left: str, right: str, order: str, rounds: int, name: str = "matched") -> dict[str, str]:
+    """Mutual-best rounds as a chain of table expressions; ``rounds`` has to be enough to use up the pairs."""
+    out = {f"{name}_p0": pairs}
+    for i in range(rounds):
+        rest = f"{name}_p{i}"
+        out[f"{name}_m{i}"] = f"""
+            SELECT * EXCLUDE (rl, rr) FROM (SELECT *,
+              row_number() OVER (PARTITION BY {within}, {left} ORDER BY {order}, {left}, {right}) AS rl,
+              row_number() OVER (PARTITION BY {within}, {right} ORDER BY {order}, {left}, {right}) AS rr FROM {rest}) WHERE rl = 1 AND rr = 1"""
+        keys = within.split(", ")
+
+        def lost(side: str) -> str:
+            cols = [*keys, *side.split(", ")]
+            return (f"NOT EXISTS (SELECT 1 FROM {name}_m{i} m WHERE "
+                    + " AND ".join(f"m.{c} = p.{c}" for c in cols) + ")")
+
+        out[f"{name}_p{i + 1}"] = f"SELECT * FROM {rest} p WHERE {lost(left)} AND {lost(right)}"
+    out[name] = " UNION ALL ".join(f"SELECT * FROM {name}_m{i}" for i in range(rounds))
+    return out
+
+
+_SLIM_PAIRS = "SELECT video, frame_idx, gid, pid, iou FROM ious"
+_MATCH = greedy_sql(_SLIM_PAIRS + " WHERE iou >= 0.3", "video, frame_idx", "gid", "pid", "iou DESC", 5)
+
+
+@register("g04_match_boxes", sql("SELECT video, frame_idx, gid AS l_track_id, pid AS r_track_id, round(iou, 6) AS iou FROM matched",
+                                 "pred_tracks", pairs=_PAIR_SQL, ious=_IOU_SQL, **_MATCH))
+def _(spark, sf):
+    return rounded(matching.match_boxes(fx.gt_tracks(spark, sf), fx.pred_tracks(spark, sf), 0.3).select(
+        "video", "frame_idx", "l_track_id", "r_track_id", "iou"), "iou")
+
+
+def nms_sql(rounds: int) -> dict[str, str]:
+    out = {"n_e0": """
+        SELECT video, frame_idx, a.det_id AS s, b.det_id AS w FROM crowded a JOIN crowded b USING (video, frame_idx)
+        WHERE a.det_id <> b.det_id AND (a.score > b.score OR (a.score = b.score AND a.det_id > b.det_id))
+          AND least(a.x2, b.x2) - greatest(a.x1, b.x1) + 1 > 0 AND least(a.y2, b.y2) - greatest(a.y1, b.y1) + 1 > 0
+          AND (least(a.x2, b.x2) - greatest(a.x1, b.x1) + 1) * (least(a.y2, b.y2) - greatest(a.y1, b.y1) + 1)
+            / ((a.x2 - a.x1 + 1) * (a.y2 - a.y1 + 1) + (b.x2 - b.x1 + 1) * (b.y2 - b.y1 + 1)
+              - (least(a.x2, b.x2) - greatest(a.x1, b.x1) + 1) * (least(a.y2, b.y2) - greatest(a.y1, b.y1) + 1)) >= 0.5"""}
+    for i in range(rounds):
+        out[f"n_g{i}"] = f"""SELECT DISTINCT e.video, e.frame_idx, e.w FROM n_e{i} e WHERE NOT EXISTS (SELECT 1 FROM n_e{i} t
+            WHERE t.video = e.video AND t.frame_idx = e.frame_idx AND t.w = e.s)"""
+        gone = f"SELECT 1 FROM n_g{i} g WHERE g.video = e.video AND g.frame_idx = e.frame_idx AND g.w = e."
+        out[f"n_e{i + 1}"] = f"SELECT * FROM n_e{i} e WHERE NOT EXISTS ({gone}w) AND NOT EXISTS ({gone}s)"
+    out["n_lost"] = " UNION ALL ".join(f"SELECT * FROM n_g{i}" for i in range(rounds))
+    return out
+
+
+@register("w02_nms", sql("""
+    SELECT video, frame_idx, det_id, round(score, 6) AS score FROM crowded c WHERE NOT EXISTS (
+      SELECT 1 FROM n_lost n WHERE n.video = c.video AND n.frame_idx = c.frame_idx AND n.w = c.det_id)""", "crowded", **nms_sql(5)))
+def _(spark, sf):
+    return rounded(matching.nms(fx.crowded_detections(spark, sf), 0.5).select("video", "frame_idx", "det_id", "score"), "score")
+
+
+_INTERP = """
+    SELECT video, track_id, CAST(f AS BIGINT) AS frame_idx, round(x1 + t * (nx1 - x1), 6) AS x1, round(y1 + t * (ny1 - y1), 6) AS y1,
+      round(x2 + t * (nx2 - x2), 6) AS x2, round(y2 + t * (ny2 - y2), 6) AS y2, f > frame_idx AS interpolated
+    FROM (SELECT *, coalesce((f - frame_idx) / CAST(nf - frame_idx AS DOUBLE), 0) AS t FROM (
+      SELECT video, track_id, frame_idx, x1, y1, x2, y2, nf, unnest(range(frame_idx, coalesce(nf, frame_idx + 1))) AS f,
+        coalesce(nx1, x1) AS nx1, coalesce(ny1, y1) AS ny1, coalesce(nx2, x2) AS nx2, coalesce(ny2, y2) AS ny2
+      FROM (SELECT *, lead(frame_idx) OVER w AS nf, lead(x1) OVER w AS nx1, lead(y1) OVER w AS ny1, lead(x2) OVER w AS nx2, lead(y2) OVER w AS ny2
+        FROM gt_tracks WINDOW w AS (PARTITION BY video, track_id ORDER BY frame_idx))))"""
+
+
+@register("w01_interpolate_tracks", sql(_INTERP, "gt_tracks"))
+def _(spark, sf):
+    return rounded(trajectories.interpolate_tracks(fx.gt_tracks(spark, sf)), "x1", "y1", "x2", "y2")
+
+
+@register("w13_track_velocity", sql("""
+    SELECT video, track_id, frame_idx, round(dy / (sqrt(dx * dx + dy * dy) + 1e-6), 6) AS dy, round(dx / (sqrt(dx * dx + dy * dy) + 1e-6), 6) AS dx
+    FROM (SELECT c.video, c.track_id, c.frame_idx, (c.x1 + c.x2) / 2 - (p.x1 + p.x2) / 2 AS dx, (c.y1 + c.y2) / 2 - (p.y1 + p.y2) / 2 AS dy
+      FROM (SELECT *, min(frame_idx) OVER (PARTITION BY video, track_id ORDER BY frame_idx RANGE BETWEEN 3 PRECEDING AND 1 PRECEDING) AS near,
+        lag(frame_idx) OVER (PARTITION BY video, track_id ORDER BY frame_idx) AS prev FROM gt_tracks) c
+      LEFT JOIN gt_tracks p ON p.video = c.video AND p.track_id = c.track_id AND p.frame_idx = coalesce(near, prev))""", "gt_tracks"))
+def _(spark, sf):
+    return rounded(trajectories.track_velocity(fx.gt_tracks(spark, sf), 3).select("video", "track_id", "frame_idx", "dy", "dx"), "dy", "dx")
+
+
+@register("w14_prev_frame", sql("""
+    SELECT video, frame_idx, coalesce(lag(frame_idx) OVER w, lead(frame_idx) OVER w) AS ref_frame FROM (
+      SELECT DISTINCT video, frame_idx FROM gt_tracks) WINDOW w AS (PARTITION BY video ORDER BY frame_idx)""", "gt_tracks"))
+def _(spark, sf):
+    return trajectories.prev_frame_ref(fx.gt_tracks(spark, sf).select("video", "frame_idx").distinct())
+
+
+@register("a26_track_presence", sql("""
+    SELECT video, track_id, min(frame_idx) AS min_frame, max(frame_idx) AS max_frame, count(DISTINCT frame_idx) AS frames
+    FROM gt_tracks GROUP BY ALL""", "gt_tracks"))
+def _(spark, sf):
+    return agg.track_presence(fx.gt_tracks(spark, sf))
+
+
+# --- association consistency and rates -------------------------------------
+
+def _consistent_sql(rate: int) -> dict[str, str]:
+    """Matched boxes at multiples of ``rate`` whose next and previous sighting of either track is a match of both."""
+    r = f"r{rate}"
+    seen = """SELECT video, track_id, frame_idx, lead(frame_idx) OVER w AS nf, lag(frame_idx) OVER w AS pf
+        FROM {t} WHERE frame_idx % {rate} = 0 WINDOW w AS (PARTITION BY video, track_id ORDER BY frame_idx)"""
+    return {
+        f"{r}_g": seen.format(t="gt_tracks", rate=rate), f"{r}_p": seen.format(t="pred_tracks", rate=rate),
+        f"{r}_m": f"""SELECT m.video, m.frame_idx, m.gid, m.pid, g.nf AS gn, g.pf AS gp, p.nf AS pn, p.pf AS pp
+          FROM matched m JOIN {r}_g g ON g.video = m.video AND g.track_id = m.gid AND g.frame_idx = m.frame_idx
+          JOIN {r}_p p ON p.video = m.video AND p.track_id = m.pid AND p.frame_idx = m.frame_idx""",
+        f"{r}_c": f"""SELECT *, (gn IS NULL AND pn IS NULL OR coalesce(gn = pn, FALSE) AND EXISTS (SELECT 1 FROM {r}_m n
+              WHERE n.video = m.video AND n.gid = m.gid AND n.pid = m.pid AND n.frame_idx = m.gn))
+            AND (gp IS NULL AND pp IS NULL OR coalesce(gp = pp, FALSE) AND EXISTS (SELECT 1 FROM {r}_m n
+              WHERE n.video = m.video AND n.gid = m.gid AND n.pid = m.pid AND n.frame_idx = m.gp)) AS correct FROM {r}_m m""",
+    }
+
+
+_TRACK_BASE = dict(pairs=_PAIR_SQL, ious=_IOU_SQL, **_MATCH)
+
+
+@register("w04_association_consistent", sql("""
+    SELECT video, frame_idx, gid AS l_track_id, pid AS r_track_id, correct FROM r2_c""", "pred_tracks", **_TRACK_BASE, **_consistent_sql(2)))
+def _(spark, sf):
+    return rates.consistent_matches(fx.gt_tracks(spark, sf), fx.pred_tracks(spark, sf), 2).select(
+        "video", "frame_idx", "l_track_id", "r_track_id", "correct")
+
+
+def _counts_sql(rate: int) -> str:
+    return f"""SELECT row, col, count(*) FILTER (WHERE coalesce(correct, FALSE)) AS correct,
+        count(*) FILTER (WHERE NOT coalesce(correct, FALSE)) AS incorrect, CAST({rate} AS BIGINT) AS rate
+      FROM gt_tiles t LEFT JOIN r{rate}_c c ON c.video = t.video AND c.frame_idx = t.frame_idx AND c.gid = t.track_id
+      WHERE t.frame_idx % {rate} = 0 GROUP BY row, col"""
+
+
+@register("a27_e06_assoc_counts", sql(_counts_sql(2), "pred_tracks", "gt_tiles", **_TRACK_BASE, **_consistent_sql(2)))
+def _(spark, sf):
+    return rates.assoc_counts(fx.gt_tracks(spark, sf), fx.pred_tracks(spark, sf), 2, TILE, ROWS, COLS)
+
+
+_LEARN = [1, 2, 4]
+_ALL_COUNTS = dict(counts=" UNION ALL ".join(_counts_sql(r) for r in _LEARN))
+_RATE_STEPS = {k: v for r in _LEARN for k, v in _consistent_sql(r).items()}
+_LAPLACE = """
+    SELECT g.row, g.col, g.rate, coalesce(correct, 0) AS correct, coalesce(incorrect, 0) AS incorrect,
+      (coalesce(correct, 0) + 1) / (coalesce(correct, 0) + coalesce(incorrect, 0) + 2) AS accuracy
+    FROM (SELECT row, col, rate FROM grid_rows, grid_cols, (VALUES (1), (2), (4)) v(rate)) g LEFT JOIN counts USING (row, col, rate)"""
+
+
+def _sampled_counts(spark, sf):
+    gt, pred = fx.gt_tracks(spark, sf), fx.pred_tracks(spark, sf)
+    out = [rates.assoc_counts(gt, pred, r, TILE, ROWS, COLS) for r in _LEARN]
+    return out[0].unionByName(out[1]).unionByName(out[2])
+
+
+@register("a28_laplace_accuracy", sql("SELECT * REPLACE (round(accuracy, 6) AS accuracy) FROM laplace",
+                                      "pred_tracks", "gt_tiles", **_TRACK_BASE, **_RATE_STEPS, **_ALL_COUNTS, laplace=_LAPLACE))
+def _(spark, sf):
+    return rounded(rates.laplace_accuracy(_sampled_counts(spark, sf), _LEARN, ROWS, COLS), "accuracy")
+
+
+@register("a29_e13_learn_rates", sql("""
+    SELECT row, col, t AS threshold, CAST(coalesce(max(rate) FILTER (WHERE accuracy >= t), 1) AS BIGINT) AS max_rate
+    FROM laplace, (VALUES (0.4::DOUBLE), (0.6::DOUBLE), (0.8::DOUBLE)) v(t) GROUP BY ALL""",
+    "pred_tracks", "gt_tiles", **_TRACK_BASE, **_RATE_STEPS, **_ALL_COUNTS, laplace=_LAPLACE))
+def _(spark, sf):
+    gt, pred = fx.gt_tracks(spark, sf), fx.pred_tracks(spark, sf)
+    return rates.learn_rates(gt, {r: pred for r in _LEARN}, TILE, ROWS, COLS, [0.4, 0.6, 0.8])
+
+
+_RETAINED = "SELECT DISTINCT video, frame_idx, row, col FROM centered WHERE row IS NOT NULL AND (frame_idx + row + col) % 3 > 0"
+_ANCHORED = """
+    SELECT a.*, m.pid, lead(a.frame_idx) OVER w AS nf, lag(a.frame_idx) OVER w AS pf, lead(m.pid) OVER w AS np, lag(m.pid) OVER w AS pp
+    FROM (SELECT c.video, c.frame_idx, c.track_id FROM centered c JOIN retained USING (video, frame_idx, row, col)) a
+    LEFT JOIN matched m ON m.video = a.video AND m.frame_idx = a.frame_idx AND m.gid = a.track_id
+    WINDOW w AS (PARTITION BY a.video, a.track_id ORDER BY a.frame_idx)"""
+
+
+def _retained(spark, sf):
+    cells = tiles.center_cell(fx.gt_tracks(spark, sf), WIDTH, HEIGHT, 3, 3)
+    return cells.where("row IS NOT NULL AND (frame_idx + row + col) % 3 > 0").select("video", "frame_idx", "row", "col").distinct()
+
+
+@register("w03_e07_anchor_consistency", sql("""
+    SELECT video, frame_idx, track_id, pid IS NOT NULL AND (nf IS NULL OR coalesce(np = pid, FALSE)) AND (pf IS NULL OR coalesce(pp = pid, FALSE)) AS correct
+    FROM anchored""", "pred_tracks", **_TRACK_BASE, clipped=_CLIP, centered=_CENTER, retained=_RETAINED, anchored=_ANCHORED))
+def _(spark, sf):
+    return rates.schedule_mistrack(fx.gt_tracks(spark, sf), fx.pred_tracks(spark, sf), _retained(spark, sf), WIDTH, HEIGHT, 3, 3)
+
+
+@register("a33_mistrack_rate", sql("""
+    SELECT video, count(*) FILTER (WHERE ok) AS correct, count(*) FILTER (WHERE NOT ok) AS incorrect,
+      round(count(*) FILTER (WHERE NOT ok) / count(*), 6) AS mistrack_rate FROM (SELECT video,
+      pid IS NOT NULL AND (nf IS NULL OR coalesce(np = pid, FALSE)) AND (pf IS NULL OR coalesce(pp = pid, FALSE)) AS ok FROM anchored) GROUP BY ALL""",
+    "pred_tracks", **_TRACK_BASE, clipped=_CLIP, centered=_CENTER, retained=_RETAINED, anchored=_ANCHORED))
+def _(spark, sf):
+    held = rates.schedule_mistrack(fx.gt_tracks(spark, sf), fx.pred_tracks(spark, sf), _retained(spark, sf), WIDTH, HEIGHT, 3, 3)
+    return rounded(agg.mistrack_rate(held, ["video"]), "mistrack_rate")
+
+
+_CELLS = "SELECT DISTINCT video, frame_idx, row, col FROM centered WHERE row IS NOT NULL"
+_GRIDS = """
+    SELECT 'grid_' || a || '-' || b || '-' || c || '-' || d AS variant_id, [a, b, c, d] AS grid
+    FROM (VALUES (1), (4)) t1(a), (VALUES (1), (4)) t2(b), (VALUES (1), (4)) t3(c), (VALUES (1), (4)) t4(d)"""
+_SCHEDULE = """
+    SELECT DISTINCT variant_id, video, row, col, unnest([fa, fb]) AS frame_idx FROM (
+      SELECT variant_id, video, row, col, min(frame_idx) AS fa, max(frame_idx) AS fb FROM (
+        SELECT c.*, variant_id, frame_idx // (grid[row * 2 + col + 1] + 1) AS run FROM cells c, grids) GROUP BY variant_id, video, row, col, run)"""
+_CENTER2 = _CENTER.replace("/ 240", "/ 360").replace("/ 2) / 360) AS BIGINT) END AS col", "/ 2) / 540) AS BIGINT) END AS col")
+
+
+def _cells2(spark, sf):
+    return tiles.center_cell(fx.gt_tracks(spark, sf), WIDTH, HEIGHT, 2, 2).where("row IS NOT NULL").select(
+        "video", "frame_idx", "row", "col").distinct()
+
+
+def _matches(spark, sf):
+    return matching.match_boxes(fx.gt_tracks(spark, sf), fx.pred_tracks(spark, sf), 0.3)
+
+
+@register("e08_j03_rate_grids", sql("""
+    SELECT variant_id, retained, original, correct, incorrect, round(incorrect / (correct + incorrect), 6) AS mistrack_rate,
+      round(retained / original, 6) AS retention_rate
+    FROM (SELECT variant_id, count(*) AS retained FROM schedule GROUP BY ALL) JOIN (SELECT count(*) AS original FROM cells) ON TRUE
+    JOIN (SELECT variant_id, count(*) FILTER (WHERE ok) AS correct, count(*) FILTER (WHERE NOT ok) AS incorrect FROM (
+      SELECT variant_id, pid IS NOT NULL AND (nf IS NULL OR coalesce(np = pid, FALSE)) AND (pf IS NULL OR coalesce(pp = pid, FALSE)) AS ok FROM (
+        SELECT s.variant_id, m.pid, lead(c.frame_idx) OVER w AS nf, lag(c.frame_idx) OVER w AS pf, lead(m.pid) OVER w AS np, lag(m.pid) OVER w AS pp
+        FROM centered c JOIN schedule s USING (video, frame_idx, row, col)
+        LEFT JOIN matched m ON m.video = c.video AND m.frame_idx = c.frame_idx AND m.gid = c.track_id
+        WINDOW w AS (PARTITION BY s.variant_id, c.video, c.track_id ORDER BY c.frame_idx))) GROUP BY ALL) USING (variant_id)""",
+    "pred_tracks", **_TRACK_BASE, clipped=_CLIP, centered=_CENTER2, cells=_CELLS, grids=_GRIDS, schedule=_SCHEDULE))
+def _(spark, sf):
+    cells = _cells2(spark, sf)
+    plan = rates.grid_schedules(cells, [1, 4], 2, 2)
+    return rounded(rates.evaluate_schedules(fx.gt_tracks(spark, sf), _matches(spark, sf), cells, plan, WIDTH, HEIGHT, 2, 2),
+                   "mistrack_rate", "retention_rate")
+
+
+@register("e09_whole_frame_baseline", sql("""
+    SELECT 'frame_' || r AS variant_id, count(*) AS retained FROM cells, (VALUES (1), (2), (4)) v(r) WHERE frame_idx % r = 0 GROUP BY ALL""",
+    "gt_tracks", clipped=_CLIP, centered=_CENTER2, cells=_CELLS))
+def _(spark, sf):
+    return rates.whole_frame_baseline(_cells2(spark, sf), [1, 2, 4]).groupBy("variant_id").agg(F.count("*").alias("retained"))
+
+
+# --- tracking metrics ------------------------------------------------------
+
+_ALIGN = dict(
+    pairs=_PAIR_SQL, ious=_IOU_SQL,
+    sims="SELECT *, sum(iou) OVER (PARTITION BY video, frame_idx, gid) AS rs, sum(iou) OVER (PARTITION BY video, frame_idx, pid) AS cs FROM (" + _SLIM_PAIRS + ")",
+    gn="SELECT video, track_id AS gid, count(*) AS gt_n FROM gt_tracks GROUP BY ALL",
+    pn="SELECT video, track_id AS pid, count(*) AS pred_n FROM pred_tracks GROUP BY ALL",
+    aligned="""SELECT video, gid, pid, gt_n, pred_n, s / (gt_n + pred_n - s) AS alignment FROM (
+      SELECT video, gid, pid, sum(iou / (rs + cs - iou)) AS s FROM sims GROUP BY ALL) JOIN gn USING (video, gid) JOIN pn USING (video, pid)""")
+_HOTA_MATCH = greedy_sql("""SELECT video, frame_idx, gid, pid, iou, gt_n, pred_n, round(alignment * iou, 9) AS score FROM sims JOIN aligned USING (video, gid, pid)""",
+                         "video, frame_idx", "gid", "pid", "score DESC", 5)
+_HOTA = dict(
+    alphas="SELECT round(0.05 * i, 2)::DOUBLE AS alpha FROM range(1, 20) r(i)",
+    pc="""SELECT video, alpha, gid, pid, gt_n, pred_n, count(*) AS c, sum(iou) AS s FROM matched JOIN alphas ON iou >= alpha - 1e-9 GROUP BY ALL""",
+    pv="""SELECT video, alpha, CAST(sum(c) AS BIGINT) AS tp, sum(c * c / greatest(1, gt_n + pred_n - c)) AS ass, sum(s) AS loc FROM pc GROUP BY ALL""",
+    lng="""SELECT CAST(video AS VARCHAR) AS video, alpha, g, p, coalesce(tp, 0) AS tp, coalesce(ass, 0) AS ass, coalesce(loc, 0) AS loc
+      FROM (SELECT video, count(*) AS g FROM gt_tracks GROUP BY ALL) JOIN (SELECT video, count(*) AS p FROM pred_tracks GROUP BY ALL) USING (video)
+      JOIN alphas ON TRUE LEFT JOIN pv USING (video, alpha)""",
+    allv="""SELECT * FROM lng UNION ALL SELECT 'COMBINED', alpha, CAST(sum(g) AS BIGINT), CAST(sum(p) AS BIGINT), CAST(sum(tp) AS BIGINT), sum(ass), sum(loc)
+      FROM lng GROUP BY alpha""",
+    scored="""SELECT video, alpha, tp, g - tp AS fn, p - tp AS fp, sqrt(tp / greatest(1, g + p - tp) * (ass / greatest(1, tp))) AS HOTA,
+      tp / greatest(1, g + p - tp) AS DetA, ass / greatest(1, tp) AS AssA, CASE WHEN tp > 0 THEN loc / tp ELSE 1 END AS LocA FROM allv""")
+
+
+@register("e02_hota", sql("""
+    SELECT video, alpha, tp, fn, fp, round(HOTA, 6) AS HOTA, round(DetA, 6) AS DetA, round(AssA, 6) AS AssA, round(LocA, 6) AS LocA FROM scored""",
+    "pred_tracks", **_ALIGN, **_HOTA_MATCH, **_HOTA))
+def _(spark, sf):
+    return rounded(metrics.hota(fx.gt_tracks(spark, sf), fx.pred_tracks(spark, sf)), "HOTA", "DetA", "AssA", "LocA")
+
+
+@register("e02_hota_mean", sql("""
+    SELECT video, round(avg(HOTA), 6) AS HOTA_HOTA, round(avg(DetA), 6) AS HOTA_DetA, round(avg(AssA), 6) AS HOTA_AssA FROM scored GROUP BY ALL""",
+    "pred_tracks", **_ALIGN, **_HOTA_MATCH, **_HOTA))
+def _(spark, sf):
+    return rounded(metrics.hota_mean(metrics.hota(fx.gt_tracks(spark, sf), fx.pred_tracks(spark, sf))), "HOTA_HOTA", "HOTA_DetA", "HOTA_AssA")
+
+
+_MATCH5 = greedy_sql(_SLIM_PAIRS + " WHERE iou >= 0.5", "video, frame_idx", "gid", "pid", "iou DESC", 5)
+
+
+@register("e03_clear_mot", sql("""
+    WITH r AS (SELECT *, lag(pid) OVER w AS pp, lag(frame_idx) OVER w AS pf FROM matched WINDOW w AS (PARTITION BY video, gid ORDER BY frame_idx)),
+    t AS (SELECT video, gid, count(*) AS hits, sum(iou) AS siou, count(*) FILTER (WHERE pp <> pid) AS idsw, count(*) FILTER (WHERE pf < frame_idx - 1) AS frag FROM r GROUP BY ALL),
+    v AS (SELECT gn.video, CAST(sum(gt_n) AS BIGINT) AS g, CAST(sum(coalesce(hits, 0)) AS BIGINT) AS tp, CAST(sum(coalesce(idsw, 0)) AS BIGINT) AS idsw,
+      CAST(sum(coalesce(frag, 0)) AS BIGINT) AS frag, sum(coalesce(siou, 0)) AS siou, count(*) FILTER (WHERE coalesce(hits, 0) / gt_n > 0.8) AS mt,
+      count(*) FILTER (WHERE coalesce(hits, 0) / gt_n BETWEEN 0.2 AND 0.8) AS pt, count(*) FILTER (WHERE coalesce(hits, 0) / gt_n < 0.2) AS ml
+      FROM gn LEFT JOIN t USING (video, gid) GROUP BY gn.video)
+    SELECT video, tp, g - tp AS fn, p - tp AS fp, idsw, frag, mt, pt, ml, round((tp - (p - tp) - idsw) / greatest(1, g), 6) AS MOTA,
+      round(siou / greatest(1, tp), 6) AS MOTP FROM v JOIN (SELECT video, count(*) AS p FROM pred_tracks GROUP BY ALL) USING (video)""",
+    "pred_tracks", pairs=_PAIR_SQL, ious=_IOU_SQL, gn=_ALIGN["gn"], **_MATCH5))
+def _(spark, sf):
+    return rounded(metrics.clear_mot(fx.gt_tracks(spark, sf), fx.pred_tracks(spark, sf)), "MOTA", "MOTP")
+
+
+_ID_MATCH = greedy_sql("SELECT video, gid, pid, count(*) AS frames FROM ious WHERE iou >= 0.5 GROUP BY ALL", "video", "gid", "pid", "frames DESC", 6)
+
+
+@register("e04_identity", sql("""
+    SELECT video, tp AS idtp, g - tp AS idfn, p - tp AS idfp, round(2 * tp / greatest(1, g + p), 6) AS IDF1, round(tp / greatest(1, g), 6) AS IDR,
+      round(tp / greatest(1, p), 6) AS IDP FROM (SELECT video, count(*) AS g FROM gt_tracks GROUP BY ALL)
+    JOIN (SELECT video, count(*) AS p FROM pred_tracks GROUP BY ALL) USING (video)
+    JOIN (SELECT video, CAST(sum(frames) AS BIGINT) AS tp FROM matched GROUP BY ALL) USING (video)""",
+    "pred_tracks", pairs=_PAIR_SQL, ious=_IOU_SQL, **_ID_MATCH))
+def _(spark, sf):
+    return rounded(metrics.identity(fx.gt_tracks(spark, sf), fx.pred_tracks(spark, sf)), "IDF1", "IDR", "IDP")
+
+
+@register("e05_count_metrics", sql("""
+    SELECT video, GT_Dets, GT_IDs, Dets, IDs, GT_max, max_ids FROM (SELECT video, count(*) AS GT_Dets, count(DISTINCT track_id) AS GT_IDs, max(track_id) + 1 AS GT_max FROM gt_tracks GROUP BY ALL)
+    JOIN (SELECT video, count(*) AS Dets, count(DISTINCT track_id) AS IDs, max(track_id) + 1 AS max_ids FROM pred_tracks GROUP BY ALL) USING (video)""", "pred_tracks"))
+def _(spark, sf):
+    gt, pred = fx.gt_tracks(spark, sf), fx.pred_tracks(spark, sf)
+    compat = metrics.count_metrics(gt, pred, compat=True).select("video", F.col("GT_IDs").alias("GT_max"), F.col("IDs").alias("max_ids"))
+    return metrics.count_metrics(gt, pred).join(compat, "video")
+
+
+@register("e01_prepare_eval", sql("""
+    SELECT video, frame_idx, track_id, 0 AS class, 1.0::DOUBLE AS confidence FROM gt_tracks WHERE frame_idx % 3 = 0""", "gt_tracks"))
+def _(spark, sf):
+    return metrics.prepare_eval(fx.gt_tracks(spark, sf), 3, strict=True).select("video", "frame_idx", "track_id", "class", "confidence")
+
+
+# --- linking ---------------------------------------------------------------
+
+_EDGES = """
+    SELECT a.video, a.frame_idx AS lf, a.det_id AS ld, b.frame_idx AS rf, b.det_id AS rd,
+      greatest(0, least(a.x2, b.x2) - greatest(a.x1, b.x1)) * greatest(0, least(a.y2, b.y2) - greatest(a.y1, b.y1)) AS i,
+      (a.x2 - a.x1) * (a.y2 - a.y1) + (b.x2 - b.x1) * (b.y2 - b.y1) AS s
+    FROM detections a JOIN detections b ON a.video = b.video AND b.frame_idx = a.frame_idx + 1
+    WHERE least(a.x2, b.x2) > greatest(a.x1, b.x1) AND least(a.y2, b.y2) > greatest(a.y1, b.y1)"""
+_LINK1 = greedy_sql("SELECT video, lf, ld, rf, rd, i / (s - i) AS w FROM edges WHERE i / (s - i) >= 0.1", "video", "lf, ld", "rf, rd", "w DESC", 6)
+_CHAIN = """
+    SELECT video, frame_idx, det_id, frame_idx * 4294967296 + det_id AS track_id FROM detections d
+      WHERE NOT EXISTS (SELECT 1 FROM matched m WHERE m.video = d.video AND m.rf = d.frame_idx AND m.rd = d.det_id)
+    UNION ALL SELECT m.video, m.rf, m.rd, c.track_id FROM rec_chain c JOIN matched m ON m.video = c.video AND m.lf = c.frame_idx AND m.ld = c.det_id"""
+
+
+@register("g05_link_adjacent", sql("SELECT * FROM rec_chain", "detections", recursive=True, edges=_EDGES, **_LINK1, rec_chain=_CHAIN))
+def _(spark, sf):
+    return linking.link_tracks(fx.detections(spark, sf), max_age=1).select("video", "frame_idx", "det_id", "track_id")
+
+
+@register("g05_link_tracks")
+def _(spark, sf):
+    return linking.link_tracks(fx.detections(spark, sf), max_age=4, min_hits=2)
+
+
+@register("g06_link_two_stage")
+def _(spark, sf):
+    return linking.link_tracks_two_stage(fx.detections(spark, sf), max_age=4)
+
+
+@register("g07_link_direction")
+def _(spark, sf):
+    return linking.link_tracks_direction(fx.detections(spark, sf), max_age=4)
+
+
+@register("g08_tracker_sampled")
+def _(spark, sf):
+    from trackgrid.registry import tracker
+
+    return linking.run_tracker_sampled(fx.detections(spark, sf), 2, tracker("sort", max_age=2))
+
+
+@register("e15_naive_tracks")
+def _(spark, sf):
+    tracked = linking.link_tracks(fx.detections(spark, sf), max_age=4)
+    return rounded(trajectories.interpolate_tracks(tracked), "x1", "y1", "x2", "y2")
+
+
+@register("x07_direction_cost", sql("""
+    SELECT video, track_id, frame_idx, round(CASE WHEN pvx IS NULL THEN 0 ELSE (pi() / 2 - abs(acos(least(1.0::DOUBLE, greatest(-1.0::DOUBLE, pvx * vx + pvy * vy))))) / pi() * 0.2 * score END, 6) AS cost
+    FROM (SELECT *, lag(vx) OVER w AS pvx, lag(vy) OVER w AS pvy FROM (
+      SELECT *, dx / (sqrt(dx * dx + dy * dy) + 1e-6) AS vx, dy / (sqrt(dx * dx + dy * dy) + 1e-6) AS vy FROM (
+        SELECT *, (x1 + x2) / 2 - lag((x1 + x2) / 2) OVER w AS dx, (y1 + y2) / 2 - lag((y1 + y2) / 2) OVER w AS dy
+        FROM gt_tracks WINDOW w AS (PARTITION BY video, track_id ORDER BY frame_idx)))
+      WINDOW w AS (PARTITION BY video, track_id ORDER BY frame_idx))""", "gt_tracks"))
+def _(spark, sf):
+    from trackgrid.scale import with_neighbours
+
+    v = trajectories.track_velocity(fx.gt_tracks(spark, sf), 0)
+    both = with_neighbours(v, ["video", "track_id"], "frame_idx", ["dy", "dx"], forward=None, backward="prev")
+    cost = g.direction_cost((F.col("prev_dy"), F.col("prev_dx")), (F.col("dy"), F.col("dx")), F.col("score"), 0.2, F.col("prev_dx").isNotNull())
+    return rounded(both.select("video", "track_id", "frame_idx", cost.alias("cost")), "cost")
