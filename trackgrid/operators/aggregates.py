@@ -166,15 +166,19 @@ def retention(original: DataFrame, pruned: DataFrame, keys: list[str]) -> DataFr
         "retention_rate", _ratio(F.col("pruned"), F.col("original")))
 
 
-def training_summary(logs: DataFrame) -> tuple[DataFrame, DataFrame]:
+def training_summary(epochs: DataFrame, steps: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Per-run summary of training logs and its mean per (classifier, tilesize)."""
-    keys = ["classifier", "tilesize", "run"]
-    spent = F.aggregate("timings", F.lit(0.0), lambda acc, t: acc + t["time"])
-    runs = logs.withColumn("_t", spent).groupBy(*keys).agg(
-        F.min("val_loss").alias("min_loss"), F.max("accuracy").alias("max_accuracy"),
-        F.sum("_t").alias("total_time"), F.avg("_t").alias("mean_epoch_time"))
-    means = runs.groupBy("classifier", "tilesize").agg(
-        *[F.avg(c).alias(c) for c in ("min_loss", "max_accuracy", "total_time", "mean_epoch_time")])
+    keys = ["video", "classifier", "tilesize"]
+    test = F.col("split") == "test"
+    runs = epochs.groupBy(*keys).agg(
+        F.count_if(test).alias("num_epochs"), F.min(F.when(test, F.col("loss"))).alias("best_val_loss"),
+        F.max(F.when(test, F.col("accuracy"))).alias("best_val_accuracy"),
+        F.sum(F.when(~test, F.col("time"))).alias("total_train_time"), F.sum(F.when(test, F.col("time"))).alias("total_val_time"))
+    timed = steps.groupBy(*keys).agg(
+        F.avg(F.when(F.col("op") == "train_step", F.col("time"))).alias("avg_train_step_time"),
+        F.avg(F.when(F.col("op") == "test_inference", F.col("time"))).alias("avg_inference_time"))
+    runs = runs.join(timed, keys, "left").fillna(0.0, subset=["avg_train_step_time", "avg_inference_time"])
+    means = runs.groupBy("classifier", "tilesize").agg(*[F.avg(c).alias(c) for c in runs.columns if c not in keys])
     return runs, means
 
 

@@ -1 +1,122 @@
-"""Registered queries."""
+"""Registered streaming queries: the derived tables replayed through Structured Streaming."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
+
+from trackgrid.operators import tiles
+from trackgrid.plans import fixtures as fx
+from trackgrid.plans.catalog import register, rounded
+from trackgrid.plans.fixtures import COLS, ROWS, TILE, sql
+from trackgrid.scale import new_path
+from trackgrid.streaming import events
+
+
+def _replay(df, tag):
+    """A file stream of a derived table."""
+    path = new_path(df.sparkSession, tag)
+    df.write.parquet(path)
+    return events.stream_detections(df.sparkSession, path, df.schema)
+
+
+def _drain(stream, tag, mode="append"):
+    """Run a stream over its files and read what it wrote."""
+    spark = stream.sparkSession
+    out = new_path(spark, f"{tag}-out")
+    events.run_to_table(stream, out, new_path(spark, f"{tag}-state"), mode).awaitTermination()
+    schema = stream.schema if mode == "append" else StructType([*stream.schema.fields, StructField("epoch", IntegerType())])
+    return spark.read.schema(schema).parquet(out)
+
+
+@register("t01_stream_detections", sql("SELECT video, count(*) AS n FROM detections GROUP BY ALL", "detections"))
+def _(spark, sf):
+    return _drain(_replay(fx.detections(spark, sf), "t01"), "t01").groupBy("video").agg(F.count("*").alias("n"))
+
+
+@register("t02_stream_tiles", sql("SELECT video, row, col, count(*) AS n FROM det_tiles WHERE score > 0.5 GROUP BY ALL", "det_tiles"))
+def _(spark, sf):
+    stream = _replay(fx.detections(spark, sf), "t02").where("score > 0.5")
+    return _drain(tiles.boxes_to_tiles(stream, TILE, ROWS, COLS), "t02").groupBy("video", "row", "col").agg(F.count("*").alias("n"))
+
+
+def _events(spark, sf):
+    return fx.read(spark, sf, "events").select(F.col("ts").cast("timestamp").alias("ts"), "user_id", "event_type", "value", "event_id")
+
+
+def _plain(df):
+    """Window bounds without a time zone, as the source table has them."""
+    return df.withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("start", "end")})
+
+
+#: A closing row far in the future moves the watermark past every real window.
+def _closed(df):
+    last = df.groupBy().agg(F.max("ts").alias("m"))
+    end = last.select(*[(F.col("m") + F.expr("INTERVAL 400 DAYS")).alias("ts") if c == "ts" else F.lit(None).cast(t).alias(c)
+                        for c, t in df.dtypes])
+    return df.unionByName(end)
+
+
+@register("t03_frame_counts", """
+    SELECT time_bucket(INTERVAL 1 HOUR, ts) AS start, time_bucket(INTERVAL 1 HOUR, ts) + INTERVAL 1 HOUR AS end, event_type, count(*) AS objects
+    FROM events GROUP BY ALL""")
+def _(spark, sf):
+    stream = _replay(_closed(_events(spark, sf)), "t03")
+    return _plain(_drain(events.frame_counts(stream, "1 hour", late="60 days", by=["event_type"]), "t03").where("event_type IS NOT NULL"))
+
+
+@register("t03_sliding_counts", """
+    SELECT s AS start, s + INTERVAL 2 HOUR AS end, count(*) AS objects FROM (
+      SELECT time_bucket(INTERVAL 1 HOUR, ts) - INTERVAL (i) HOUR AS s FROM events, (VALUES (0), (1)) v(i)) GROUP BY ALL""")
+def _(spark, sf):
+    stream = _replay(_closed(_events(spark, sf)), "t03s")
+    out = _drain(events.frame_counts(stream, "2 hours", "1 hour", late="60 days"), "t03s")
+    return _plain(out.where(F.col("end") < F.timestamp_micros(F.lit(1735689600000000))))
+
+
+@register("t04_track_sessions", """
+    WITH e AS (SELECT user_id, ts, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS s FROM (
+      SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) < INTERVAL 12 HOUR THEN 0 ELSE 1 END AS fresh FROM events))
+    SELECT user_id, min(ts) AS start, max(ts) + INTERVAL 12 HOUR AS end, count(*) AS hits FROM e GROUP BY user_id, s""")
+def _(spark, sf):
+    stream = _replay(_closed(_events(spark, sf)), "t04")
+    return _plain(_drain(events.track_sessions(stream, "12 hours", ["user_id"], late="60 days"), "t04").where("user_id IS NOT NULL"))
+
+
+@register("t05_confirm_tracks", sql("SELECT video, track_id FROM gt_tracks GROUP BY ALL HAVING count(*) >= 3", "gt_tracks"))
+def _(spark, sf):
+    rows = fx.gt_tracks(spark, sf).select("video", "track_id", "frame_idx")
+    stream = _replay(events.with_event_time(rows, "2024-01-01 00:00:00", 15.0), "t05")
+    return _drain(events.confirm_tracks(stream, 3, 3_600_000), "t05").select("video", "track_id")
+
+
+@register("t06_drop_replayed", "SELECT user_id, count(*) AS n, round(sum(value), 6) AS value FROM events GROUP BY ALL")
+def _(spark, sf):
+    e = _events(spark, sf)
+    stream = _replay(e.unionByName(e), "t06")
+    out = _drain(events.drop_replayed(stream, ["event_id"], "60 days"), "t06")
+    return rounded(out.groupBy("user_id").agg(F.count("*").alias("n"), F.sum("value").alias("value")), "value")
+
+
+@register("t07_t09_video_end", sql("SELECT video, count(*) AS boxes, count(DISTINCT frame_idx) AS frames FROM detections GROUP BY ALL", "detections"))
+def _(spark, sf):
+    dets = fx.detections(spark, sf).withColumn("is_end", F.lit(False))
+    ends = dets.select("video").distinct().select("video", *[
+        (F.lit(True) if c == "is_end" else F.lit(None).cast(t)).alias(c) for c, t in dets.dtypes if c != "video"])
+    stream = _replay(dets.unionByName(ends), "t07")
+    pending, sink = new_path(spark, "t07-pending"), new_path(spark, "t07-sink")
+
+    def whole_video(rows):
+        return rows.groupBy("video").agg(F.count("*").alias("boxes"), F.count_distinct("frame_idx").alias("frames"))
+
+    query = events.on_video_end(stream, pending, whole_video, sink, new_path(spark, "t07-state"))
+    query.processAllAvailable()
+    query.stop()
+    return spark.read.schema("video BIGINT, boxes BIGINT, frames BIGINT").parquet(sink).select("video", "boxes", "frames")
+
+
+@register("t08_runtime_totals", sql("SELECT stage, op, round(sum(time), 6) AS time, count(*) AS count FROM runtimes GROUP BY ALL", "runtimes"))
+def _(spark, sf):
+    out = _drain(events.runtime_totals(_replay(fx.runtimes(spark, sf), "t08")), "t08", "update")
+    newest = out.groupBy("stage", "op").agg(F.max_by(F.struct("time", "count"), "epoch").alias("_n"))
+    return rounded(newest.select("stage", "op", "_n.*"), "time")
