@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -14,26 +12,36 @@ from trackgrid.operators.joins import rate_grids
 from trackgrid.operators.matching import match_boxes
 from trackgrid.operators.pruning import apply_selection, prune_groups
 from trackgrid.operators.tiles import boxes_to_cells, boxes_to_tiles, center_cell
-from trackgrid.operators.trajectories import anchor_consistency, association_consistent, with_sampled_presence
+from trackgrid.operators.trajectories import anchor_consistency, association_consistent, at_rates, with_presence
+from trackgrid.schemas import BOX
+
 
+RATE_FRAME = ["rate", "video", "frame_idx"]
 
-def consistent_matches(gt: DataFrame, sampled: DataFrame, rate: int, min_iou: float = 0.3) -> DataFrame:
-    """Matched boxes at sampled frames with ``correct``: the association holds both ways."""
-    left, right = (with_sampled_presence(_slim(t), rate) for t in (gt, sampled))
-    return association_consistent(match_boxes(left, right, min_iou))
 
+def consistent_matches(gt: DataFrame, sampled: DataFrame, min_iou: float = 0.3) -> DataFrame:
+    """Matched boxes of every rate with ``correct``: the association holds both ways.
+
+    Both tables carry ``rate``; all rates are matched together, keyed apart.
+    """
+    keys = ["rate", "video", "track_id"]
+    left, right = (with_presence(t.select(*RATE_FRAME, "track_id", *BOX), keys) for t in (gt, sampled))
+    return association_consistent(match_boxes(left, right, min_iou, RATE_FRAME))
 
-def assoc_counts(gt: DataFrame, sampled: DataFrame, rate: int, tilesize: int, rows: int, cols: int,
+
+def assoc_counts(gt: DataFrame, sampled: DataFrame, rates: list[int], tilesize: int, rows: int, cols: int,
                  min_iou: float = 0.3) -> DataFrame:
-    """Correct and incorrect associations per tile of the truth box; unmatched boxes are incorrect."""
-    good = consistent_matches(gt, sampled, rate, min_iou).select(
-        "video", "frame_idx", F.col("l_track_id").alias("track_id"), "correct")
-    boxes = _slim(gt).where(F.col("frame_idx") % rate == 0).join(good, ["video", "frame_idx", "track_id"], "left").withColumn(
-        "correct", F.coalesce("correct", F.lit(False)))
+    """Correct and incorrect associations per rate and tile of the truth box; unmatched boxes are incorrect.
+
+    ``sampled`` holds the tracks obtained at each rate (column ``rate``).
+    """
+    truth = at_rates(_slim(gt), rates)
+    seen = sampled.where(F.col("rate").isin(rates) & (F.col("frame_idx") % F.col("rate") == 0))
+    good = consistent_matches(truth, seen, min_iou).select(*RATE_FRAME, F.col("l_track_id").alias("track_id"), "correct")
+    boxes = truth.join(good, [*RATE_FRAME, "track_id"], "left").withColumn("correct", F.coalesce("correct", F.lit(False)))
     tiles = boxes_to_tiles(boxes, tilesize, rows, cols)
-    return tiles.groupBy("row", "col").agg(
-        F.count_if("correct").alias("correct"), F.count_if(~F.col("correct")).alias("incorrect")).withColumn(
-        "rate", F.lit(rate).cast("bigint"))
+    return tiles.groupBy("rate", "row", "col").agg(
+        F.count_if("correct").alias("correct"), F.count_if(~F.col("correct")).alias("incorrect"))
 
 
 def laplace_accuracy(counts: DataFrame, rates: list[int], rows: int, cols: int) -> DataFrame:
@@ -59,13 +67,11 @@ def max_rate_table(accuracy: DataFrame, thresholds: list[float], lowest: int = 1
                    F.lit(lowest).cast("bigint")).alias("max_rate"))
 
 
-def learn_rates(gt: DataFrame, sampled_by_rate: dict[int, DataFrame], tilesize: int, rows: int, cols: int,
+def learn_rates(gt: DataFrame, sampled: DataFrame, rates: list[int], tilesize: int, rows: int, cols: int,
                 thresholds: list[float], min_iou: float = 0.3) -> DataFrame:
-    """Rate table from the tracks obtained at each sampling rate."""
-    counts = reduce(DataFrame.unionByName, [
-        assoc_counts(gt, tracks, rate, tilesize, rows, cols, min_iou) for rate, tracks in sampled_by_rate.items()])
-    accuracy = laplace_accuracy(counts, list(sampled_by_rate), rows, cols)
-    return max_rate_table(accuracy, thresholds, min(sampled_by_rate))
+    """Rate table from the tracks obtained at each sampling rate (column ``rate`` of ``sampled``)."""
+    counts = assoc_counts(gt, sampled, rates, tilesize, rows, cols, min_iou)
+    return max_rate_table(laplace_accuracy(counts, rates, rows, cols), thresholds, min(rates))
 
 
 def schedule_mistrack(gt: DataFrame, pred: DataFrame, retained: DataFrame, width: float, height: float, rows: int,

@@ -48,10 +48,15 @@ def track_velocity(df: DataFrame, k: int, keys: list[str] | None = None) -> Data
     return seen.withColumns({"dy": dy, "dx": dx}).drop("_blk", "_from", *[f"prev_{c}" for c in BOX])
 
 
-def with_sampled_presence(tracks: DataFrame, rate: int, keys: list[str] | None = None) -> DataFrame:
-    """Sampled rows of each track with the sampled frames it is next and previously seen at."""
-    keys = keys or TRACK
-    return with_neighbours(tracks.where(F.col("frame_idx") % rate == 0), keys, "frame_idx", ["frame_idx"], backward="prev")
+def at_rates(tracks: DataFrame, rates: list[int]) -> DataFrame:
+    """The rows each sampling rate sees, keyed by ``rate``; a rate r keeps one row in r."""
+    rate = F.explode(F.array(*[F.lit(r).cast("bigint") for r in rates]))
+    return tracks.withColumn("rate", rate).where(F.col("frame_idx") % F.col("rate") == 0)
+
+
+def with_presence(tracks: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows of each track with the frames it is next and previously seen at."""
+    return with_neighbours(tracks, keys, "frame_idx", ["frame_idx"], backward="prev")
 
 
 def association_consistent(matches: DataFrame) -> DataFrame:

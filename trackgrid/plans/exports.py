@@ -10,7 +10,7 @@ from trackgrid.plans import trainsets
 from trackgrid.plans.catalog import register, rounded
 from trackgrid.plans.fixtures import COLS, HEIGHT, ROWS, TILE, WIDTH, sql
 from trackgrid.plans.tiles import _POLYGON, _inside_sql
-from trackgrid.plans.tradeoffs import tradeoff, tradeoff_sql
+from trackgrid.plans.tradeoffs import joined, tradeoff_sql
 from trackgrid.plans.tracking import _INTERP
 from trackgrid.scale import new_path
 from trackgrid.sources import frames, labels, tables
@@ -129,21 +129,19 @@ def _(spark, sf):
     names = fx.read(spark, sf, "supplier").select(
         F.lit("caldot1").alias("dataset"), F.when(F.col("s_suppkey") % 2 == 0, "valid").otherwise("test").alias("videoset"),
         F.concat(F.lit("n"), F.col("s_nationkey") % 5, F.lit(".mp4")).alias("video"), F.lit("x").alias("value")).distinct()
-    # A text writer names part files itself, so the folder stands for the video and the listing sees the folder's files.
+    # A text writer names part files itself, so here the folder stands for the video.
     names.write.partitionBy("dataset", "videoset", "video").text(path)
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path")
-    part = r"dataset=([^/]+)/videoset=([^/]+)/video=([^/.]+)"
-    return files.select(F.regexp_extract("path", part, 1).alias("dataset"), F.regexp_extract("path", part, 2).alias("videoset"),
-                        F.regexp_extract("path", part, 3).alias("folder")).distinct()
+    layout = r"dataset=([^/]+)/videoset=([^/]+)/video=([^/.]+)"
+    return tables.list_videos(spark, path, ("txt",), layout).distinct().withColumnRenamed("video", "folder")
 
 
 @register("s12_tradeoff_csv", tradeoff_sql("SELECT * REPLACE (CAST(sample_rate AS BIGINT) AS sample_rate) FROM tradeoff"))
 def _(spark, sf):
     path = new_path(spark, "s12")
-    tables.write_table(tradeoff(spark, sf), path)
-    cols = tradeoff(spark, sf).columns
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in tradeoff(spark, sf).schema)
-    return tables.read_table(spark, path, schema).select(*cols)
+    table = joined(spark, sf)
+    tables.write_table(table, path)
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in table.schema)
+    return tables.read_table(spark, path, schema)
 
 
 @register("s13_results_glob", sql("""

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from trackgrid.operators import aggregates as agg
 from trackgrid.operators import joins, pareto
+from trackgrid.scale import materialize
 
 
 def tradeoff_table(accuracy: DataFrame, runtimes: DataFrame, frames: DataFrame) -> DataFrame:
@@ -22,7 +23,8 @@ def tradeoff_report(accuracy: DataFrame, runtimes: DataFrame, frames: DataFrame,
     Only validation rows of real classifiers enter, so the filter reaches both scans.
     """
     wanted = (F.col("videoset") == "valid") & ~F.coalesce(F.col("classifier"), F.lit("")).startswith("Perfect")
-    table = tradeoff_table(accuracy.where(wanted), runtimes.where(wanted), frames)
+    # One row per variant and split; written once because the front scans it twice.
+    table = materialize(tradeoff_table(accuracy.where(wanted), runtimes.where(wanted), frames), "tradeoff")
     front = pareto.pareto_front(table, "time", metric, min_x=True, min_y=False, by=["dataset"])
     if points is not None:
         front = pareto.pareto_prune(front, "time", metric, points, min_x=True, by=["dataset"])

@@ -538,9 +538,8 @@ _RUNS = """
     SELECT video, row, col, frame_idx // (max_rate + 1) AS run, min(frame_idx) AS fa, arg_min(group_id, frame_idx) AS ga,
       max(frame_idx) AS fb, arg_max(group_id, frame_idx) AS gb FROM tg JOIN rates USING (row, col) GROUP BY ALL"""
 _CHOSEN0 = """
-    SELECT DISTINCT c.video, c.frame_idx, c.group_id FROM (SELECT video, fa AS frame_idx, ga AS group_id FROM runs UNION ALL SELECT video, fb, gb FROM runs) c
-    WHERE EXISTS (SELECT 1 FROM tg t JOIN covers k USING (video, row, col) WHERE k.n > 1 AND t.video = c.video
-      AND t.frame_idx = c.frame_idx AND t.group_id = c.group_id)"""
+    SELECT DISTINCT video, frame_idx, group_id FROM (SELECT video, row, col, fa AS frame_idx, ga AS group_id FROM runs
+      UNION ALL SELECT video, row, col, fb, gb FROM runs) JOIN covers USING (video, row, col) WHERE n > 1"""
 _COVERS = "SELECT video, row, col, count(*) AS n FROM tg GROUP BY ALL"
 _NEAR = """
     SELECT t.video, t.row, t.col, t.frame_idx, t.group_id, size, n, max_rate, lead(t.frame_idx) OVER w AS nf, lag(t.frame_idx) OVER w AS pf,

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from trackgrid.evaluation import metrics, rates
@@ -135,8 +134,8 @@ _TRACK_BASE = dict(pairs=_PAIR_SQL, ious=_IOU_SQL, **_MATCH)
 @register("w04_association_consistent", sql("""
     SELECT video, frame_idx, gid AS l_track_id, pid AS r_track_id, correct FROM r2_c""", "pred_tracks", **_TRACK_BASE, **_consistent_sql(2)))
 def _(spark, sf):
-    return rates.consistent_matches(fx.gt_tracks(spark, sf), fx.pred_tracks(spark, sf), 2).select(
-        "video", "frame_idx", "l_track_id", "r_track_id", "correct")
+    gt, pred = (trajectories.at_rates(t, [2]) for t in (fx.gt_tracks(spark, sf), fx.pred_tracks(spark, sf)))
+    return rates.consistent_matches(gt, pred).select("video", "frame_idx", "l_track_id", "r_track_id", "correct")
 
 
 def _counts_sql(rate: int) -> str:
@@ -146,9 +145,13 @@ def _counts_sql(rate: int) -> str:
       WHERE t.frame_idx % {rate} = 0 GROUP BY row, col"""
 
 
+def _at_rates(spark, sf, wanted):
+    return trajectories.at_rates(fx.pred_tracks(spark, sf), wanted)
+
+
 @register("a27_e06_assoc_counts", sql(_counts_sql(2), "pred_tracks", "gt_tiles", **_TRACK_BASE, **_consistent_sql(2)))
 def _(spark, sf):
-    return rates.assoc_counts(fx.gt_tracks(spark, sf), fx.pred_tracks(spark, sf), 2, TILE, ROWS, COLS)
+    return rates.assoc_counts(fx.gt_tracks(spark, sf), _at_rates(spark, sf, [2]), [2], TILE, ROWS, COLS)
 
 
 _LEARN = [1, 2, 4]
@@ -160,16 +163,11 @@ _LAPLACE = """
     FROM (SELECT row, col, rate FROM grid_rows, grid_cols, (VALUES (1), (2), (4)) v(rate)) g LEFT JOIN counts USING (row, col, rate)"""
 
 
-def _sampled_counts(spark, sf):
-    gt, pred = fx.gt_tracks(spark, sf), fx.pred_tracks(spark, sf)
-    out = [rates.assoc_counts(gt, pred, r, TILE, ROWS, COLS) for r in _LEARN]
-    return out[0].unionByName(out[1]).unionByName(out[2])
-
-
 @register("a28_laplace_accuracy", sql("SELECT * REPLACE (round(accuracy, 6) AS accuracy) FROM laplace",
                                       "pred_tracks", "gt_tiles", **_TRACK_BASE, **_RATE_STEPS, **_ALL_COUNTS, laplace=_LAPLACE))
 def _(spark, sf):
-    return rounded(rates.laplace_accuracy(_sampled_counts(spark, sf), _LEARN, ROWS, COLS), "accuracy")
+    counts = rates.assoc_counts(fx.gt_tracks(spark, sf), _at_rates(spark, sf, _LEARN), _LEARN, TILE, ROWS, COLS)
+    return rounded(rates.laplace_accuracy(counts, _LEARN, ROWS, COLS), "accuracy")
 
 
 @register("a29_e13_learn_rates", sql("""
@@ -177,8 +175,7 @@ def _(spark, sf):
     FROM laplace, (VALUES (0.4::DOUBLE), (0.6::DOUBLE), (0.8::DOUBLE)) v(t) GROUP BY ALL""",
     "pred_tracks", "gt_tiles", **_TRACK_BASE, **_RATE_STEPS, **_ALL_COUNTS, laplace=_LAPLACE))
 def _(spark, sf):
-    gt, pred = fx.gt_tracks(spark, sf), fx.pred_tracks(spark, sf)
-    return rates.learn_rates(gt, {r: pred for r in _LEARN}, TILE, ROWS, COLS, [0.4, 0.6, 0.8])
+    return rates.learn_rates(fx.gt_tracks(spark, sf), _at_rates(spark, sf, _LEARN), _LEARN, TILE, ROWS, COLS, [0.4, 0.6, 0.8])
 
 
 _RETAINED = "SELECT DISTINCT video, frame_idx, row, col FROM centered WHERE row IS NOT NULL AND (frame_idx + row + col) % 3 > 0"
@@ -401,3 +398,15 @@ def _(spark, sf):
     both = with_neighbours(v, ["video", "track_id"], "frame_idx", ["dy", "dx"], forward=None, backward="prev")
     cost = g.direction_cost((F.col("prev_dy"), F.col("prev_dx")), (F.col("dy"), F.col("dx")), F.col("score"), 0.2, F.col("prev_dx").isNotNull())
     return rounded(both.select("video", "track_id", "frame_idx", cost.alias("cost")), "cost")
+
+
+@register("x10_same_class_pairs", sql("""
+    SELECT g.video, g.frame_idx, g.track_id AS l_track_id, p.track_id AS r_track_id FROM gt_tracks g JOIN pred_tracks p
+    ON g.video = p.video AND g.frame_idx = p.frame_idx AND g.supp % 3 = p.part % 3
+    WHERE least(g.x2, p.x2) > greatest(g.x1, p.x1) AND least(g.y2, p.y2) > greatest(g.y1, p.y1)""", "pred_tracks"))
+def _(spark, sf):
+    from trackgrid.operators.joins import iou_join
+
+    left = fx.gt_tracks(spark, sf).withColumn("class", F.col("supp") % 3)
+    right = fx.pred_tracks(spark, sf).withColumn("class", F.col("part") % 3)
+    return iou_join(left, right, frame=["video", "frame_idx", "class"]).select("video", "frame_idx", "l_track_id", "r_track_id")

@@ -11,12 +11,12 @@ from trackgrid import schemas
 VIDEO_EXTENSIONS = ("mp4", "avi", "mov", "mkv")
 
 
-def list_videos(spark: SparkSession, root: str) -> DataFrame:
+def list_videos(spark: SparkSession, root: str, extensions: tuple[str, ...] = VIDEO_EXTENSIONS,
+                layout: str = r"([^/]+)/([^/]+)/([^/]+)$") -> DataFrame:
     """(dataset, videoset, video) of the video files below ``root/<dataset>/<videoset>``; contents are not read."""
-    glob = "*.{" + ",".join(VIDEO_EXTENSIONS) + "}"
+    glob = "*.{" + ",".join(extensions) + "}"
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", glob).load(root)
-    part = r"([^/]+)/([^/]+)/([^/]+)$"
-    return files.select(*[F.regexp_extract("path", part, i).alias(c) for i, c in ((1, "dataset"), (2, "videoset"), (3, "video"))])
+    return files.select(*[F.regexp_extract("path", layout, i).alias(c) for i, c in ((1, "dataset"), (2, "videoset"), (3, "video"))])
 
 
 def read_table(spark: SparkSession, path: str, schema: str) -> DataFrame:
