@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from trackgrid.operators.aggregates import duplicate_keys
 from trackgrid.operators.joins import iou_join
 from trackgrid.operators.matching import match_boxes, one_to_one
 from trackgrid.scale import materialize, with_neighbours
@@ -22,10 +23,8 @@ def prepare_eval(tracks: DataFrame, skip: int = 1, strict: bool = False) -> Data
     out = tracks.where(F.col("frame_idx") % skip == 0)
     for name, value in (("class", 0), ("confidence", 1.0)):
         out = out.withColumn(name, F.coalesce(F.col(name), F.lit(value)) if name in tracks.columns else F.lit(value))
-    if strict:
-        copies = F.count("*").over(Window.partitionBy("video", "frame_idx", "track_id"))
-        out = out.withColumn("_n", copies).where(
-            F.assert_true(F.col("_n") == 1, "track id repeated in a frame").isNull()).drop("_n")
+    if strict and not duplicate_keys(out, ["video", "frame_idx", "track_id"]).isEmpty():
+        raise ValueError("track id repeated in a frame")
     return out
 
 
@@ -48,9 +47,10 @@ def alignment_pairs(gt: DataFrame, pred: DataFrame) -> DataFrame:
     either is in.
     """
     sim = materialize(iou_join(_slim(gt), _slim(pred)).select("video", "frame_idx", "l_track_id", "r_track_id", "iou"), "hota")
-    row = F.sum("iou").over(Window.partitionBy("video", "frame_idx", "l_track_id"))
-    col = F.sum("iou").over(Window.partitionBy("video", "frame_idx", "r_track_id"))
-    shared = sim.withColumn("_row", row).withColumn("_col", col).groupBy("video", "l_track_id", "r_track_id").agg(
+    row = sim.groupBy("video", "frame_idx", "l_track_id").agg(F.sum("iou").alias("_row"))
+    col = sim.groupBy("video", "frame_idx", "r_track_id").agg(F.sum("iou").alias("_col"))
+    summed = sim.join(row, ["video", "frame_idx", "l_track_id"]).join(col, ["video", "frame_idx", "r_track_id"])
+    shared = summed.groupBy("video", "l_track_id", "r_track_id").agg(
         F.sum(F.col("iou") / (F.col("_row") + F.col("_col") - F.col("iou"))).alias("_sim"))
     tracks = shared.join(_sizes(gt, "gt_n", "l_track_id"), ["video", "l_track_id"]).join(
         _sizes(pred, "pred_n", "r_track_id"), ["video", "r_track_id"]).withColumn(

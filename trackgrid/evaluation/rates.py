@@ -13,6 +13,7 @@ from trackgrid.operators.matching import match_boxes
 from trackgrid.operators.pruning import apply_selection, prune_groups
 from trackgrid.operators.tiles import boxes_to_cells, boxes_to_tiles, center_cell
 from trackgrid.operators.trajectories import anchor_consistency, association_consistent, at_rates, with_presence
+from trackgrid.scale import materialize
 from trackgrid.schemas import BOX
 
 
@@ -93,28 +94,9 @@ def whole_frame_baseline(cells: DataFrame, rates: list[int]) -> DataFrame:
         "variant_id", F.concat(F.lit("frame_"), F.col("_r").cast("string"))).drop("_r")
 
 
-def grid_schedules(cells: DataFrame, choices: list[int], rows: int, cols: int, existing: DataFrame | None = None) -> DataFrame:
-    """Cells retained under every rate grid, in one plan with ``variant_id`` as a key.
-
-    Cells count as their own group. Each variant keys its rows apart, so all grids run
-    at once; variants already in ``existing`` (column ``variant_id``) are left out.
-    """
-    n = rows * cols
-    per_cell = rate_grids(cells.select("row", "col").distinct(), choices, n).select(
-        "row", "col", F.concat(F.lit("grid_"), F.col("grid_key")).alias("variant_id"),
-        F.element_at("grid", (F.col("row") * cols + F.col("col") + 1).cast("int")).alias("max_rate"))
-    if existing is not None:
-        per_cell = per_cell.join(existing.select("variant_id").distinct(), "variant_id", "left_anti")
-    run = F.floor(F.col("frame_idx") / (F.col("max_rate") + 1)).alias("_run")
-    spans = cells.join(per_cell, ["row", "col"]).groupBy("variant_id", "video", "row", "col", run).agg(
-        F.min("frame_idx").alias("_a"), F.max("frame_idx").alias("_b"))
-    return spans.select("variant_id", "video", "row", "col",
-                        F.explode(F.array_distinct(F.array("_a", "_b"))).alias("frame_idx"))
-
-
 def evaluate_schedules(gt: DataFrame, matches: DataFrame, cells: DataFrame, schedules: DataFrame, width: float,
                        height: float, rows: int, cols: int) -> DataFrame:
-    """Retention and mistrack rate of every schedule in ``schedules`` (keyed by ``variant_id``).
+    """Retention and mistrack rate of every schedule of retained cells (keyed by ``variant_id``).
 
     ``matches`` pairs truth and predicted boxes; it is shared by all variants.
     """
@@ -122,11 +104,71 @@ def evaluate_schedules(gt: DataFrame, matches: DataFrame, cells: DataFrame, sche
     located = center_cell(_slim(gt), width, height, rows, cols)
     anchors = located.join(schedules, ["video", "frame_idx", "row", "col"]).select(
         "variant_id", "video", "frame_idx", "track_id")
-    held = anchor_consistency(anchors, matches)
-    rates = agg.mistrack_rate(held, ["variant_id"])
-    total = cells.agg(F.count("*").alias("original")).withColumn("_one", F.lit(1))
-    return kept.withColumn("_one", F.lit(1)).join(total, "_one").drop("_one").join(rates, "variant_id", "left").withColumn(
-        "retention_rate", F.coalesce(F.try_divide(F.col("retained").cast("double"), F.col("original").cast("double")), F.lit(0.0)))
+    wrong = agg.mistrack_rate(anchor_consistency(anchors, matches), ["variant_id"])
+    return _with_retention(kept.join(wrong, "variant_id", "left"), cells)
+
+
+def _with_retention(variants: DataFrame, cells: DataFrame) -> DataFrame:
+    total = cells.count()
+    return variants.withColumns({"original": F.lit(total).cast("bigint"), "retention_rate": F.coalesce(
+        F.try_divide(F.col("retained").cast("double"), F.lit(float(total))), F.lit(0.0))})
+
+
+def kept_cells(cells: DataFrame, choices: list[int]) -> DataFrame:
+    """Frames at which each cell is kept under each rate: first and last cover of every run of rate + 1 frames.
+
+    Cells count as their own group, so a cell's schedule depends on its own rate only.
+    """
+    rate = F.explode(F.array(*[F.lit(c).cast("bigint") for c in choices]))
+    run = F.floor(F.col("frame_idx") / (F.col("rate") + 1)).alias("_run")
+    runs = cells.withColumn("rate", rate).groupBy("video", "row", "col", "rate", run).agg(
+        F.min("frame_idx").alias("_a"), F.max("frame_idx").alias("_b"))
+    return runs.select("video", "row", "col", "rate", F.explode(F.array_distinct(F.array("_a", "_b"))).alias("frame_idx"))
+
+
+def evaluate_rate_grids(gt: DataFrame, matches: DataFrame, cells: DataFrame, choices: list[int], width: float, height: float,
+                        rows: int, cols: int, existing: DataFrame | None = None) -> DataFrame:
+    """Retention and mistrack rate of every assignment of a rate to every cell, ``grid_<r>-<r>-...``.
+
+    A track only feels the rates of the cells it visits. Tracks are therefore
+    evaluated once per assignment of *their* cells (``sub``), keyed by the set of
+    cells; every grid then adds up the sub-assignments it contains. The data is
+    multiplied by choices ** visited cells instead of choices ** all cells. Variants
+    in ``existing`` (column ``variant_id``) are left out.
+    """
+    n = rows * cols
+    kept = materialize(kept_cells(cells, choices), "grids")
+    cell = (F.col("row") * cols + F.col("col")).cast("int")
+    located = center_cell(_slim(gt), width, height, rows, cols).where("row IS NOT NULL").withColumn("cell", cell)
+    visited = located.groupBy("video", "track_id").agg(F.array_sort(F.collect_set("cell")).alias("visited"))
+    boxes = located.join(visited, ["video", "track_id"])
+    subs = boxes.select("visited").distinct()
+    k = F.size("visited")
+    index = F.explode(F.sequence(F.lit(0).cast("bigint"), F.pow(F.lit(len(choices)), k).cast("bigint") - 1))
+    options = F.array(*[F.lit(c).cast("bigint") for c in choices])
+    digit = F.transform("visited", lambda v, i: F.element_at(
+        options, (F.floor(F.col("_i") / F.pow(F.lit(len(choices)), k - 1 - i)) % len(choices) + 1).cast("int")))
+    subs = subs.withColumn("_i", index).withColumn("rates", digit).withColumn(
+        "variant_id", F.concat_ws("|", F.array_join("visited", ","), F.array_join("rates", "-"))).drop("_i")
+    own = F.element_at("rates", F.array_position("visited", F.col("cell")).cast("int"))
+    anchors = boxes.join(subs, "visited").withColumn("rate", own).join(
+        kept, ["video", "frame_idx", "row", "col", "rate"], "left_semi").select("variant_id", "video", "frame_idx", "track_id")
+    per_sub = agg.mistrack_rate(anchor_consistency(anchors, matches), ["variant_id"]).select(
+        F.col("variant_id").alias("sub"), "correct", "incorrect")
+
+    def grids(df: DataFrame) -> DataFrame:
+        out = rate_grids(df, choices, n).withColumn("variant_id", F.concat(F.lit("grid_"), F.col("grid_key")))
+        return out if existing is None else out.join(existing.select("variant_id").distinct(), "variant_id", "left_anti")
+
+    part = F.array_join(F.transform("visited", lambda c: F.element_at(F.col("grid"), c + 1)), "-")
+    held = grids(subs.select("visited").distinct()).withColumn("sub", F.concat_ws("|", F.array_join("visited", ","), part)).join(
+        per_sub, "sub").groupBy("variant_id").agg(F.sum("correct").alias("correct"), F.sum("incorrect").alias("incorrect"))
+    per_cell = kept.groupBy(cell.alias("cell"), "rate").agg(F.count("*").alias("n"))
+    sized = grids(cells.sparkSession.range(1).drop("id")).select("variant_id", F.posexplode("grid").alias("cell", "rate")).join(
+        per_cell, ["cell", "rate"], "left").groupBy("variant_id").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("retained"))
+    out = sized.join(held, "variant_id", "left").fillna(0, subset=["correct", "incorrect"]).withColumn(
+        "mistrack_rate", F.coalesce(F.try_divide(F.col("incorrect").cast("double"), F.col("correct") + F.col("incorrect")), F.lit(0.0)))
+    return _with_retention(out, cells)
 
 
 def pruned_detections(dets: DataFrame, groups: DataFrame, rates: DataFrame, width: float, height: float, rows: int,

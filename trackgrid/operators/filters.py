@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from trackgrid.functions import geometry as g
+from trackgrid.scale import with_rank
 from trackgrid.schemas import BOX
 
 
@@ -82,18 +83,18 @@ def segment_range(frame_count: Column, i: Column, segments: int) -> list[Column]
             F.floor(frame_count * (i + 1) / segments).alias("end_frame")]
 
 
-def ordered_by_hash(df: DataFrame, key: str, seed: int, buckets: int = 64) -> DataFrame:
-    """Add ``rank``: the 0-based position of each row in md5(seed, key) order.
+def ordered_by_hash(df: DataFrame, key: str, seed: int) -> DataFrame:
+    """Add ``rank``, the 0-based position of each row in md5(seed, key) order, and ``total``.
 
-    Rows are numbered inside the ranges of the digest's leading two digits and the
-    256 range sizes are then added up, so no task ever sorts the whole table.
+    Rows are numbered inside the ranges of the digest's leading four digits and the
+    65,536 range sizes are then added up, so no task ever sorts the whole table.
     """
     digest = F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string")))
     hashed = df.withColumn("_h", digest).withColumn("_p", F.substring(digest, 1, 4))
     local = hashed.withColumn("_r", F.row_number().over(Window.partitionBy("_p").orderBy("_h", key)))
     sizes = hashed.groupBy("_p").agg(F.count("*").alias("_n"))
     before = F.sum("_n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1))
-    starts = sizes.select("_p", F.coalesce(before, F.lit(0)).alias("_start"))
+    starts = sizes.select("_p", F.coalesce(before, F.lit(0)).alias("_start"), F.sum("_n").over(Window.partitionBy()).alias("total"))
     return local.join(starts, "_p").withColumn("rank", F.col("_r") - 1 + F.col("_start")).drop(
         "_h", "_p", "_r", "_start")
 
@@ -108,25 +109,21 @@ def split_videos(videos: DataFrame, train: int, valid: int, test: int, seed: int
     )
     return ranked.withColumn("split", split).where("split IS NOT NULL").withColumn(
         "name", F.concat(F.substring("split", 1, 2), F.col("video").cast("string"))
-    ).drop("rank")
+    ).drop("rank", "total")
 
 
 def split_frames(df: DataFrame, key: str, val_fraction: float, seed: int = 42) -> DataFrame:
     """The last int(n * fraction) rows in hash order are validation."""
     ranked = ordered_by_hash(df, key, seed)
-    n = df.agg(F.count("*").alias("_total"))
-    cut = F.col("_total") - F.floor(F.col("_total") * val_fraction)
-    return ranked.withColumn("_one", F.lit(1)).join(n.withColumn("_one", F.lit(1)), "_one").withColumn(
-        "split", F.when(F.col("rank") < cut, "train").otherwise("val")
-    ).drop("rank", "_total", "_one")
+    cut = F.col("total") - F.floor(F.col("total") * val_fraction)
+    return ranked.withColumn("split", F.when(F.col("rank") < cut, "train").otherwise("val")).drop("rank", "total")
 
 
-def subsample_every(df: DataFrame, keys: list[str], order: list[str], every: int, offset: int = 0) -> DataFrame:
-    """Every ``every``-th row of each key in sorted order, starting at ``offset``."""
+def subsample_every(df: DataFrame, keys: list[str], order: str, every: int, offset: int = 0) -> DataFrame:
+    """Every ``every``-th row of each key in the order of a whole-number column, starting at ``offset``."""
     if every < 1 or not 0 <= offset < every:
         raise ValueError("every must be positive and 0 <= offset < every")
-    w = Window.partitionBy(*keys).orderBy(*order)
-    return df.withColumn("_rn", F.row_number().over(w) - 1).where(F.col("_rn") % every == offset).drop("_rn")
+    return with_rank(df, keys, order, "_rn").where(F.col("_rn") % every == offset).drop("_rn")
 
 
 def filter_config(df: DataFrame, **allowed: list | None) -> DataFrame:

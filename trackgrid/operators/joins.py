@@ -185,6 +185,17 @@ def iou_join(left: DataFrame, right: DataFrame, min_iou: float = 0.0, frame: lis
     return pairs.withColumn("iou", ASSOCIATION[similarity](g.box("l_"), g.box("r_"))).where(F.col("iou") >= min_iou)
 
 
+def with_center_similarity(pairs: DataFrame, frame: list[str]) -> DataFrame:
+    """Add ``center_similarity``: centre distance over the largest of the frame, reversed.
+
+    The largest distance is a partial aggregation joined back, so a crowded frame's pairs stay spread.
+    """
+    far = pairs.withColumn("_d", g.center_distance(g.box("l_"), g.box("r_")))
+    top = far.groupBy(*frame).agg(F.max("_d").alias("_top"))
+    value = F.when(F.col("_top") > 0, (F.col("_top") - F.col("_d")) / F.col("_top")).otherwise(F.lit(0.0))
+    return far.join(top, frame).withColumn("center_similarity", value).drop("_d", "_top")
+
+
 def overlap_join(left: DataFrame, right: DataFrame, frame: list[str] | None = None, cell: int = 256) -> DataFrame:
     """Pairs of boxes of the same frame that touch (closed intervals)."""
     return overlap_pairs(left, right, frame or ["video", "frame_idx"], cell, closed=True)

@@ -102,24 +102,38 @@ def pareto_prune(front: DataFrame, x: str, y: str, points: int, *, min_x: bool,
     return front.groupBy(*by).applyInPandas(thin, front.schema)
 
 
-def interp_at(df: DataFrame, queries: DataFrame, x: str, y: str, by: list[str], extrapolate: bool = False) -> DataFrame:
+def interp_at(df: DataFrame, queries: DataFrame, x: str, y: str, by: list[str], extrapolate: bool = False,
+              blocks: int = 32) -> DataFrame:
     """Piecewise-linear ``y`` at ``query_point``; NULL outside the range unless clamped by ``extrapolate``.
 
-    Queries and curve points of a group share one ordered window, so the enclosing
-    segment is found without pairing queries with segments.
+    Queries and curve points of a group share ordered windows over blocks of the axis,
+    so the enclosing segment is found without pairing queries with segments and
+    without sorting a whole group in one task.
     """
     curve = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).groupBy(*by, F.col(x).cast("double").alias("_x")).agg(
         F.max(F.col(y).cast("double")).alias("_y"))
     asked = queries.select(*by, F.col("query_point").cast("double").alias("_x"), F.lit(None).cast("double").alias("_y"),
                            F.lit(True).alias("_q"))
     line = curve.withColumn("_q", F.lit(False)).unionByName(asked)
+    # The axis is cut at the table's quantiles; each block also gets the nearest curve points outside it.
+    cuts = line.agg(F.percentile_approx("_x", [i / blocks for i in range(1, blocks)], 1000).alias("c")).first()["c"] or []
+    line = line.withColumn("_blk", sum((F.when(F.col("_x") > c, 1).otherwise(0) for c in sorted(set(cuts))), F.lit(0)))
     point = F.when(~F.col("_q"), F.struct("_x", "_y"))
-    w = Window.partitionBy(*by).orderBy("_x", "_q")
+    ends = line.groupBy(*by, "_blk").agg(F.max(point).alias("_hi"), F.min(point).alias("_lo"))
+    over = Window.partitionBy(*by).orderBy("_blk")
+    ends = ends.select(*[F.col(c).alias(f"_k_{c}") for c in by], F.col("_blk").alias("_k_blk"),
+                       F.last("_hi", True).over(over.rowsBetween(Window.unboundedPreceding, -1)).alias("_before"),
+                       F.first("_lo", True).over(over.rowsBetween(1, Window.unboundedFollowing)).alias("_after"))
+    w = Window.partitionBy(*by, "_blk").orderBy("_x", "_q")
     back = F.last(point, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    wr = Window.partitionBy(*by).orderBy(F.col("_x").desc(), F.col("_q"))
+    wr = Window.partitionBy(*by, "_blk").orderBy(F.col("_x").desc(), F.col("_q"))
     ahead = F.last(point, ignorenulls=True).over(wr.rowsBetween(Window.unboundedPreceding, 0))
     placed = line.withColumns({"_a": back, "_b": ahead}).where("_q")
-    a, b, q = F.col("_a"), F.col("_b"), F.col("_x")
+    on = F.col("_blk") == F.col("_k_blk")
+    for c in by:
+        on = on & F.col(c).eqNullSafe(F.col(f"_k_{c}"))
+    placed = placed.join(ends, on)
+    a, b, q = F.coalesce("_a", "_before"), F.coalesce("_b", "_after"), F.col("_x")
     inner = F.when(a["_x"] == b["_x"], a["_y"]).otherwise(
         a["_y"] + (b["_y"] - a["_y"]) * (q - a["_x"]) / F.nullif(b["_x"] - a["_x"], F.lit(0.0)))
     value = F.when(a.isNotNull() & b.isNotNull(), inner)

@@ -135,7 +135,7 @@ def _(spark, sf):
     SELECT video, track_id, frame_idx FROM (SELECT *, row_number() OVER (PARTITION BY video, track_id ORDER BY frame_idx) - 1 AS rn
       FROM gt_tracks) WHERE rn % 3 = 1""", "gt_tracks"))
 def _(spark, sf):
-    return filters.subsample_every(fx.gt_tracks(spark, sf), ["video", "track_id"], ["frame_idx"], 3, 1).select(
+    return filters.subsample_every(fx.gt_tracks(spark, sf), ["video", "track_id"], "frame_idx", 3, 1).select(
         "video", "track_id", "frame_idx")
 
 
@@ -674,10 +674,11 @@ def _(spark, sf):
 def _(spark, sf):
     a, b = g.box("l_"), g.box("r_")
     names = ["iou", "iou_plus1", "giou", "diou", "ciou", "center", "fused"]
-    return rounded(_pairs(spark, sf).select(
+    pairs = joins.with_center_similarity(_pairs(spark, sf), FRAME)
+    return rounded(pairs.select(
         "video", "frame_idx", "l_track_id", "r_track_id", "iou", g.iou_plus1(a, b).alias("iou_plus1"), g.giou(a, b).alias("giou"),
         g.diou(a, b).alias("diou"), g.ciou(a, b).alias("ciou"),
-        g.center_similarity(g.center_distance(a, b), FRAME).alias("center"),
+        F.col("center_similarity").alias("center"),
         (1 - g.fuse_score(1 - F.col("iou"), F.col("r_score"))).alias("fused")), *names)
 
 

@@ -240,17 +240,29 @@ def _matches(spark, sf):
         WINDOW w AS (PARTITION BY s.variant_id, c.video, c.track_id ORDER BY c.frame_idx))) GROUP BY ALL) USING (variant_id)""",
     "pred_tracks", **_TRACK_BASE, clipped=_CLIP, centered=_CENTER2, cells=_CELLS, grids=_GRIDS, schedule=_SCHEDULE))
 def _(spark, sf):
-    cells = _cells2(spark, sf)
-    plan = rates.grid_schedules(cells, [1, 4], 2, 2)
-    return rounded(rates.evaluate_schedules(fx.gt_tracks(spark, sf), _matches(spark, sf), cells, plan, WIDTH, HEIGHT, 2, 2),
+    return rounded(rates.evaluate_rate_grids(fx.gt_tracks(spark, sf), _matches(spark, sf), _cells2(spark, sf), [1, 4], WIDTH, HEIGHT, 2, 2),
                    "mistrack_rate", "retention_rate")
 
 
-@register("e09_whole_frame_baseline", sql("""
-    SELECT 'frame_' || r AS variant_id, count(*) AS retained FROM cells, (VALUES (1), (2), (4)) v(r) WHERE frame_idx % r = 0 GROUP BY ALL""",
-    "gt_tracks", clipped=_CLIP, centered=_CENTER2, cells=_CELLS))
+_SCORED_SCHEDULES = """
+    SELECT variant_id, retained, original, correct, incorrect, round(incorrect / (correct + incorrect), 6) AS mistrack_rate,
+      round(retained / original, 6) AS retention_rate
+    FROM (SELECT variant_id, count(*) AS retained FROM schedule GROUP BY ALL) JOIN (SELECT count(*) AS original FROM cells) ON TRUE
+    JOIN (SELECT variant_id, count(*) FILTER (WHERE ok) AS correct, count(*) FILTER (WHERE NOT ok) AS incorrect FROM (
+      SELECT variant_id, pid IS NOT NULL AND (nf IS NULL OR coalesce(np = pid, FALSE)) AND (pf IS NULL OR coalesce(pp = pid, FALSE)) AS ok FROM (
+        SELECT s.variant_id, m.pid, lead(c.frame_idx) OVER w AS nf, lag(c.frame_idx) OVER w AS pf, lead(m.pid) OVER w AS np, lag(m.pid) OVER w AS pp
+        FROM centered c JOIN schedule s USING (video, frame_idx, row, col)
+        LEFT JOIN matched m ON m.video = c.video AND m.frame_idx = c.frame_idx AND m.gid = c.track_id
+        WINDOW w AS (PARTITION BY s.variant_id, c.video, c.track_id ORDER BY c.frame_idx))) GROUP BY ALL) USING (variant_id)"""
+
+
+@register("e09_whole_frame_baseline", sql(_SCORED_SCHEDULES, "pred_tracks", **_TRACK_BASE, clipped=_CLIP, centered=_CENTER2, cells=_CELLS,
+    schedule="SELECT 'frame_' || r AS variant_id, cells.* FROM cells, (VALUES (1), (2), (4)) v(r) WHERE frame_idx % r = 0"))
 def _(spark, sf):
-    return rates.whole_frame_baseline(_cells2(spark, sf), [1, 2, 4]).groupBy("variant_id").agg(F.count("*").alias("retained"))
+    cells = _cells2(spark, sf)
+    plan = rates.whole_frame_baseline(cells, [1, 2, 4])
+    return rounded(rates.evaluate_schedules(fx.gt_tracks(spark, sf), _matches(spark, sf), cells, plan, WIDTH, HEIGHT, 2, 2),
+                   "mistrack_rate", "retention_rate")
 
 
 # --- tracking metrics ------------------------------------------------------
@@ -380,8 +392,17 @@ def _(spark, sf):
 
 @register("e15_naive_tracks")
 def _(spark, sf):
-    tracked = linking.link_tracks(fx.detections(spark, sf), max_age=4)
-    return rounded(trajectories.interpolate_tracks(tracked), "x1", "y1", "x2", "y2")
+    from trackgrid.plans.trackings import naive_tracks
+
+    return rounded(naive_tracks(fx.detections(spark, sf), "sort", max_age=4), "x1", "y1", "x2", "y2")
+
+
+@register("e15_truth_tracks")
+def _(spark, sf):
+    from trackgrid.plans.trackings import truth_tracks
+
+    counts = fx.gt_tracks(spark, sf).groupBy("video").agg((F.max("frame_idx") * 4).alias("frame_count"))
+    return rounded(truth_tracks(fx.detections(spark, sf), counts, "sort", max_age=4), "x1", "y1", "x2", "y2")
 
 
 @register("x07_direction_cost", sql("""

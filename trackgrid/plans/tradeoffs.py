@@ -662,10 +662,11 @@ def _(spark, sf):
 
 @register("e10_tradeoff_report", tradeoff_sql("""
     SELECT dataset, count(*) AS points, round(min(time), 6) AS fastest, round(max(HOTA_HOTA), 6) AS best
-    FROM front GROUP BY dataset""", front=_VALID_FRONT))
+    FROM front GROUP BY dataset""", front=FRONT.format(where="WHERE videoset = 'valid' AND variant <> 'naive'",
+                                                       and_where="AND t.videoset = 'valid' AND t.variant <> 'naive'")))
 def _(spark, sf):
     from trackgrid.plans.reports import tradeoff_report
-    front = tradeoff_report(fx.accuracy(spark, sf), fx.variant_runtimes(spark, sf), fx.video_frames(spark, sf))
+    front = tradeoff_report(fx.accuracy(spark, sf), fx.variant_runtimes(spark, sf), fx.video_frames(spark, sf), points=None)
     return rounded(front.groupBy("dataset").agg(F.count("*").alias("points"), F.min("time").alias("fastest"),
                                                 F.max("HOTA_HOTA").alias("best")), "fastest", "best")
 

@@ -97,6 +97,19 @@ def with_neighbours(
     return joined.select(*out)
 
 
+def with_rank(df: DataFrame, keys: list[str], order: str, name: str, block: int = BLOCK) -> DataFrame:
+    """Number the rows of each key from 0 in the order of a whole-number column unique within it.
+
+    Rows are numbered inside ``order div block`` and shifted by the rows of the blocks
+    before, so no window partition holds more than ``block`` rows.
+    """
+    part = df.withColumn("_blk", F.floor(F.col(order) / block))
+    local = part.withColumn("_r", F.row_number().over(Window.partitionBy(*keys, "_blk").orderBy(order)) - 1)
+    w = Window.partitionBy(*keys).orderBy("_blk").rowsBetween(Window.unboundedPreceding, -1)
+    starts = part.groupBy(*keys, "_blk").agg(F.count("*").alias("_n")).withColumn("_start", F.coalesce(F.sum("_n").over(w), F.lit(0)))
+    return local.join(starts.drop("_n"), [*keys, "_blk"]).withColumn(name, F.col("_r") + F.col("_start")).drop("_blk", "_r", "_start")
+
+
 def null_safe(left: DataFrame, right: DataFrame, keys: list[str]):
     """Join condition in which NULL parameters equal each other."""
     on = F.lit(True)
