@@ -199,6 +199,16 @@ def prune_breakdown(ops: DataFrame) -> DataFrame:
     return parts.withColumn("total", F.sum("time").over(Window.partitionBy("config")))
 
 
+def order_configs(df: DataFrame, value: str = "total") -> DataFrame:
+    """Rows with the position of their configuration, the largest total first (ties by name).
+
+    The configurations are reduced to one row each before they are ordered.
+    """
+    totals = df.groupBy("config").agg(F.max(value).alias("_v"))
+    place = F.row_number().over(Window.orderBy(F.col("_v").desc(), "config")) - 1
+    return df.join(totals.select("config", place.alias("position")), "config")
+
+
 def prune_summary(df: DataFrame, level: str = "threshold") -> DataFrame:
     """Mean retention and total time per (dataset, config, threshold or time limit)."""
     return df.groupBy("dataset", "config", level).agg(

@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StructField, StructType
 
-from trackgrid.operators import tiles
+from trackgrid.operators import linking, tiles
 from trackgrid.plans import fixtures as fx
 from trackgrid.plans.catalog import register, rounded
 from trackgrid.plans.fixtures import COLS, ROWS, TILE, sql
+from trackgrid.plans.tracking import _CHAIN, _EDGES, _LINK1
 from trackgrid.scale import new_path
 from trackgrid.streaming import events
 
@@ -98,7 +99,20 @@ def _(spark, sf):
     return rounded(out.groupBy("user_id").agg(F.count("*").alias("n"), F.sum("value").alias("value")), "value")
 
 
-@register("t07_t09_video_end", sql("SELECT video, count(*) AS boxes, count(DISTINCT frame_idx) AS frames FROM detections GROUP BY ALL", "detections"))
+@register("t02_stream_active_boxes", sql("""
+    SELECT g.video, count(*) AS n FROM (SELECT video, frame_idx, CAST(floor((y1 + y2) / 2 / 60) AS BIGINT) AS row, CAST(floor((x1 + x2) / 2 / 60) AS BIGINT) AS col
+      FROM detections WHERE x1 < 1080) g WHERE EXISTS (SELECT 1 FROM tile_scores t WHERE t.score >= 128 AND t.video = g.video AND t.frame_idx = g.frame_idx
+        AND t.row = g.row AND t.col = g.col) GROUP BY ALL""", "tile_scores"))
+def _(spark, sf):
+    """A stream filtered against a table: the boxes whose centre tile is relevant."""
+    stream = _replay(fx.detections(spark, sf).where("x1 < 1080"), "t02a")
+    active = fx.tile_scores(spark, sf).where("score >= 128")
+    centred = stream.withColumns({"row": F.floor((F.col("y1") + F.col("y2")) / 2 / TILE), "col": F.floor((F.col("x1") + F.col("x2")) / 2 / TILE)})
+    kept = centred.join(active, ["video", "frame_idx", "row", "col"], "left_semi")
+    return _drain(kept, "t02a").groupBy("video").agg(F.count("*").alias("n"))
+
+
+@register("t07_t09_video_end", sql("SELECT * FROM rec_chain", "detections", recursive=True, edges=_EDGES, **_LINK1, rec_chain=_CHAIN))
 def _(spark, sf):
     dets = fx.detections(spark, sf).withColumn("is_end", F.lit(False))
     ends = dets.select("video").distinct().select("video", *[
@@ -107,12 +121,13 @@ def _(spark, sf):
     pending, sink = new_path(spark, "t07-pending"), new_path(spark, "t07-sink")
 
     def whole_video(rows):
-        return rows.groupBy("video").agg(F.count("*").alias("boxes"), F.count_distinct("frame_idx").alias("frames"))
+        return linking.link_tracks(rows, max_age=1).select("video", "frame_idx", "det_id", "track_id")
 
     query = events.on_video_end(stream, pending, whole_video, sink, new_path(spark, "t07-state"))
     query.processAllAvailable()
     query.stop()
-    return spark.read.schema("video BIGINT, boxes BIGINT, frames BIGINT").parquet(sink).select("video", "boxes", "frames")
+    return spark.read.schema("video BIGINT, frame_idx BIGINT, det_id BIGINT, track_id BIGINT").parquet(sink).select(
+        "video", "frame_idx", "det_id", "track_id")
 
 
 @register("t08_runtime_totals", sql("SELECT stage, op, round(sum(time), 6) AS time, count(*) AS count FROM runtimes GROUP BY ALL", "runtimes"))

@@ -603,6 +603,16 @@ def _(spark, sf):
     return trajectories.first_last_per_tile(_tile_groups(spark, sf))
 
 
+@register("w16_largest_groups", sql("""
+    SELECT * EXCLUDE (rn), rn - 1 AS group_id FROM (SELECT *, row_number() OVER (PARTITION BY video, frame_idx ORDER BY size DESC, min_row, min_col) AS rn
+      FROM (SELECT video, frame_idx, group_id AS block, count(*) AS size, min(row) AS min_row, min(col) AS min_col FROM tg GROUP BY ALL)) WHERE rn <= 2""",
+    "tile_scores", tg=_TG))
+def _(spark, sf):
+    sizes = _tile_groups(spark, sf).groupBy("video", "frame_idx", F.col("group_id").alias("block")).agg(
+        F.count("*").alias("size"), F.min("row").alias("min_row"), F.min("col").alias("min_col"))
+    return trajectories.largest_groups(sizes, 2)
+
+
 _PACK = """
     SELECT *, CAST(CASE WHEN size_class <= 6 THEN floor((row_number() OVER w - 1) / size_class)
         ELSE floor(coalesce(sum(size) OVER (PARTITION BY video, batch, size_class ORDER BY size DESC, frame_idx, group_id

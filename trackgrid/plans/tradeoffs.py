@@ -697,3 +697,11 @@ def _(spark, sf):
     rival = fx.read(spark, sf, "part").select(F.col("p_brand").alias("dataset"), F.col("p_partkey").alias("param_id"),
                                              F.col("p_retailprice").alias("time"))
     return align_systems(ours, {"otif": rival}, ours.columns + ["time"])
+
+
+@register("w15_order_configs", sql("""
+    SELECT config, op, round(time, 6) AS time, round(total, 6) AS total, dense_rank() OVER (ORDER BY round(total, 6) DESC, config) - 1 AS position
+    FROM (SELECT config, op, time, sum(time) OVER (PARTITION BY config) AS total FROM (
+      SELECT config, op, sum(time) AS time FROM runtimes GROUP BY ALL))""", "runtimes"))
+def _(spark, sf):
+    return agg.order_configs(rounded(agg.prune_breakdown(fx.runtimes(spark, sf)), "time", "total"))

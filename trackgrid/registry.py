@@ -15,7 +15,7 @@ ASSOCIATION = {
     "giou": g.giou,
     "diou": g.diou,
     "ciou": g.ciou,
-    "center_distance": g.center_distance,
+    "ct_dist": g.center_distance,
 }
 
 
