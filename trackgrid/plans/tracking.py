@@ -368,9 +368,48 @@ def _(spark, sf):
     return linking.link_tracks(fx.detections(spark, sf), max_age=1).select("video", "frame_idx", "det_id", "track_id")
 
 
-@register("g05_link_tracks")
+def _overlap_sql(a: str, b: str, where: str, columns: str, source: str) -> str:
+    return f"""
+    SELECT * FROM (SELECT {columns}, i / (s - i) AS w FROM (SELECT a.video, {source},
+        greatest(0, least(a.x2, b.x2) - greatest(a.x1, b.x1)) * greatest(0, least(a.y2, b.y2) - greatest(a.y1, b.y1)) AS i,
+        (a.x2 - a.x1) * (a.y2 - a.y1) + (b.x2 - b.x1) * (b.y2 - b.y1) AS s
+      FROM {a} a JOIN {b} b ON a.video = b.video AND {where}
+      WHERE least(a.x2, b.x2) > greatest(a.x1, b.x1) AND least(a.y2, b.y2) > greatest(a.y1, b.y1))) WHERE w >= 0.1"""
+
+
+def link_sql(max_age: int, nodes: str = "SELECT * FROM detections") -> dict[str, str]:
+    """Two-pass linking: adjacent frames, then open ends moved along their last step; ``rec_chain`` has the track ids."""
+    out = {"nodes": nodes}
+    out |= greedy_sql(_overlap_sql("nodes", "nodes", "b.frame_idx = a.frame_idx + 1", "video, lf, ld, rf, rd",
+                                   "a.frame_idx AS lf, a.det_id AS ld, b.frame_idx AS rf, b.det_id AS rd"),
+                      "video", "lf, ld", "rf, rd", "w DESC", 6, "near1")
+    out["stepped"] = """
+        SELECT n.*, coalesce(((n.x1 + n.x2) / 2 - (p.x1 + p.x2) / 2) / (n.frame_idx - p.frame_idx), 0) AS vx,
+          coalesce(((n.y1 + n.y2) / 2 - (p.y1 + p.y2) / 2) / (n.frame_idx - p.frame_idx), 0) AS vy
+        FROM nodes n LEFT JOIN near1 l ON l.video = n.video AND l.rf = n.frame_idx AND l.rd = n.det_id
+        LEFT JOIN nodes p ON p.video = l.video AND p.frame_idx = l.lf AND p.det_id = l.ld"""
+    out["tails"] = """
+        SELECT video, frame_idx, det_id, gap, x1 + vx * gap AS x1, y1 + vy * gap AS y1, x2 + vx * gap AS x2, y2 + vy * gap AS y2
+        FROM (SELECT *, CAST(range AS BIGINT) AS gap FROM stepped, range(2, %d)) n
+        WHERE NOT EXISTS (SELECT 1 FROM near1 l WHERE l.video = n.video AND l.lf = n.frame_idx AND l.ld = n.det_id)""" % (max_age + 1)
+    out["heads"] = """
+        SELECT * FROM nodes n WHERE NOT EXISTS (SELECT 1 FROM near1 l WHERE l.video = n.video AND l.rf = n.frame_idx AND l.rd = n.det_id)"""
+    out |= greedy_sql(_overlap_sql("tails", "heads", "b.frame_idx = a.frame_idx + a.gap", "video, lf, ld, rf, rd, gap",
+                                   "a.frame_idx AS lf, a.det_id AS ld, b.frame_idx AS rf, b.det_id AS rd, a.gap"),
+                      "video", "lf, ld", "rf, rd", "gap, w DESC", 8, "far")
+    out["links"] = "SELECT video, lf, ld, rf, rd FROM near1 UNION ALL SELECT video, lf, ld, rf, rd FROM far"
+    out["rec_chain"] = """
+        SELECT video, frame_idx, det_id, frame_idx * 4294967296 + det_id AS track_id FROM nodes d
+          WHERE NOT EXISTS (SELECT 1 FROM links m WHERE m.video = d.video AND m.rf = d.frame_idx AND m.rd = d.det_id)
+        UNION ALL SELECT m.video, m.rf, m.rd, c.track_id FROM rec_chain c JOIN links m ON m.video = c.video AND m.lf = c.frame_idx AND m.ld = c.det_id"""
+    return out
+
+
+@register("g05_link_tracks", sql("""
+    SELECT video, track_id, frame_idx, det_id FROM (SELECT *, count(*) OVER (PARTITION BY video, track_id) AS n FROM rec_chain) WHERE n >= 2""",
+    "detections", recursive=True, **link_sql(4)))
 def _(spark, sf):
-    return linking.link_tracks(fx.detections(spark, sf), max_age=4, min_hits=2)
+    return linking.link_tracks(fx.detections(spark, sf), max_age=4, min_hits=2).select("video", "track_id", "frame_idx", "det_id")
 
 
 @register("g06_link_two_stage")
@@ -383,21 +422,29 @@ def _(spark, sf):
     return linking.link_tracks_direction(fx.detections(spark, sf), max_age=4)
 
 
-@register("g08_tracker_sampled")
+@register("g08_tracker_sampled", sql("SELECT video, track_id, frame_idx * 2 AS frame_idx, det_id FROM rec_chain", "detections", recursive=True,
+    **link_sql(2, "SELECT * REPLACE (frame_idx // 2 AS frame_idx) FROM detections WHERE frame_idx % 2 = 0")))
 def _(spark, sf):
     from trackgrid.registry import tracker
 
-    return linking.run_tracker_sampled(fx.detections(spark, sf), 2, tracker("sort", max_age=2))
+    return linking.run_tracker_sampled(fx.detections(spark, sf), 2, tracker("sort", max_age=2)).select(
+        "video", "track_id", "frame_idx", "det_id")
+
+
+_TRACKED = "SELECT c.video, c.track_id, c.frame_idx, x1, y1, x2, y2 FROM rec_chain c JOIN nodes n USING (video, frame_idx, det_id)"
 
 
-@register("e15_naive_tracks")
+@register("e15_naive_tracks", sql(_INTERP.replace("gt_tracks", "tracked"), "detections", recursive=True, **link_sql(4), tracked=_TRACKED))
 def _(spark, sf):
     from trackgrid.plans.trackings import naive_tracks
 
     return rounded(naive_tracks(fx.detections(spark, sf), "sort", max_age=4), "x1", "y1", "x2", "y2")
 
 
-@register("e15_truth_tracks")
+@register("e15_truth_tracks", sql("""
+    SELECT video, track_id, CASE WHEN n >= 1000 THEN frame_idx // 2 ELSE frame_idx END AS frame_idx, x1, y1, x2, y2, interpolated
+    FROM filled JOIN (SELECT video, max(frame_idx) * 4 AS n FROM gt_tracks GROUP BY ALL) USING (video) WHERE n < 1000 OR frame_idx % 2 = 0""",
+    "detections", recursive=True, **link_sql(4), tracked=_TRACKED, filled=_INTERP.replace("gt_tracks", "tracked")))
 def _(spark, sf):
     from trackgrid.plans.trackings import truth_tracks
 

@@ -113,7 +113,24 @@ def _(spark, sf):
     return pareto.pareto_front(tradeoff(spark, sf), "throughput_fps", "HOTA_HOTA", min_x=False, min_y=False)
 
 
-@register("w08_pareto_prune")
+def prune_sql(rounds: int, keep: int) -> dict[str, str]:
+    """One removal of the widest-angle interior point per dataset and round, slowest point first."""
+    out = {"cut0": """
+        SELECT *, (time - min(time) OVER d) / coalesce(nullif(max(time) OVER d - min(time) OVER d, 0), 1) AS nx,
+          (HOTA_HOTA - min(HOTA_HOTA) OVER d) / coalesce(nullif(max(HOTA_HOTA) OVER d - min(HOTA_HOTA) OVER d, 0), 1) AS ny,
+          row_number() OVER (PARTITION BY dataset ORDER BY time DESC, HOTA_HOTA, variant_id) AS pos FROM front WINDOW d AS (PARTITION BY dataset)"""}
+    for i in range(rounds):
+        out[f"cut{i + 1}"] = f"""
+        SELECT * EXCLUDE (pax, pay, pbx, pby, total, place) FROM (SELECT *, row_number() OVER (PARTITION BY dataset ORDER BY
+            CASE WHEN pax IS NULL OR pbx IS NULL THEN 2 WHEN sqrt(pax * pax + pay * pay) * sqrt(pbx * pbx + pby * pby) > 0
+              THEN (pax * pbx + pay * pby) / (sqrt(pax * pax + pay * pay) * sqrt(pbx * pbx + pby * pby)) ELSE -1 END, pos) AS place
+          FROM (SELECT *, lag(nx) OVER w - nx AS pax, lag(ny) OVER w - ny AS pay, lead(nx) OVER w - nx AS pbx, lead(ny) OVER w - ny AS pby,
+            count(*) OVER (PARTITION BY dataset) AS total FROM cut{i} WINDOW w AS (PARTITION BY dataset ORDER BY pos)))
+        WHERE total <= {keep} OR place > 1"""
+    return out
+
+
+@register("w08_pareto_prune", tradeoff_sql("SELECT * EXCLUDE (nx, ny, pos) FROM cut24", front=FRONT.format(where="", and_where=""), **prune_sql(24, 4)))
 def _(spark, sf):
     front = pareto.pareto_front(tradeoff(spark, sf), "time", "HOTA_HOTA", min_x=True, min_y=False, by=["dataset"])
     return pareto.pareto_prune(front, "time", "HOTA_HOTA", 4, min_x=True, by=["dataset"])
