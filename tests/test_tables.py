@@ -1,5 +1,6 @@
 import json
 import os
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -128,6 +129,28 @@ def test_competitor_tracks(spark, tmp_path, rows):
         frames.import_competitor_tracks(spark, str(tmp_path)).collect()
 
 
+def test_frame_annotations_across_splits(spark, tmp_path):
+    """A file cut into many splits numbers its frames like one read whole."""
+    rng = random.Random(2)
+    doc = []
+    for f in range(400):
+        n = rng.randint(0, 3)
+        doc.append(None if rng.random() < 0.2 else [
+            {"left": f, "top": 0, "right": f + 1, "bottom": 1, "class": None if i else "car", "score": 0.5, "track_id": i} for i in range(n)])
+    folder = tmp_path / "set"
+    folder.mkdir()
+    (folder / "v.json").write_text(json.dumps(doc, indent=1))
+    (folder / "empty.json").write_text("[]")
+    (folder / "null.json").write_text("null")
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")
+    try:
+        got = sorted((r.video, r.folder, r.frame_idx, r.track_id, r.x1) for r in frames.read_frame_annotations(spark, str(tmp_path)).collect())
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    assert got == sorted(("v", "set", f, d["track_id"], float(f)) for f, ds in enumerate(doc) for d in ds or [])
+
+
 MASK = """<annotations><image id="0" name="a.jpg" width="1280" height="720">
 <box label="other" xtl="0" ytl="0" xbr="5" ybr="5"></box><box label="crop" xtl="1.5" ytl="2" xbr="3" ybr="4"></box>
 <polygon label="domain" points="0,0;10,0;10,10;0,10"></polygon></image></annotations>"""

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from trackgrid import schemas
 from trackgrid.plans import fixtures as fx
 from trackgrid.plans import trainsets
 from trackgrid.plans.catalog import register, rounded
@@ -234,22 +233,19 @@ def _(spark, sf):
 def _(spark, sf):
     path = new_path(spark, "s10")
     _write_frame_arrays(spark, fx.gt_tracks(spark, sf), path, "3")
-    return _competitor(spark, path)
-
-
-def _competitor(spark, path):
-    from trackgrid.operators.trajectories import interpolate_tracks
-
-    # Spark names part files itself, so the video is the folder here and the parameter set the folder above.
-    whole = spark.read.text(path, wholetext=True, recursiveFileLookup=True).select(
-        F.regexp_extract("_metadata.file_path", r"param=([^/]+)", 1).cast("bigint").alias("param_id"),
-        F.regexp_extract("_metadata.file_path", r"video=([^/]+)", 1).cast("bigint").alias("video_id"),
-        F.from_json("value", schemas.FRAME_OBJECT).alias("doc"))
-    rows = whole.select("param_id", "video_id", F.posexplode("doc").alias("f", "o")).select(
-        "param_id", "video_id", F.col("f").cast("bigint").alias("frame_idx"), F.inline("o")).select(
-        "param_id", "video_id", "track_id", "frame_idx", F.col("left").alias("x1"), F.col("top").alias("y1"),
-        F.col("right").alias("x2"), F.col("bottom").alias("y2"))
-    return rounded(interpolate_tracks(rows, ["param_id", "video_id", "track_id"]), "x1", "y1", "x2", "y2")
+    # Spark names part files itself, so parameter set and video are folders here.
+    tracks = frames.import_competitor_tracks(spark, path, glob="*", layout=r"param=([^/]+)/video=([^/]+)/")
+    return rounded(tracks, "x1", "y1", "x2", "y2")
+
+
+@register("s10_frame_annotations", sql("""
+    SELECT video, frame_idx, row_number() OVER (PARTITION BY video, frame_idx ORDER BY x1, y1, x2, y2, score, track_id) - 1 AS det_id, track_id,
+      x1, y1, x2, y2, 'car' AS class, score FROM gt_tracks""", "gt_tracks"))
+def _(spark, sf):
+    path = new_path(spark, "s10")
+    _write_frame_arrays(spark, fx.gt_tracks(spark, sf), path, "0")
+    rows = frames.read_frame_annotations(spark, path, glob="*", layout=r"param=([^/]+)/video=([^/]+)/")
+    return _long(rows.drop("folder"), "video", "frame_idx", "det_id")
 
 
 _TRAINSET = f"""

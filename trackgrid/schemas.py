@@ -29,8 +29,8 @@ CANVAS_FILE = "image_file STRING, bboxes ARRAY<ARRAY<DOUBLE>>"
 TRACK_FILE = "frame_idx INT, tracks ARRAY<ARRAY<DOUBLE>>"
 SCORE_FILE = "classification_size ARRAY<INT>, classification_hex STRING, idx INT"
 FRAME_OBJECT = (
-    "array<array<struct<left:double,top:double,right:double,bottom:double,"
-    "class:string,score:double,track_id:bigint>>>"
+    "array<struct<left:double,top:double,right:double,bottom:double,"
+    "class:string,score:double,track_id:bigint>>"
 )
 ANNOTATION_FILE = (
     "dataset STRING, video STRING, image_path STRING, image_width INT, image_height INT, "
