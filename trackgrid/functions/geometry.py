@@ -97,13 +97,17 @@ def center_distance(a: Box, b: Box) -> Column:
     return F.sqrt((a.cx - b.cx) * (a.cx - b.cx) + (a.cy - b.cy) * (a.cy - b.cy))
 
 
-def direction(from_box: Box, to_box: Box) -> tuple[Column, Column]:
-    """Unit vector (dy, dx) between box centres, guarded against zero length."""
-    dx, dy = to_box.cx - from_box.cx, to_box.cy - from_box.cy
+def unit(dx: Column, dy: Column) -> tuple[Column, Column]:
+    """Unit vector (dy, dx), guarded against zero length."""
     norm = F.sqrt(dx * dx + dy * dy) + F.lit(1e-6)
     return dy / norm, dx / norm
 
 
+def direction(from_box: Box, to_box: Box) -> tuple[Column, Column]:
+    """Unit vector (dy, dx) between box centres."""
+    return unit(to_box.cx - from_box.cx, to_box.cy - from_box.cy)
+
+
 def direction_cost(inertia: tuple[Column, Column], step: tuple[Column, Column], score: Column,
                    weight: float, has_previous: Column) -> Column:
     """Angle agreement of a candidate step with the track's inertia; 0 without history."""

@@ -412,14 +412,102 @@ def _(spark, sf):
     return linking.link_tracks(fx.detections(spark, sf), max_age=4, min_hits=2).select("video", "track_id", "frame_idx", "det_id")
 
 
-@register("g06_link_two_stage")
+_FUSED = "1 - (1 - (1 - (1 - iou)) * rs)"
+_NORM = "(sqrt({x} * {x} + {y} * {y}) + 1e-6)"
+_DIRECTED = f"""iou + CASE WHEN has_step THEN (pi() / 2 - abs(acos(least(1.0::DOUBLE, greatest(-1.0::DOUBLE,
+    vy / {_NORM.format(x='vx', y='vy')} * (sy / {_NORM.format(x='sx', y='sy')}) + vx / {_NORM.format(x='vx', y='vy')} * (sx / {_NORM.format(x='sx', y='sy')})))))) / pi() * 0.2 * rs ELSE 0 END"""
+_NOT_USED = "NOT EXISTS (SELECT 1 FROM links{i} l WHERE l.video = n.video AND l.{f} = n.frame_idx AND l.{d} = n.det_id)"
+
+
+def stages_sql(nodes: str, stages: list[dict], rounds: int = 7) -> dict[str, str]:
+    """Association passes over open ends as table expressions; the last ``links`` and ``nodes`` come out unnumbered."""
+    out = {"nodes0": nodes, "links0": "SELECT video, frame_idx AS lf, det_id AS ld, frame_idx AS rf, det_id AS rd FROM detections WHERE FALSE"}
+    for i, st in enumerate(stages):
+        move = "+ {v} * gap" if st.get("predict") else ""
+        boxes = ", ".join(f"{c} {move.format(v='v' + c[0])} AS {c}" for c in ("x1", "y1", "x2", "y2"))
+        out[f"stepped{i}"] = f"""
+        SELECT n.*, coalesce(((n.x1 + n.x2) / 2 - (p.x1 + p.x2) / 2) / (n.frame_idx - p.frame_idx), 0) AS vx, p.video IS NOT NULL AS has_step,
+          coalesce(((n.y1 + n.y2) / 2 - (p.y1 + p.y2) / 2) / (n.frame_idx - p.frame_idx), 0) AS vy
+        FROM nodes{i} n LEFT JOIN links{i} l ON l.video = n.video AND l.rf = n.frame_idx AND l.rd = n.det_id
+        LEFT JOIN nodes{i} p ON p.video = l.video AND p.frame_idx = l.lf AND p.det_id = l.ld"""
+        gaps = ", ".join(f"(CAST({v} AS BIGINT))" for v in st["gaps"])
+        out[f"tails{i}"] = f"""
+        SELECT video, frame_idx, det_id, gap, vx, vy, has_step, (x1 + x2) / 2 AS ox, (y1 + y2) / 2 AS oy, {boxes}
+        FROM stepped{i} n, (VALUES {gaps}) v(gap) WHERE {st.get("tails", "TRUE")} AND {_NOT_USED.format(i=i, f="lf", d="ld")}"""
+        out[f"heads{i}"] = f"SELECT * FROM nodes{i} n WHERE {st.get('heads', 'TRUE')} AND {_NOT_USED.format(i=i, f='rf', d='rd')}"
+        pairs = f"""
+        SELECT video, lf, ld, rf, rd, gap, w FROM (SELECT *, {st.get("weight", "iou")} AS w FROM (SELECT *, i / (s - i) AS iou FROM (
+          SELECT a.video, a.frame_idx AS lf, a.det_id AS ld, b.frame_idx AS rf, b.det_id AS rd, a.gap, a.vx, a.vy, a.has_step, b.score AS rs,
+            (b.x1 + b.x2) / 2 - a.ox AS sx, (b.y1 + b.y2) / 2 - a.oy AS sy,
+            greatest(0, least(a.x2, b.x2) - greatest(a.x1, b.x1)) * greatest(0, least(a.y2, b.y2) - greatest(a.y1, b.y1)) AS i,
+            (a.x2 - a.x1) * (a.y2 - a.y1) + (b.x2 - b.x1) * (b.y2 - b.y1) AS s
+          FROM tails{i} a JOIN heads{i} b ON a.video = b.video AND b.frame_idx = a.frame_idx + a.gap
+          WHERE least(a.x2, b.x2) > greatest(a.x1, b.x1) AND least(a.y2, b.y2) > greatest(a.y1, b.y1)))
+          WHERE iou >= {st.get("min_iou", 0)}) WHERE w >= {st.get("min_weight", 0)}"""
+        out |= greedy_sql(pairs, "video", "lf, ld", "rf, rd", "gap, w DESC", rounds, f"got{i}")
+        union = f"SELECT * FROM links{i} UNION ALL SELECT video, lf, ld, rf, rd FROM got{i}"
+        if "start" in st:
+            out[f"all{i}"] = union
+            out[f"rec_start{i}"] = f"""
+            SELECT video, frame_idx, det_id FROM nodes{i} n WHERE {st["start"]} AND NOT EXISTS (
+              SELECT 1 FROM all{i} l WHERE l.video = n.video AND l.rf = n.frame_idx AND l.rd = n.det_id)
+            UNION ALL SELECT l.video, l.rf, l.rd FROM rec_start{i} c JOIN all{i} l ON l.video = c.video AND l.lf = c.frame_idx AND l.ld = c.det_id"""
+            out[f"kept{i}"] = f"SELECT * FROM rec_start{i}"
+            out[f"nodes{i + 1}"] = f"SELECT n.* FROM nodes{i} n JOIN kept{i} USING (video, frame_idx, det_id)"
+            out[f"links{i + 1}"] = f"SELECT l.* FROM all{i} l JOIN kept{i} k ON k.video = l.video AND k.frame_idx = l.rf AND k.det_id = l.rd"
+        else:
+            out[f"nodes{i + 1}"], out[f"links{i + 1}"] = f"SELECT * FROM nodes{i}", union
+    last = len(stages)
+    out["nodes"], out["links"] = f"SELECT * FROM nodes{last}", f"SELECT * FROM links{last}"
+    return out | {"rec_chain": _CHAINED}
+
+
+_CHAINED = link_sql(2)["rec_chain"]
+_BANDED = "SELECT * FROM detections WHERE score > {high} OR (score > 0.1 AND score < {high})"
+
+
+def _bands(high: float) -> tuple[str, str]:
+    return f"n.score > {high}", f"n.score > 0.1 AND n.score < {high}"
+
+
+_HIGH, _LOW = _bands(0.5)
+_TWO_STAGE = stages_sql(_BANDED.format(high=0.5), [
+    dict(gaps=[1], tails=_HIGH, heads=_HIGH, weight=_FUSED, min_weight="(1 - 0.8::DOUBLE)"),
+    dict(gaps=[1], heads=_LOW, min_iou=0.5, start=_HIGH),
+    dict(gaps=[1], tails=_LOW, heads=_HIGH, weight=_FUSED, min_weight="(1 - 0.8::DOUBLE)"),
+    dict(gaps=[2, 3, 4], heads=_HIGH, predict=True, weight=_FUSED, min_weight="(1 - 0.8::DOUBLE)")])
+
+
+@register("g06_link_two_stage", sql("""
+    SELECT t.* FROM started t WHERE NOT EXISTS (SELECT 1 FROM overlapping o WHERE o.video = t.video AND o.frame_idx = t.frame_idx AND o.track_id = t.track_id)""",
+    "detections", recursive=True, **_TWO_STAGE,
+    started="""
+      SELECT video, track_id, frame_idx, det_id FROM (SELECT c.*, min(CASE WHEN score >= 0.6 THEN frame_idx END) OVER (PARTITION BY video, track_id) AS first
+        FROM rec_chain c JOIN nodes n USING (video, frame_idx, det_id)) WHERE frame_idx >= first""",
+    sized="""
+      SELECT s.*, x1, y1, x2, y2, count(*) OVER (PARTITION BY s.video, s.track_id) AS hits FROM started s JOIN nodes n USING (video, frame_idx, det_id)""",
+    overlapping="""
+      SELECT DISTINCT video, frame_idx, track_id FROM (SELECT a.video, a.frame_idx, a.track_id,
+        greatest(0, least(a.x2, b.x2) - greatest(a.x1, b.x1)) * greatest(0, least(a.y2, b.y2) - greatest(a.y1, b.y1)) AS i,
+        (a.x2 - a.x1) * (a.y2 - a.y1) + (b.x2 - b.x1) * (b.y2 - b.y1) AS s
+        FROM sized a JOIN sized b USING (video, frame_idx) WHERE a.hits < b.hits OR (a.hits = b.hits AND a.track_id > b.track_id)) WHERE i / (s - i) >= 0.85"""))
 def _(spark, sf):
-    return linking.link_tracks_two_stage(fx.detections(spark, sf), max_age=4)
+    return linking.link_tracks_two_stage(fx.detections(spark, sf), max_age=4).select("video", "track_id", "frame_idx", "det_id")
+
+
+_HIGH3, _LOW3 = _bands(0.3)
+_BY_DIRECTION = stages_sql(_BANDED.format(high=0.3), [
+    dict(gaps=[1], tails=_HIGH3, heads=_HIGH3, min_iou=0.1),
+    dict(gaps=[1], heads=_LOW3, min_iou=0.1, start=_HIGH3),
+    dict(gaps=[1], tails=_LOW3, heads=_HIGH3, min_iou=0.1, weight=_DIRECTED, min_weight="-9"),
+    dict(gaps=[2, 3], heads=_HIGH3, min_iou=0.1, predict=True, weight=_DIRECTED, min_weight="-9"),
+    dict(gaps=[4], heads=_HIGH3, min_iou=0.1, predict=True, weight=_DIRECTED, min_weight="-9"),
+    dict(gaps=[2, 3, 4], heads=_HIGH3, min_iou=0.1)])
 
 
-@register("g07_link_direction")
+@register("g07_link_direction", sql("SELECT video, track_id, frame_idx, det_id FROM rec_chain", "detections", recursive=True, **_BY_DIRECTION))
 def _(spark, sf):
-    return linking.link_tracks_direction(fx.detections(spark, sf), max_age=4)
+    return linking.link_tracks_direction(fx.detections(spark, sf), max_age=4).select("video", "track_id", "frame_idx", "det_id")
 
 
 @register("g08_tracker_sampled", sql("SELECT video, track_id, frame_idx * 2 AS frame_idx, det_id FROM rec_chain", "detections", recursive=True,
