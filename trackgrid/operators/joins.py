@@ -258,14 +258,14 @@ def project_annotations(tracks: DataFrame, placements: DataFrame, index_map: Dat
         ((F.col("py") - F.col("oy")) * tilesize).alias("_dy"),
     )
     first = source.groupBy("video", "collage_idx", "frame_idx", "row", "col").agg(
-        F.min_by(F.struct("group_id", "_dx", "_dy"), "group_id").alias("_g"))
+        F.min("group_id").alias("_g"), F.min_by("_dx", "group_id").alias("_dx"), F.min_by("_dy", "group_id").alias("_dy"))
     b = g.box()
     keyed = tracks.withColumns({"row": g.tile_of(b.cy, tilesize), "col": g.tile_of(b.cx, tilesize)})
     found = keyed.join(first, ["video", "frame_idx", "row", "col"])
-    moved = g.Box(b.x1 + F.col("_g._dx"), b.y1 + F.col("_g._dy"), b.x2 + F.col("_g._dx"), b.y2 + F.col("_g._dy"))
+    moved = g.Box(b.x1 + F.col("_dx"), b.y1 + F.col("_dy"), b.x2 + F.col("_dx"), b.y2 + F.col("_dy"))
     out = g.clip(moved, 0, 0, canvas_width, canvas_height)
     return found.select(
-        *COLLAGE, F.col("_g.group_id").alias("group_id"), "frame_idx", "track_id",
+        *COLLAGE, F.col("_g").alias("group_id"), "frame_idx", "track_id",
         *[c.alias(n) for n, c in zip(BOX, out)],
     ).where("x2 > x1 AND y2 > y1")
 

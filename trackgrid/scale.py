@@ -6,6 +6,7 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -75,19 +76,25 @@ def with_neighbours(
     shift = {forward: F.lead, backward: F.lag}
     part = part.withColumns({f"_{p}": shift[p](payload).over(w) for p in prefixes})
 
-    borders = part.groupBy(*keys, "_blk").agg(
-        F.min_by(payload, order).alias("_head"), F.max_by(payload, order).alias("_tail")
-    )
+    # Column by column, so that plain values are aggregated by hash and nothing is sorted for it.
+    ends = []
+    if forward:
+        ends += [F.min_by(c, order).alias(f"_head_{c}") for c in columns]
+    if backward:
+        ends += [F.max_by(c, order).alias(f"_tail_{c}") for c in columns]
+    borders = part.groupBy(*keys, "_blk").agg(*ends)
     wb = Window.partitionBy(*keys).orderBy("_blk")
+
+    def packed(side: str):
+        return F.struct(*[F.col(f"_{side}_{c}").alias(c) for c in columns])
+
     edge = {}
     if forward:
-        edge[f"_edge_{forward}"] = F.lead("_head").over(wb)
+        edge[f"_edge_{forward}"] = F.lead(packed("head")).over(wb)
     if backward:
-        edge[f"_edge_{backward}"] = F.lag("_tail").over(wb)
+        edge[f"_edge_{backward}"] = F.lag(packed("tail")).over(wb)
     borders = borders.withColumns(edge)
-    borders = borders.where(F.coalesce(*[F.col(c).isNotNull() for c in edge]) if len(edge) == 1
-                            else F.col(f"_edge_{forward}").isNotNull()
-                            | F.col(f"_edge_{backward}").isNotNull())
+    borders = borders.where(reduce(lambda a, b: a | b, [F.col(c).isNotNull() for c in edge]))
     borders = borders.select(*[F.col(k).alias(f"_k_{k}") for k in keys],
                              F.col("_blk").alias("_k_blk"), *edge)
     on = F.col("_blk") == F.col("_k_blk")
