@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trackgrid.llm import decontam, mixing, quality, secrets, tokens, urlgroups
+from trackgrid.llm import decontam, mixing, neardup, quality, secrets, tokens, urlgroups
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -65,6 +65,13 @@ def op5_fm_index_decontamination(spark, sf_dir):
     return found.select("doc_id", "n_words", "n_hit", F.size("hit_items").cast("long").alias("n_items"), digest(F.array_join("hit_items", ",")).alias("items_sha256"), "contaminated")
 
 
+@query
+def op7_multi_index_hamming(spark, sf_dir):
+    """Near-duplicate groups of all documents: three-word shingles, similarity 0.85."""
+    found = neardup.near_duplicates(table(spark, sf_dir, "documents"), percent=85, size=3)
+    return found.select("doc_id", "n_shingles", "component_id", (F.col("doc_id") == F.col("component_id")).alias("kept"))
+
+
 @query
 def op8_mixing_thresholds(spark, sf_dir):
     """The mix of all documents."""
