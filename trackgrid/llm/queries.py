@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trackgrid.llm import decontam, mixing, neardup, quality, secrets, tokens, urlgroups
+from trackgrid.llm import decontam, mixing, neardup, quality, repeats, secrets, tokens, toxicity, urlgroups
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -28,6 +28,14 @@ def digest(column) -> F.Column:
     return F.sha2(column.cast("binary"), 256)
 
 
+@query
+def op1_nnpu_toxicity(spark, sf_dir):
+    """Toxicity of all documents; labels of fold 0 are held out."""
+    docs = table(spark, sf_dir, "documents")
+    scored = toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")), keep=["doc_id"])
+    return scored.select("doc_id", (toxicity.in_fold("doc_id") == 0).alias("held_out"), "score", "predicted")
+
+
 #: The rules of the URL query.
 URL_RULES = [("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/")]
 
@@ -120,3 +128,10 @@ def op9_distribution_divergence(spark, sf_dir):
     """Quality measures and verdicts of all documents."""
     judged = quality.judge_quality(table(spark, sf_dir, "documents"), keep=["doc_id"])
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "class_distance", "word_distance")
+
+
+@query
+def op10_prefix_free_parsing(spark, sf_dir):
+    """Bytes of all documents that lie in repeated strings of 200 bytes."""
+    cut = repeats.remove_repeats(table(spark, sf_dir, "documents"), keep=["doc_id"], cleaned=False)
+    return cut.select("doc_id", "n_bytes", "n_removed", F.size("removed").cast("long").alias("n_spans"), "kept_sha256")
