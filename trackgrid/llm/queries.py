@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trackgrid.llm import decontam, mixing, neardup, quality, repeats, secrets, tokens, toxicity, urlgroups
+from trackgrid.llm import decontam, langid, mixing, neardup, quality, repeats, secrets, tokens, toxicity, urlgroups
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -73,6 +73,12 @@ def op5_fm_index_decontamination(spark, sf_dir):
     return found.select("doc_id", "n_words", "n_hit", F.size("hit_items").cast("long").alias("n_items"), digest(F.array_join("hit_items", ",")).alias("items_sha256"), "contaminated")
 
 
+@query
+def op6_language_fusion(spark, sf_dir):
+    """Languages of all pages, with text statistics of all documents."""
+    return langid.identify(table(spark, sf_dir, "pages"), table(spark, sf_dir, "documents"))
+
+
 @query
 def op7_multi_index_hamming(spark, sf_dir):
     """Near-duplicate groups of all documents: three-word shingles, similarity 0.85."""
