@@ -33,7 +33,7 @@ def filtering(stage: Callable) -> Callable:
     def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
         aside = {c: f"__aside_{i}" for i, c in enumerate(docs.columns) if c not in READ}
         kept = stage(spark, docs.withColumnsRenamed(aside), sf_dir)
-        return kept.withColumnsRenamed({v: k for k, v in aside.items()}).select(*docs.columns)
+        return kept.select(*[aside.get(c, c) for c in docs.columns]).toDF(*docs.columns)
 
     return run_stage
 
