@@ -29,7 +29,7 @@ WIDTH, ERRORS = 6, 1
 #: Most likely share of pairs just at the similarity limit that share no bucket, or are beyond the signature distance.
 MISSED = 1e-5
 #: Most sets and bytes of sets in a block of a family; a task holds two blocks.
-BLOCK_SETS, BLOCK_BYTES = 3000, 16 << 20
+BLOCK_SETS, BLOCK_BYTES = 2000, 16 << 20
 
 
 @dataclass(frozen=True)
@@ -234,13 +234,14 @@ def near_duplicates(docs: DataFrame, *, percent: int = 80, size: int = 5, id_col
 
     keys = classes.select("node", "sketch").mapInArrow(_bucket_keys(scheme), "key long, node long")
     leaders = keys.groupBy("key").agg(F.min("node").alias("leader"), F.max("node").alias("last")).where("leader < last").select("key", "leader")
-    stars = keys.join(leaders, "key").where("node <> leader").select(F.col("node").alias("a"), F.col("leader").alias("b")).distinct()
+    # Merge joins at every size: a small side that is sent to all tasks today would be shuffled tomorrow.
+    stars = keys.join(leaders.hint("merge"), "key").where("node <> leader").select(F.col("node").alias("a"), F.col("leader").alias("b")).distinct()
     family = scratch.table(components(stars, scratch), "family").withColumnRenamed("root", "family")
     scratch.drop("edges")
 
     known = classes.select("node", "n", "sketch", F.col("id").alias("rep_id"), F.col("text_hash").alias("rep_hash")).join(family, "node")
     members = scratch.table(known, "members")
-    texts = rows.join(members.select("node", "rep_id", "rep_hash"), (F.col("text_hash") == F.col("rep_hash")) & F.col("id").eqNullSafe(F.col("rep_id"))).select("node", "text")
+    texts = rows.join(members.select("node", "rep_id", "rep_hash").hint("merge"), (F.col("text_hash") == F.col("rep_hash")) & F.col("id").eqNullSafe(F.col("rep_id"))).select("node", "text")
     sets = map_text(texts, _full_sets("text", size), "items binary", ["node"])
     blocks = members.groupBy("family").agg(F.greatest(F.ceil(F.count("*") / BLOCK_SETS), F.ceil(F.sum("n") * 8 / BLOCK_BYTES)).alias("blocks"))
     placed = members.join(blocks, "family").select("node", "family", "sketch", "blocks", F.pmod(F.xxhash64("node"), F.col("blocks")).alias("block"))
