@@ -406,3 +406,32 @@ def test_unpack_inverts_projection(spark):
     back = joins.unpack_detections(canvas.drop("frame_idx", "group_id").withColumnRenamed("track_id", "det_id"), index, place, 20, 2, 5)
     got = {(r.frame_idx, r.det_id): (r.x1, r.y1, r.x2, r.y2) for r in back.collect()}
     assert got == {(3, 1): (65.0, 45.0, 85.0, 70.0), (4, 2): (5.0, 5.0, 25.0, 30.0)}
+
+
+# --- long chains and one-sided videos ----------------------------------------
+
+def test_long_chain_of_preferences_needs_no_rounds(spark):
+    """Every box prefers the next one's partner a little more, so only the last pair is mutual at first."""
+    n = 500
+    pairs = [(0, 3, k, k, 1.0 + 0.001 * k) for k in range(n)] + [(0, 3, k, k + 1, 1.0005 + 0.001 * k) for k in range(n - 1)]
+    df = spark.createDataFrame(pairs, "video bigint, frame_idx bigint, l bigint, r bigint, w double")
+    got = {(p.l, p.r) for p in matching.match_in_frames(df, ["video", "frame_idx"], "frame_idx", ["l"], ["r"], [F.col("w")]).collect()}
+    assert got == greedy([(w, a, b) for _, _, a, b, w in pairs])
+
+
+def test_chained_suppression(spark):
+    """Each box overlaps the next one only, so every other box stays."""
+    boxes = [(0, 1, k, 6.0 * k, 0.0, 6.0 * k + 20, 20.0, 1 - 0.001 * k) for k in range(300)]
+    df = spark.createDataFrame(boxes, "video bigint, frame_idx bigint, det_id bigint, x1 double, y1 double, x2 double, y2 double, score double")
+    assert sorted(r.det_id for r in matching.nms(df, 0.5).collect()) == list(range(0, 300, 2))
+
+
+def test_one_sided_videos_and_sampled_frames(spark):
+    def moving(video):
+        return [(video, f, 1, 2.0 * f, 0.0, 2.0 * f + 30, 30.0) for f in range(12)]
+
+    gt, pred = spark.createDataFrame(moving(1) + moving(2), BOXES), spark.createDataFrame(moving(1) + moving(3), BOXES)
+    got = {r.video: (r.tp, r.fn, r.fp, r.frag, r.MOTA) for r in metrics.clear_mot(gt, pred).collect()}
+    assert got == {1: (12, 0, 0, 0, 1.0), 2: (0, 12, 0, 0, 0.0), 3: (0, 0, 12, 0, -12.0)}
+    sampled = [metrics.prepare_eval(x, 3) for x in (gt, gt)]
+    assert {r.frag for r in metrics.clear_mot(*sampled).collect()} == {0}

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from trackgrid.operators.aggregates import duplicate_keys
 from trackgrid.operators.joins import iou_join
-from trackgrid.operators.matching import match_boxes, one_to_one
+from trackgrid.operators.matching import match_boxes, match_in_frames, one_to_one
 from trackgrid.scale import materialize, with_neighbours
 from trackgrid.schemas import BOX
 
@@ -16,11 +16,13 @@ ALPHAS = [round(0.05 * i, 2) for i in range(1, 20)]
 
 
 def prepare_eval(tracks: DataFrame, skip: int = 1, strict: bool = False) -> DataFrame:
-    """Evaluation rows: every ``skip``-th frame, default class 0 and confidence 1.
+    """Evaluation rows: every ``skip``-th frame, numbered without gaps, default class 0 and confidence 1.
 
     With ``strict`` an id seen twice in a frame is an error.
     """
     out = tracks.where(F.col("frame_idx") % skip == 0)
+    if skip > 1:
+        out = out.withColumn("frame_idx", F.expr(f"frame_idx div {int(skip)}"))
     for name, value in (("class", 0), ("confidence", 1.0)):
         out = out.withColumn(name, F.coalesce(F.col(name), F.lit(value)) if name in tracks.columns else F.lit(value))
     if strict and not duplicate_keys(out, ["video", "frame_idx", "track_id"]).isEmpty():
@@ -66,8 +68,8 @@ def hota(gt: DataFrame, pred: DataFrame, combined: bool = True) -> DataFrame:
     one aggregation, so rows are never multiplied by the thresholds.
     """
     pairs = alignment_pairs(gt, pred)
-    matched = one_to_one(pairs, ["video", "frame_idx"], ["l_track_id"], ["r_track_id"],
-                         [F.round(F.col("alignment") * F.col("iou"), 9)], "hota")
+    matched = match_in_frames(pairs, ["video", "frame_idx"], "frame_idx", ["l_track_id"], ["r_track_id"],
+                              [F.round(F.col("alignment") * F.col("iou"), 9)])
     keys = ["video", "l_track_id", "r_track_id", "gt_n", "pred_n"]
     hit = {a: F.col("iou") >= a - 1e-9 for a in ALPHAS}
     per_pair = matched.groupBy(*keys).agg(
@@ -109,7 +111,8 @@ def clear_mot(gt: DataFrame, pred: DataFrame, threshold: float = 0.5) -> DataFra
     """MOTA family per video from one-to-one matches at ``threshold``.
 
     Identity switches compare a track's match with its previous one; fragments count
-    the restarts of a track's matched runs.
+    the restarts of a track's matched runs. A video without truth has only false positives,
+    one without predictions only misses.
     """
     matched = match_boxes(_slim(gt), _slim(pred), threshold).select(
         "video", "frame_idx", F.col("l_track_id").alias("track_id"), F.col("r_track_id").alias("pred_id"), "iou")
@@ -126,7 +129,7 @@ def clear_mot(gt: DataFrame, pred: DataFrame, threshold: float = 0.5) -> DataFra
         F.sum("_iou").alias("_iou"), F.count_if(share > 0.8).alias("mt"),
         F.count_if((share >= 0.2) & (share <= 0.8)).alias("pt"), F.count_if(share < 0.2).alias("ml"))
     reported = pred.groupBy("video").agg(F.count("*").alias("pred_dets"))
-    out = out.join(reported, "video", "left").fillna(0).withColumns(
+    out = out.join(reported, "video", "full").fillna(0).withColumns(
         {"fn": F.col("gt_dets") - F.col("tp"), "fp": F.col("pred_dets") - F.col("tp")})
     return out.select("video", "tp", "fn", "fp", "idsw", "frag", "mt", "pt", "ml",
                       _ratio(F.col("tp") - F.col("fp") - F.col("idsw"), F.col("gt_dets")).alias("MOTA"),

@@ -1,9 +1,11 @@
-"""One-to-one matching and suppression by rounds of joins."""
+"""One-to-one matching and suppression."""
 
 from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -11,12 +13,47 @@ from trackgrid.functions import geometry as g
 from trackgrid.operators.joins import iou_join, overlap_pairs
 from trackgrid.scale import materialize
 
+#: Frames that are matched together in one task's group.
+FRAMES_PER_GROUP = 64
+
+
+def _taken(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Which pairs, ordered from the best, find both their ends free."""
+    out = (np.bincount(left)[left] == 1) & (np.bincount(right)[right] == 1)
+    # Pairs whose ends have no other candidate are free whatever the others do.
+    used_left, used_right = np.zeros(left.max() + 1, bool), np.zeros(right.max() + 1, bool)
+    for k in np.flatnonzero(~out):
+        if not (used_left[left[k]] or used_right[right[k]]):
+            out[k] = used_left[left[k]] = used_right[right[k]] = True
+    return out
+
+
+def match_in_frames(pairs: DataFrame, within: list[str], frame: str, left: list[str], right: list[str], order: list[Column]) -> DataFrame:
+    """Greedy one-to-one subset of the candidate pairs of each frame, best pair first.
+
+    ``order`` ranks pairs (larger is better); ties go to the smaller left, then right id.
+    Pairs of different frames never compete, so one shuffle by (video, run of frames) makes groups of
+    bounded size and each is matched in place: no rounds, however long a chain of
+    preferences is.
+    """
+    ranks = [f"_o{i}" for i in range(len(order))]
+    ranked = pairs.withColumns(dict(zip(ranks, order))).withColumn("_run", F.floor(F.col(frame) / FRAMES_PER_GROUP))
+    keys, columns = list(dict.fromkeys([*within, frame])), pairs.columns
+
+    def match(batch: pd.DataFrame) -> pd.DataFrame:
+        batch = batch.sort_values([*ranks, *left, *right], ascending=[False] * len(ranks) + [True] * (len(left) + len(right)), kind="stable")
+        ends = [batch.groupby([*keys, *side], sort=False, dropna=False).ngroup().to_numpy() for side in (left, right)]
+        return batch.loc[_taken(*ends), columns]
+
+    groups = list(dict.fromkeys([c for c in within if c != frame] + ["_run"]))
+    return ranked.groupBy(*groups).applyInPandas(match, pairs.schema)
+
 
 def one_to_one(pairs: DataFrame, within: list[str], left: list[str], right: list[str], order: list[Column],
                tag: str = "match") -> DataFrame:
-    """Greedy one-to-one subset of candidate pairs, best pair first.
+    """Greedy one-to-one subset of candidate pairs that belong to no frame, best pair first.
 
-    ``order`` ranks pairs (larger is better); ties go to the smaller left, then right
+    For pairs of tracks, whose number is small beside their boxes. ``order`` ranks pairs (larger is better); ties go to the smaller left, then right
     id. A round keeps the pairs that are the best of both their ends and drops the
     pairs that lost an end; it repeats until no pair is left. That is the greedy
     result, and candidates that are already one-to-one finish in the first round.
@@ -55,16 +92,16 @@ def match_boxes(left: DataFrame, right: DataFrame, min_iou: float, frame: list[s
     """
     frame = frame or ["video", "frame_idx"]
     pairs = iou_join(left, right, min_iou, frame, similarity=similarity)
-    return one_to_one(pairs, frame, [f"l_{left_id}"], [f"r_{right_id}"], [F.col("iou")])
+    return match_in_frames(pairs, frame, frame[-1], [f"l_{left_id}"], [f"r_{right_id}"], [F.col("iou")])
 
 
 def nms(df: DataFrame, threshold: float, frame: list[str] | None = None, key: str = "det_id",
         score: str = "score") -> DataFrame:
     """Non-maximum suppression per frame: keep the best box, drop those overlapping it too much.
 
-    Overlap counts whole pixels. Only pairs at or above ``threshold`` become edges; a
-    round keeps every box without a stronger undecided neighbour, drops the
-    neighbours of the kept ones, and repeats on what is undecided.
+    Overlap counts whole pixels. Only pairs at or above ``threshold`` become edges. A box is kept
+    if no kept stronger neighbour drops it; the strongest box with edges decides first. Frames
+    are independent, so one shuffle by (video, run of frames) settles all of them.
     """
     frame = frame or ["video", "frame_idx"]
     ids = [*frame, key]
@@ -76,21 +113,21 @@ def nms(df: DataFrame, threshold: float, frame: list[str] | None = None, key: st
     real_a, real_b = g.Box(a.x1, a.y1, a.x2 - 1, a.y2 - 1), g.Box(b.x1, b.y1, b.x2 - 1, b.y2 - 1)
     stronger = (F.col(f"l_{score}") > F.col(f"r_{score}")) | (
         (F.col(f"l_{score}") == F.col(f"r_{score}")) & (F.col(f"l_{key}") > F.col(f"r_{key}")))
-    edges = pairs.where(stronger & (g.iou_plus1(real_a, real_b) >= threshold)).select(*frame, f"l_{key}", f"r_{key}")
-    edges = materialize(edges, "nms")
-    strong, weak = [*frame, f"l_{key}"], [*frame, f"r_{key}"]
-    suppressed = []
-    rest = edges
-    while True:
-        # Strong ends that nothing undecided can still drop are kept; their neighbours go.
-        heads = rest.select(*strong).distinct()
-        targets = rest.select(*[F.col(c).alias(s) for c, s in zip(weak, strong)]).distinct()
-        kept = heads.join(targets, strong, "left_anti")
-        gone = materialize(rest.join(kept, strong, "left_semi").select(*weak).distinct(), "nms")
-        suppressed.append(gone)
-        as_strong = gone.withColumnRenamed(f"r_{key}", f"l_{key}")
-        rest = materialize(rest.join(gone, weak, "left_anti").join(as_strong, strong, "left_anti"), "nms")
-        if rest.isEmpty():
-            break
-    lost = reduce(DataFrame.unionByName, suppressed).withColumnRenamed(f"r_{key}", key)
-    return df.join(lost, ids, "left_anti")
+    edges = pairs.where(stronger & (g.iou_plus1(real_a, real_b) >= threshold)).select(*frame, f"l_{key}", f"r_{key}", f"l_{score}")
+    edges = edges.withColumn("_run", F.floor(F.col(frame[-1]) / FRAMES_PER_GROUP))
+    lost = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.select(*ids).schema)
+
+    def suppressed(batch: pd.DataFrame) -> pd.DataFrame:
+        batch = batch.sort_values([f"l_{score}", f"l_{key}"], ascending=False, kind="stable")
+        boxes = pd.concat([batch[[*frame, f"{s}_{key}"]].set_axis(ids, axis=1) for s in ("l", "r")])
+        number = boxes.groupby(ids, sort=False, dropna=False).ngroup().to_numpy()
+        strong, weak = number[:len(batch)], number[len(batch):]
+        gone = np.zeros(number.max() + 1, bool)
+        # Every edge into a box comes before the edges out of it, as strong ends are in order.
+        for s, w in zip(strong, weak):
+            if not gone[s]:
+                gone[w] = True
+        return boxes[gone[number]].drop_duplicates()
+
+    groups = list(dict.fromkeys([*frame[:-1], "_run"]))
+    return df.join(edges.groupBy(*groups).applyInPandas(suppressed, lost), ids, "left_anti")

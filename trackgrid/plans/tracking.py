@@ -313,8 +313,11 @@ _MATCH5 = greedy_sql(_SLIM_PAIRS + " WHERE iou >= 0.5", "video, frame_idx", "gid
       CAST(sum(coalesce(frag, 0)) AS BIGINT) AS frag, sum(coalesce(siou, 0)) AS siou, count(*) FILTER (WHERE coalesce(hits, 0) / gt_n > 0.8) AS mt,
       count(*) FILTER (WHERE coalesce(hits, 0) / gt_n BETWEEN 0.2 AND 0.8) AS pt, count(*) FILTER (WHERE coalesce(hits, 0) / gt_n < 0.2) AS ml
       FROM gn LEFT JOIN t USING (video, gid) GROUP BY gn.video)
+    , u AS (SELECT video, coalesce(g, 0) AS g, coalesce(tp, 0) AS tp, coalesce(p, 0) AS p, coalesce(idsw, 0) AS idsw, coalesce(frag, 0) AS frag,
+      coalesce(siou, 0) AS siou, coalesce(mt, 0) AS mt, coalesce(pt, 0) AS pt, coalesce(ml, 0) AS ml
+      FROM v FULL JOIN (SELECT video, count(*) AS p FROM pred_tracks GROUP BY ALL) USING (video))
     SELECT video, tp, g - tp AS fn, p - tp AS fp, idsw, frag, mt, pt, ml, round((tp - (p - tp) - idsw) / greatest(1, g), 6) AS MOTA,
-      round(siou / greatest(1, tp), 6) AS MOTP FROM v JOIN (SELECT video, count(*) AS p FROM pred_tracks GROUP BY ALL) USING (video)""",
+      round(siou / greatest(1, tp), 6) AS MOTP FROM u""",
     "pred_tracks", pairs=_PAIR_SQL, ious=_IOU_SQL, gn=_ALIGN["gn"], **_MATCH5))
 def _(spark, sf):
     return rounded(metrics.clear_mot(fx.gt_tracks(spark, sf), fx.pred_tracks(spark, sf)), "MOTA", "MOTP")
@@ -343,7 +346,7 @@ def _(spark, sf):
 
 
 @register("e01_prepare_eval", sql("""
-    SELECT video, frame_idx, track_id, 0 AS class, 1.0::DOUBLE AS confidence FROM gt_tracks WHERE frame_idx % 3 = 0""", "gt_tracks"))
+    SELECT video, frame_idx // 3 AS frame_idx, track_id, 0 AS class, 1.0::DOUBLE AS confidence FROM gt_tracks WHERE frame_idx % 3 = 0""", "gt_tracks"))
 def _(spark, sf):
     return metrics.prepare_eval(fx.gt_tracks(spark, sf), 3, strict=True).select("video", "frame_idx", "track_id", "class", "confidence")
 
