@@ -435,3 +435,33 @@ def test_one_sided_videos_and_sampled_frames(spark):
     assert got == {1: (12, 0, 0, 0, 1.0), 2: (0, 12, 0, 0, 0.0), 3: (0, 0, 12, 0, -12.0)}
     sampled = [metrics.prepare_eval(x, 3) for x in (gt, gt)]
     assert {r.frag for r in metrics.clear_mot(*sampled).collect()} == {0}
+
+
+@pytest.mark.parametrize("name,least", [("giou", 0.3), ("diou", 0.3), ("ciou", 0.25), ("giou", 0.6)])
+def test_measures_that_need_no_overlap_lose_no_pair(spark, name, least):
+    from trackgrid.registry import ASSOCIATION
+
+    rng = random.Random(11)
+    left, right = random_boxes(rng, 3, 7, 60, 400), random_boxes(rng, 3, 7, 60, 400)
+    ldf, rdf = spark.createDataFrame(left, BOXES), spark.createDataFrame(right, BOXES)
+    got = joins.iou_join(ldf, rdf, least, similarity=name)
+    every = joins.renamed(ldf, ["track_id", "x1", "y1", "x2", "y2"], "l_").join(joins.renamed(rdf, ["track_id", "x1", "y1", "x2", "y2"], "r_"), ["video", "frame_idx"])
+    expected = every.withColumn("iou", ASSOCIATION[name](g.box("l_"), g.box("r_"))).where(F.col("iou") >= least)
+    columns = ["frame_idx", "l_track_id", "r_track_id", "l_x1", "r_y2"]
+    assert sorted(map(tuple, got.select(*columns).collect())) == sorted(map(tuple, expected.select(*columns).collect()))
+
+
+def test_centre_distance_prefers_the_nearest(spark):
+    one = spark.createDataFrame([(0, 0, 1, 0.0, 0.0, 10.0, 10.0)], BOXES)
+    two = spark.createDataFrame([(0, 0, 1, 80.0, 80.0, 90.0, 90.0), (0, 0, 2, 12.0, 0.0, 22.0, 10.0)], BOXES)
+    got = matching.match_boxes(one, two, 0.2, similarity="ct_dist", reach=200.0).collect()
+    assert [(r.l_track_id, r.r_track_id) for r in got] == [(1, 2)]
+    with pytest.raises(ValueError):
+        joins.iou_join(one, two, 0.2, similarity="ct_dist")
+
+
+def test_more_videos_than_there_are_is_an_error(spark):
+    videos = spark.createDataFrame([(k,) for k in range(3)], "video bigint")
+    assert filters.split_videos(videos, 1, 1, 1).count() == 3
+    with pytest.raises(Exception, match="there are 3"):
+        filters.split_videos(videos, 5, 5, 5).collect()

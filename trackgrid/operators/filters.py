@@ -100,8 +100,13 @@ def ordered_by_hash(df: DataFrame, key: str, seed: int) -> DataFrame:
 
 
 def split_videos(videos: DataFrame, train: int, valid: int, test: int, seed: int = 0) -> DataFrame:
-    """Exact-count train / valid / test split in hash order; the name gets its split prefix."""
-    ranked = ordered_by_hash(videos, "video", seed)
+    """Exact-count train / valid / test split in hash order; the name gets its split prefix.
+
+    It is an error to ask for more videos than there are.
+    """
+    need = train + valid + test
+    enough = F.assert_true(F.col("total") >= need, F.concat(F.lit(f"{need} videos asked for, there are "), F.col("total").cast("string"))).isNull()
+    ranked = ordered_by_hash(videos, "video", seed).where(enough)
     split = (
         F.when(F.col("rank") < train, "train")
         .when(F.col("rank") < train + valid, "valid")

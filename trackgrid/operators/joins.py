@@ -175,13 +175,51 @@ def overlap_pairs(left: DataFrame, right: DataFrame, frame: list[str], cell: int
     return lk.join(rk, [*frame, "_cx", "_cy"]).where(meets & owner).drop("_cx", "_cy")
 
 
+def _margins(box: g.Box, similarity: str, least: float, reach: float | None) -> tuple[Column, Column]:
+    """How far a box is grown on each side so that all pairs of at least ``least`` touch."""
+    if reach is not None:
+        return F.lit(reach / 2), F.lit(reach / 2)
+    if similarity == "giou" and least > 0:
+        # Apart, the value is at most half the union's share of the hull: the hull is no wider than both boxes by 1 / (2 least).
+        grow = max(0.0, 1 / (2 * least) - 1)
+        return box.width * grow, box.height * grow
+    if similarity in ("diou", "ciou") and least > 0:
+        # Apart, the centres are at most sqrt(1 - 2 least) of the hull's diagonal from each other.
+        share = max(0.0, 1 - 2 * least) ** 0.5
+        grow = F.sqrt(box.width * box.width + box.height * box.height) * (share / (1 - share) / 2)
+        return grow, grow
+    raise ValueError(f"{similarity} of at least {least} needs a search radius: pass reach")
+
+
+def near_pairs(left: DataFrame, right: DataFrame, frame: list[str], cell: int, similarity: str, least: float, reach: float | None) -> DataFrame:
+    """Candidate pairs of a similarity that does not end where overlap ends."""
+    def grown(df: DataFrame) -> DataFrame:
+        mx, my = _margins(g.box(), similarity, least, reach)
+        held = df.withColumns({f"_{c}": F.col(c) for c in ("x1", "y1", "x2", "y2")})
+        return held.withColumns({"x1": F.col("x1") - mx, "y1": F.col("y1") - my, "x2": F.col("x2") + mx, "y2": F.col("y2") + my})
+
+    pairs = overlap_pairs(grown(left), grown(right), frame, cell, closed=True)
+    back = {f"{s}{c}": F.col(f"{s}_{c}") for s in ("l_", "r_") for c in ("x1", "y1", "x2", "y2")}
+    return pairs.withColumns(back).drop(*[f"{s}_{c}" for s in ("l_", "r_") for c in ("x1", "y1", "x2", "y2")])
+
+
 def iou_join(left: DataFrame, right: DataFrame, min_iou: float = 0.0, frame: list[str] | None = None,
-             cell: int = 256, similarity: str = "iou") -> DataFrame:
-    """Pairs of boxes of the same frame that overlap with at least ``min_iou``."""
+             cell: int = 256, similarity: str = "iou", reach: float | None = None) -> DataFrame:
+    """Pairs of boxes of the same frame with a similarity of at least ``min_iou``.
+
+    Measures that boxes apart can reach find their candidates in a radius that follows from
+    the threshold. Where none does (a threshold of 0, or ``ct_dist``), ``reach`` gives the
+    largest distance in pixels between the edges of a pair.
+    """
     from trackgrid.registry import ASSOCIATION
 
     frame = frame or ["video", "frame_idx"]
-    pairs = overlap_pairs(left, right, frame, cell)
+    if similarity in ("iou", "iou_plus1") and reach is None:
+        pairs = overlap_pairs(left, right, frame, cell)
+    else:
+        pairs = near_pairs(left, right, frame, cell, similarity, min_iou, reach)
+    if similarity == "ct_dist":
+        return with_center_similarity(pairs, frame).withColumnRenamed("center_similarity", "iou").where(F.col("iou") >= min_iou)
     return pairs.withColumn("iou", ASSOCIATION[similarity](g.box("l_"), g.box("r_"))).where(F.col("iou") >= min_iou)
 
 

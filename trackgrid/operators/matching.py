@@ -85,13 +85,13 @@ def one_to_one(pairs: DataFrame, within: list[str], left: list[str], right: list
 
 
 def match_boxes(left: DataFrame, right: DataFrame, min_iou: float, frame: list[str] | None = None,
-                left_id: str = "track_id", right_id: str = "track_id", similarity: str = "iou") -> DataFrame:
+                left_id: str = "track_id", right_id: str = "track_id", similarity: str = "iou", reach: float | None = None) -> DataFrame:
     """One-to-one matching of the boxes of each frame by similarity of at least ``min_iou``.
 
     All other columns of both sides come along as ``l_*`` / ``r_*``.
     """
     frame = frame or ["video", "frame_idx"]
-    pairs = iou_join(left, right, min_iou, frame, similarity=similarity)
+    pairs = iou_join(left, right, min_iou, frame, similarity=similarity, reach=reach)
     return match_in_frames(pairs, frame, frame[-1], [f"l_{left_id}"], [f"r_{right_id}"], [F.col("iou")])
 
 

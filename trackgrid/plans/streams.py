@@ -71,8 +71,9 @@ def _(spark, sf):
       SELECT time_bucket(INTERVAL 1 HOUR, ts) - INTERVAL (i) HOUR AS s FROM events, (VALUES (0), (1)) v(i)) GROUP BY ALL""")
 def _(spark, sf):
     stream = _replay(_closed(_events(spark, sf)), "t03s")
-    out = _drain(events.frame_counts(stream, "2 hours", "1 hour", late="60 days"), "t03s")
-    return _plain(out.where(F.col("end") < F.timestamp_micros(F.lit(1735689600000000))))
+    out = _drain(events.frame_counts(stream, "2 hours", "1 hour", late="60 days", by=["event_type"]), "t03s")
+    # The row that closes the stream has no type.
+    return _plain(out.where("event_type IS NOT NULL").groupBy("start", "end").agg(F.sum("objects").alias("objects")))
 
 
 @register("t04_track_sessions", """
@@ -101,11 +102,11 @@ def _(spark, sf):
 
 @register("t02_stream_active_boxes", sql("""
     SELECT g.video, count(*) AS n FROM (SELECT video, frame_idx, CAST(floor((y1 + y2) / 2 / 60) AS BIGINT) AS row, CAST(floor((x1 + x2) / 2 / 60) AS BIGINT) AS col
-      FROM detections WHERE x1 < 1080) g WHERE EXISTS (SELECT 1 FROM tile_scores t WHERE t.score >= 128 AND t.video = g.video AND t.frame_idx = g.frame_idx
+      FROM detections  ) g WHERE EXISTS (SELECT 1 FROM tile_scores t WHERE t.score >= 128 AND t.video = g.video AND t.frame_idx = g.frame_idx
         AND t.row = g.row AND t.col = g.col) GROUP BY ALL""", "tile_scores"))
 def _(spark, sf):
     """A stream filtered against a table: the boxes whose centre tile is relevant."""
-    stream = _replay(fx.detections(spark, sf).where("x1 < 1080"), "t02a")
+    stream = _replay(fx.detections(spark, sf), "t02a")
     active = fx.tile_scores(spark, sf).where("score >= 128")
     centred = stream.withColumns({"row": F.floor((F.col("y1") + F.col("y2")) / 2 / TILE), "col": F.floor((F.col("x1") + F.col("x2")) / 2 / TILE)})
     kept = centred.join(active, ["video", "frame_idx", "row", "col"], "left_semi")

@@ -210,14 +210,14 @@ def _samples(spark, sf):
     return fx.tile_scores(spark, sf).select(*FRAME, "row", "col", F.when(F.col("score") >= 200, 1).otherwise(0).alias("label"))
 
 
-_EVER = "SELECT DISTINCT row, col FROM tile_scores WHERE video = 0 AND score >= 128"
+_EVER = "SELECT DISTINCT row, col FROM tile_scores WHERE score >= 128"
 
 
 @register("f23_mask_never_relevant", sql("""
     SELECT s.* FROM samples s WHERE label = 1 OR EXISTS (SELECT 1 FROM ever e WHERE e.row = s.row AND e.col = s.col)""",
     "tile_scores", samples=_SAMPLES, ever=_EVER))
 def _(spark, sf):
-    return filters.mask_never_relevant(_samples(spark, sf), fx.tile_scores(spark, sf).where("video = 0 AND score >= 128"))
+    return filters.mask_never_relevant(_samples(spark, sf), fx.tile_scores(spark, sf).where("score >= 128"))
 
 
 @register("a16_training_set_stats", sql("""
@@ -226,7 +226,7 @@ def _(spark, sf):
       FROM samples s GROUP BY label)""", "tile_scores", samples=_SAMPLES, ever=_EVER))
 def _(spark, sf):
     s = _samples(spark, sf)
-    kept = filters.mask_never_relevant(s, fx.tile_scores(spark, sf).where("video = 0 AND score >= 128"))
+    kept = filters.mask_never_relevant(s, fx.tile_scores(spark, sf).where("score >= 128"))
     return rounded(agg.training_set_stats(s, kept, ["label"]), "pct_removed")
 
 

@@ -421,12 +421,13 @@ def _(spark, sf):
 
 
 @register("f10_split_videos", """
-    WITH r AS (SELECT o_orderkey AS video, row_number() OVER (ORDER BY md5('0:' || o_orderkey), o_orderkey) - 1 AS rank FROM orders)
-    SELECT video, split, substr(split, 1, 2) || video AS name FROM (SELECT *, CASE WHEN rank < 500 THEN 'train'
-      WHEN rank < 800 THEN 'valid' WHEN rank < 1200 THEN 'test' END AS split FROM r) WHERE split IS NOT NULL""")
+    WITH r AS (SELECT o_orderkey AS video, row_number() OVER (ORDER BY md5('0:' || o_orderkey), o_orderkey) - 1 AS rank, count(*) OVER () AS n FROM orders)
+    SELECT video, split, substr(split, 1, 2) || video AS name FROM (SELECT *, CASE WHEN rank < n // 2 THEN 'train'
+      WHEN rank < n // 2 + n // 4 THEN 'valid' WHEN rank < n // 2 + n // 4 + n // 5 THEN 'test' END AS split FROM r) WHERE split IS NOT NULL""")
 def _(spark, sf):
     videos = fx.read(spark, sf, "orders").select(F.col("o_orderkey").alias("video"))
-    return filters.split_videos(videos, 500, 300, 400, seed=0)
+    n = videos.count()
+    return filters.split_videos(videos, n // 2, n // 4, n // 5, seed=0)
 
 
 @register("f11_split_frames", """

@@ -8,14 +8,13 @@ from pyspark.sql import functions as F
 from trackgrid.functions import geometry as g
 from trackgrid.schemas import TIMINGS
 
-#: Box similarity by name.
+#: Box similarity by name, larger is better. ``ct_dist`` is relative to its frame and made by ``joins.iou_join``.
 ASSOCIATION = {
     "iou": g.iou,
     "iou_plus1": g.iou_plus1,
     "giou": g.giou,
     "diou": g.diou,
     "ciou": g.ciou,
-    "ct_dist": g.center_distance,
 }
 
 

@@ -106,9 +106,12 @@ def read_masks(spark: SparkSession, path: str) -> DataFrame:
 
 def mask_of(masks: DataFrame) -> tuple[tuple | None, list[list[tuple[float, float]]]]:
     """The rectangle and polygons of a one-image mask file, as values for the clip and polygon filters."""
-    row = masks.limit(1).first()
-    if row is None:
+    found = masks.take(2)
+    if len(found) > 1:
+        raise ValueError("the mask file holds more than one image")
+    if not found:
         return None, []
+    row = found[0]
     rect = None if row.rect.x1 is None else tuple(row.rect)
     return rect, [[(p.x, p.y) for p in poly.points] for poly in (row.polygons or [])]
 
