@@ -399,7 +399,7 @@ def link_sql(max_age: int, nodes: str = "SELECT * FROM detections") -> dict[str,
         SELECT * FROM nodes n WHERE NOT EXISTS (SELECT 1 FROM near1 l WHERE l.video = n.video AND l.rf = n.frame_idx AND l.rd = n.det_id)"""
     out |= greedy_sql(_overlap_sql("tails", "heads", "b.frame_idx = a.frame_idx + a.gap", "video, lf, ld, rf, rd, gap",
                                    "a.frame_idx AS lf, a.det_id AS ld, b.frame_idx AS rf, b.det_id AS rd, a.gap"),
-                      "video", "lf, ld", "rf, rd", "gap, w DESC", 8, "far")
+                      "video", "lf, ld", "rf, rd", "gap, w DESC", 16, "far")
     out["links"] = "SELECT video, lf, ld, rf, rd FROM near1 UNION ALL SELECT video, lf, ld, rf, rd FROM far"
     out["rec_chain"] = """
         SELECT video, frame_idx, det_id, frame_idx * 4294967296 + det_id AS track_id FROM nodes d
@@ -410,9 +410,9 @@ def link_sql(max_age: int, nodes: str = "SELECT * FROM detections") -> dict[str,
 
 @register("g05_link_tracks", sql("""
     SELECT video, track_id, frame_idx, det_id FROM (SELECT *, count(*) OVER (PARTITION BY video, track_id) AS n FROM rec_chain) WHERE n >= 2""",
-    "detections", recursive=True, **link_sql(4)))
+    "detections", recursive=True, **link_sql(20)))
 def _(spark, sf):
-    return linking.link_tracks(fx.detections(spark, sf), max_age=4, min_hits=2).select("video", "track_id", "frame_idx", "det_id")
+    return linking.link_tracks(fx.detections(spark, sf), min_hits=2).select("video", "track_id", "frame_idx", "det_id")
 
 
 _FUSED = "1 - (1 - (1 - (1 - iou)) * rs)"
