@@ -70,9 +70,9 @@ def text_model(docs: DataFrame, *, text: str = "text", lang: str = "lang") -> tu
     named = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(lang).cast("string").alias("lang"), F.col(text).alias("text"))
     counts = Scratch(docs.sparkSession, "langid").table(named.mapInArrow(_counts, "lang string, slot int, n long").groupBy("lang", "slot").agg(F.sum("n").alias("n")), "trigrams")
     totals = counts.groupBy("lang").agg(F.sum("n").alias("total"))
-    everything = counts.agg(F.sum("n").alias("all"))
+    least = LANGUAGE * (counts.agg(F.sum("n")).first()[0] or 0)
     # Bounded: at most 1 / LANGUAGE languages of SLOTS numbers.
-    rows = counts.join(totals.join(everything, F.col("total") >= LANGUAGE * F.col("all")), "lang").select("lang", "slot", "n").collect()
+    rows = counts.join(totals.where(F.col("total") >= least), "lang").select("lang", "slot", "n").collect()
     langs = sorted({r["lang"] for r in rows})
     table = np.full((len(langs), SLOTS), 0.5)
     for r in rows:
@@ -139,9 +139,10 @@ def identify(pages: DataFrame, docs: DataFrame, *, id_col: str = "page_id", url:
     def renamed(table: DataFrame, name: str) -> DataFrame:
         return table.withColumnsRenamed({f"n{i}": f"{name}{i}" for i in k})
 
-    whole = renamed(_sums(base, [], langs), "all")
+    whole = base.agg(*[F.sum(F.col("p")[i]) for i in k]).first()
+    every = sum(x or 0.0 for x in whole) + len(langs)
     joined = base.join(renamed(_sums(base, ["declared"], langs), "declared"), "declared").join(renamed(_sums(base, ["suffix"], langs), "suffix"), "suffix")
-    joined = joined.join(renamed(_sums(base, ["domain"], langs), "domain"), "domain").join(renamed(_sums(base, ["host"], langs), "host"), "host").join(whole)
+    joined = joined.join(renamed(_sums(base, ["domain"], langs), "domain"), "domain").join(renamed(_sums(base, ["host"], langs), "host"), "host")
 
     def total(name: str, own: bool = False):
         out = sum((F.col(f"{name}{i}") for i in k), F.lit(0.0))
@@ -150,7 +151,7 @@ def identify(pages: DataFrame, docs: DataFrame, *, id_col: str = "page_id", url:
     scores = []
     for i in k:
         own = F.col("p")[i]
-        everywhere = (F.col(f"all{i}") + 1) / (total("all") + len(langs))
+        everywhere = F.lit(((whole[i] or 0.0) + 1) / every)
         domain = (F.greatest(F.col(f"domain{i}") - own, F.lit(0.0)) + DOMAIN * everywhere) / (F.greatest(total("domain", True), F.lit(0.0)) + DOMAIN)
         prior = (F.greatest(F.col(f"host{i}") - own, F.lit(0.0)) + HOST * domain) / (F.greatest(total("host", True), F.lit(0.0)) + HOST)
         # How much more often this language has the declaration and the suffix than all pages have.

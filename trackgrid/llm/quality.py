@@ -114,8 +114,9 @@ def references(docs: DataFrame, *, text: str = "text", lang: str = "lang") -> tu
     counts = counts.union(everything)
     totals = counts.groupBy("lang").agg(F.sum(F.when(F.col("word").isNotNull(), F.col("n"))).alias("words"), F.sum(F.when(F.col("class").isNotNull(), F.col("n"))).alias("chars"))
     totals = scratch.table(totals, "totals")
-    whole = totals.where("lang is null").select(F.col("words").alias("all_words"))
-    totals = totals.join(whole, F.col("words") >= LANGUAGE * F.col("all_words")).drop("all_words").withColumnRenamed("lang", "l")
+    whole = totals.where("lang is null").first()
+    least = LANGUAGE * ((whole["words"] if whole else None) or 0)
+    totals = totals.where(F.col("words") >= least).withColumnRenamed("lang", "l")
     shares = counts.join(totals, F.col("lang").eqNullSafe(F.col("l")))
     classes = shares.where("class is not null and chars > 0").select("lang", "class", (F.col("n") / F.col("chars")).alias("share"))
     words = shares.where((F.col("word").isNotNull()) & (F.col("n") >= COMMON * F.col("words"))).select("lang", "word", (F.col("n") / F.col("words")).alias("share"))
