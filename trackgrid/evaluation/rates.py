@@ -109,9 +109,9 @@ def evaluate_schedules(gt: DataFrame, matches: DataFrame, cells: DataFrame, sche
 
 
 def _with_retention(variants: DataFrame, cells: DataFrame) -> DataFrame:
-    total = cells.count()
-    return variants.withColumns({"original": F.lit(total).cast("bigint"), "retention_rate": F.coalesce(
-        F.try_divide(F.col("retained").cast("double"), F.lit(float(total))), F.lit(0.0))})
+    total = cells.agg(F.count("*").alias("original"))
+    return variants.join(total).withColumn("retention_rate", F.coalesce(
+        F.try_divide(F.col("retained").cast("double"), F.col("original").cast("double")), F.lit(0.0)))
 
 
 def kept_cells(cells: DataFrame, choices: list[int]) -> DataFrame:

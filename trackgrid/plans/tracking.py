@@ -149,18 +149,19 @@ def _at_rates(spark, sf, wanted):
     return trajectories.at_rates(fx.pred_tracks(spark, sf), wanted)
 
 
-@register("a27_e06_assoc_counts", sql(_counts_sql(2), "pred_tracks", "gt_tiles", **_TRACK_BASE, **_consistent_sql(2)))
-def _(spark, sf):
-    return rates.assoc_counts(fx.gt_tracks(spark, sf), _at_rates(spark, sf, [2]), [2], TILE, ROWS, COLS)
-
-
-_LEARN = [1, 2, 4]
+# The sampling rates that are tried.
+_LEARN = [1, 2, 4, 8, 16]
 _ALL_COUNTS = dict(counts=" UNION ALL ".join(_counts_sql(r) for r in _LEARN))
 _RATE_STEPS = {k: v for r in _LEARN for k, v in _consistent_sql(r).items()}
 _LAPLACE = """
     SELECT g.row, g.col, g.rate, coalesce(correct, 0) AS correct, coalesce(incorrect, 0) AS incorrect,
       (coalesce(correct, 0) + 1) / (coalesce(correct, 0) + coalesce(incorrect, 0) + 2) AS accuracy
-    FROM (SELECT row, col, rate FROM grid_rows, grid_cols, (VALUES (1), (2), (4)) v(rate)) g LEFT JOIN counts USING (row, col, rate)"""
+    FROM (SELECT row, col, rate FROM grid_rows, grid_cols, (VALUES (1), (2), (4), (8), (16)) v(rate)) g LEFT JOIN counts USING (row, col, rate)"""
+
+
+@register("a27_e06_assoc_counts", sql("SELECT * FROM counts", "pred_tracks", "gt_tiles", **_TRACK_BASE, **_RATE_STEPS, **_ALL_COUNTS))
+def _(spark, sf):
+    return rates.assoc_counts(fx.gt_tracks(spark, sf), _at_rates(spark, sf, _LEARN), _LEARN, TILE, ROWS, COLS)
 
 
 @register("a28_laplace_accuracy", sql("SELECT * REPLACE (round(accuracy, 6) AS accuracy) FROM laplace",
