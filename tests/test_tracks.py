@@ -32,17 +32,26 @@ def random_boxes(rng, frames, per_frame, size=40, area=120):
 
 # --- cells and tiles -------------------------------------------------------
 
-def test_box_to_cells(spark, rows):
-    df = spark.createDataFrame([(0, 0, 1, 120.0, 80.0, 480.0, 260.0), (0, 0, 2, 1200.0, 100.0, 1400.0, 200.0),
-                                (0, 0, 3, 100.0, -200.0, 200.0, -100.0)], BOXES)
-    got = rows(tiles.boxes_to_cells(df, 1080, 720, 3, 3), "track_id", "row", "col")
-    assert got == [(1, r, c) for r in (0, 1) for c in (0, 1)]
-
-
-def test_center_cell(spark):
-    df = spark.createDataFrame([(0, 0, 1, 730.0, 500.0, 770.0, 620.0), (0, 0, 2, -100.0, -100.0, -50.0, -50.0)], BOXES)
-    got = {r.track_id: (r.row, r.col) for r in tiles.center_cell(df, 1080, 720, 3, 3).collect()}
-    assert got == {1: (2, 2), 2: (None, None)}
+def test_cells_of_boxes_by_sampling_points(spark):
+    """A box lies in the cells of the points strictly inside it and the frame, its centre in one of them."""
+    rng = random.Random(23)
+    width, height, nr, nc = 640, 350, 5, 4
+    boxes = []
+    for t in range(40):
+        x, y = rng.randrange(-90, 700), rng.randrange(-90, 400)
+        boxes.append((4, 9, t, float(x), float(y), float(x + rng.randrange(1, 300)), float(y + rng.randrange(1, 200))))
+    df = spark.createDataFrame(boxes, BOXES)
+    cells, middle = {}, {}
+    for r in tiles.boxes_to_cells(df, width, height, nr, nc).collect():
+        cells.setdefault(r.track_id, set()).add((r.row, r.col))
+    for r in tiles.center_cell(df, width, height, nr, nc).collect():
+        middle[r.track_id] = (r.row, r.col)
+    for _, _, t, x1, y1, x2, y2 in boxes:
+        xs = [v + 0.5 for v in range(int(max(0, x1)), int(min(width, x2)))]
+        ys = [v + 0.5 for v in range(int(max(0, y1)), int(min(height, y2)))]
+        expected = {(int(y * nr / height), int(x * nc / width)) for y in ys for x in xs}
+        assert cells.get(t, set()) == expected
+        assert (middle[t] in expected) if expected else (middle[t] == (None, None))
 
 
 def brute_groups(cells, mode, rows, cols):
@@ -227,23 +236,32 @@ def test_consistency_matches_a_walk(spark, rate):
         assert ok == (walk(f, rate, max(ends), gid, sid, seen_g, seen_s, pairs) and walk(f, -rate, min(ends), gid, sid, seen_g, seen_s, pairs))
 
 
-def test_anchor_mismatch_counts(spark):
-    gt = spark.createDataFrame([(0, 0, 1, 0.0, 0.0, 20.0, 20.0), (0, 1, 1, 0.0, 0.0, 20.0, 20.0)], BOXES)
-    pred = spark.createDataFrame([(0, 0, 10, 0.0, 0.0, 20.0, 20.0)], BOXES)
-    kept = spark.range(2).select(F.lit(0).cast("bigint").alias("video"), F.col("id").alias("frame_idx"),
-                                 F.lit(0).cast("bigint").alias("row"), F.lit(0).cast("bigint").alias("col"))
-    got = [r.correct for r in rates.schedule_mistrack(gt, pred, kept, 1080, 720, 3, 3).collect()]
-    assert got == [False, False]
-    assert rates.schedule_mistrack(gt.limit(0), pred, kept, 1080, 720, 3, 3).count() == 0
+def test_schedule_mistracks_by_hand(spark):
+    """A track that is followed, one that changes its match, one that is lost half way and one outside the schedule."""
+    def standing(track, x, frames):
+        return [(7, f, track, x, 40.0, x + 30, 70.0) for f in frames]
 
-
-def test_rate_table_picks_highest_rate_meeting_threshold(spark):
-    counts = spark.createDataFrame([(0, 0, 1, 14, 6), (0, 0, 2, 16, 4), (0, 0, 4, 18, 0), (1, 1, 1, 18, 0), (1, 1, 2, 18, 0), (1, 1, 4, 18, 0)],
-                                   "row bigint, col bigint, rate bigint, correct bigint, incorrect bigint")
-    table = rates.max_rate_table(rates.laplace_accuracy(counts, [1, 2, 4], 3, 3), [0.7, 0.85])
-    got = {(r.row, r.col, r.threshold): r.max_rate for r in table.collect()}
-    assert len(got) == 18
-    assert got[(0, 0, 0.7)] == 4 and got[(0, 0, 0.85)] == 4 and got[(0, 1, 0.85)] == 1 and got[(1, 1, 0.85)] == 4
+    gt = spark.createDataFrame(standing(1, 10.0, range(4)) + standing(2, 110.0, range(4)) + standing(3, 210.0, range(4)) + standing(4, 310.0, range(4)), BOXES)
+    pred = spark.createDataFrame(standing(21, 12.0, range(4)) + standing(22, 110.0, (0, 1)) + standing(23, 110.0, (2, 3)) + standing(24, 210.0, (0, 1)), BOXES)
+    kept = spark.createDataFrame([(7, f, 0, c) for f in range(4) for c in (0, 1, 2)], "video bigint, frame_idx bigint, row bigint, col bigint")
+    got = {}
+    for r in rates.schedule_mistrack(gt, pred, kept, 400, 100, 1, 4).collect():
+        got.setdefault(r.track_id, {})[r.frame_idx] = r.correct
+    assert got == {1: dict.fromkeys(range(4), True), 2: {0: True, 1: False, 2: False, 3: True}, 3: {0: True, 1: False, 2: False, 3: False}}
+
+
+def test_rate_table_against_counts(spark):
+    """Every tile gets the highest rate whose smoothed accuracy reaches the threshold, or the lowest rate."""
+    rng = random.Random(31)
+    wanted = [1, 3, 9]
+    counts = {(r, c, q): (rng.randrange(30), rng.randrange(12)) for r in range(2) for c in range(4) for q in wanted if rng.random() < 0.8}
+    df = spark.createDataFrame([(*k, *v) for k, v in counts.items()], "row bigint, col bigint, rate bigint, correct bigint, incorrect bigint")
+    table = rates.max_rate_table(rates.laplace_accuracy(df, wanted, 2, 4), [0.45, 0.75], 1)
+    expected = {}
+    for r, c, t in itertools.product(range(2), range(4), (0.45, 0.75)):
+        good = [q for q in wanted if (lambda n: (n[0] + 1) / (sum(n) + 2))(counts.get((r, c, q), (0, 0))) >= t]
+        expected[(r, c, t)] = max(good, default=1)
+    assert {(r.row, r.col, r.threshold): r.max_rate for r in table.collect()} == expected
 
 
 # --- selection of groups ---------------------------------------------------
