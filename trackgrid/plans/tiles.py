@@ -692,6 +692,15 @@ def _(spark, sf):
         (1 - g.fuse_score(1 - F.col("iou"), F.col("r_score"))).alias("fused")), *names)
 
 
+@register("x11_fused_appearance", sql("""
+    SELECT video, frame_idx, gid AS l_track_id, pid AS r_track_id, round(1 - score * (1 + iou) / 2 + 1e-9, 6) AS cost FROM ious""",
+    "pred_tracks", pairs=_PAIR_SQL, ious=_IOU_SQL))
+def _(spark, sf):
+    """The score stands for the similarity of appearance."""
+    cost = g.fuse_iou(1 - F.col("r_score"), F.col("iou")) + 1e-9  # off the ties of rounding
+    return rounded(_pairs(spark, sf).select("video", "frame_idx", "l_track_id", "r_track_id", cost.alias("cost")), "cost")
+
+
 @register("x08_box_conversions", sql("""
     SELECT video, frame_idx, track_id, (x1 + x2) / 2 AS cx, (y1 + y2) / 2 AS cy, (x2 - x1) * (y2 - y1) AS area,
       round((x2 - x1) / (y2 - y1), 6) AS ratio, x2 - x1 AS width, y2 - y1 AS height,

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from trackgrid.evaluation import metrics, rates
 from trackgrid.functions import geometry as g
 from trackgrid.operators import aggregates as agg
-from trackgrid.operators import linking, matching, tiles, trajectories
+from trackgrid.operators import joins, linking, matching, tiles, trajectories
 from trackgrid.plans import fixtures as fx
 from trackgrid.plans.catalog import register, rounded
 from trackgrid.plans.fixtures import COLS, HEIGHT, ROWS, TILE, WIDTH, sql
@@ -46,6 +46,31 @@ def _(spark, sf):
         "video", "frame_idx", "l_track_id", "r_track_id", "iou"), "iou")
 
 
+_EVERY_PAIR = _PAIR_SQL.split("WHERE")[0]
+_MEASURES = {
+    "giou": "(iou - (hw * hh - uni) / (hw * hh) + 1) / 2",
+    "diou": "(iou - gap2 / (hw * hw + hh * hh) + 1) / 2",
+    "ciou": "(iou - gap2 / (hw * hw + hh * hh) - coalesce(v / nullif(1 - iou + v, 0), 0) * v + 1) / 2",
+}
+
+
+def _register_measure(name: str, least: float) -> None:
+    """Matching by a similarity that boxes apart can reach too."""
+    pairs = f"SELECT video, frame_idx, gid, pid, m AS iou FROM (SELECT *, {_MEASURES[name]} AS m FROM ious) WHERE m >= {least}"
+    steps = greedy_sql(pairs, "video, frame_idx", "gid", "pid", "round(iou, 9) DESC", 6)
+
+    @register(f"v01_match_{name}", sql("SELECT video, frame_idx, gid AS l_track_id, pid AS r_track_id, round(iou, 6) AS iou FROM matched",
+                                       "pred_tracks", pairs=_EVERY_PAIR, ious=_IOU_SQL, **steps))
+    def _(spark, sf):
+        pairs = joins.iou_join(fx.gt_tracks(spark, sf), fx.pred_tracks(spark, sf), least, similarity=name)
+        best = matching.match_in_frames(pairs, ["video", "frame_idx"], "frame_idx", ["l_track_id"], ["r_track_id"], [F.round("iou", 9)])
+        return rounded(best.select("video", "frame_idx", "l_track_id", "r_track_id", "iou"), "iou")
+
+
+for _name, _least in (("giou", 0.4), ("diou", 0.45), ("ciou", 0.45)):
+    _register_measure(_name, _least)
+
+
 def nms_sql(rounds: int) -> dict[str, str]:
     out = {"n_e0": """
         SELECT video, frame_idx, a.det_id AS s, b.det_id AS w FROM crowded a JOIN crowded b USING (video, frame_idx)
@@ -229,7 +254,7 @@ def _matches(spark, sf):
     return matching.match_boxes(fx.gt_tracks(spark, sf), fx.pred_tracks(spark, sf), 0.3)
 
 
-@register("e08_j03_rate_grids", sql("""
+_SCORED_SCHEDULES = """
     SELECT variant_id, retained, original, correct, incorrect, round(incorrect / (correct + incorrect), 6) AS mistrack_rate,
       round(retained / original, 6) AS retention_rate
     FROM (SELECT variant_id, count(*) AS retained FROM schedule GROUP BY ALL) JOIN (SELECT count(*) AS original FROM cells) ON TRUE
@@ -238,25 +263,16 @@ def _matches(spark, sf):
         SELECT s.variant_id, m.pid, lead(c.frame_idx) OVER w AS nf, lag(c.frame_idx) OVER w AS pf, lead(m.pid) OVER w AS np, lag(m.pid) OVER w AS pp
         FROM centered c JOIN schedule s USING (video, frame_idx, row, col)
         LEFT JOIN matched m ON m.video = c.video AND m.frame_idx = c.frame_idx AND m.gid = c.track_id
-        WINDOW w AS (PARTITION BY s.variant_id, c.video, c.track_id ORDER BY c.frame_idx))) GROUP BY ALL) USING (variant_id)""",
+        WINDOW w AS (PARTITION BY s.variant_id, c.video, c.track_id ORDER BY c.frame_idx))) GROUP BY ALL) USING (variant_id)"""
+
+
+@register("e08_j03_rate_grids", sql(_SCORED_SCHEDULES,
     "pred_tracks", **_TRACK_BASE, clipped=_CLIP, centered=_CENTER2, cells=_CELLS, grids=_GRIDS, schedule=_SCHEDULE))
 def _(spark, sf):
     return rounded(rates.evaluate_rate_grids(fx.gt_tracks(spark, sf), _matches(spark, sf), _cells2(spark, sf), [1, 4], WIDTH, HEIGHT, 2, 2),
                    "mistrack_rate", "retention_rate")
 
 
-_SCORED_SCHEDULES = """
-    SELECT variant_id, retained, original, correct, incorrect, round(incorrect / (correct + incorrect), 6) AS mistrack_rate,
-      round(retained / original, 6) AS retention_rate
-    FROM (SELECT variant_id, count(*) AS retained FROM schedule GROUP BY ALL) JOIN (SELECT count(*) AS original FROM cells) ON TRUE
-    JOIN (SELECT variant_id, count(*) FILTER (WHERE ok) AS correct, count(*) FILTER (WHERE NOT ok) AS incorrect FROM (
-      SELECT variant_id, pid IS NOT NULL AND (nf IS NULL OR coalesce(np = pid, FALSE)) AND (pf IS NULL OR coalesce(pp = pid, FALSE)) AS ok FROM (
-        SELECT s.variant_id, m.pid, lead(c.frame_idx) OVER w AS nf, lag(c.frame_idx) OVER w AS pf, lead(m.pid) OVER w AS np, lag(m.pid) OVER w AS pp
-        FROM centered c JOIN schedule s USING (video, frame_idx, row, col)
-        LEFT JOIN matched m ON m.video = c.video AND m.frame_idx = c.frame_idx AND m.gid = c.track_id
-        WINDOW w AS (PARTITION BY s.variant_id, c.video, c.track_id ORDER BY c.frame_idx))) GROUP BY ALL) USING (variant_id)"""
-
-
 @register("e09_whole_frame_baseline", sql(_SCORED_SCHEDULES, "pred_tracks", **_TRACK_BASE, clipped=_CLIP, centered=_CENTER2, cells=_CELLS,
     schedule="SELECT 'frame_' || r AS variant_id, cells.* FROM cells, (VALUES (1), (2), (4)) v(r) WHERE frame_idx % r = 0"))
 def _(spark, sf):

@@ -488,6 +488,15 @@ def _(spark, sf):
     return joins.resolve_truth_source(fx.accuracy(spark, sf).select("dataset", "videoset", "variant_id"))
 
 
+@register("x15_decode_rate_grid", """
+    SELECT o_orderkey, CAST(o_custkey % 7 AS INTEGER) AS first, CAST(o_orderkey % 16 AS INTEGER) AS last, 3 AS size FROM orders""")
+def _(spark, sf):
+    """Rate grids as text and back."""
+    rates = F.array(F.col("o_custkey") % 7, F.lit(4).cast("bigint"), F.col("o_orderkey") % 16)
+    grid = naming.decode_rate_grid(naming.encode_rate_grid(rates))
+    return fx.read(spark, sf, "orders").select("o_orderkey", grid[0].alias("first"), F.element_at(grid, -1).alias("last"), F.size(grid).alias("size"))
+
+
 @register("x14_x18_labels", sql("""
     SELECT dataset, videoset, variant_id,
       CASE WHEN variant = 'naive' THEN 'Naive' ELSE coalesce(substr(classifier, 1, 6), 'NA') || ' SR' || sample_rate || ' '
