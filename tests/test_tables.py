@@ -47,9 +47,9 @@ def test_names(spark):
     one = spark.range(1)
     def value(c):
         return one.select(c).first()[0]
-    assert value(naming.dataset_for_videoset(F.lit("caldot1-y05"), F.lit("valid"))) == "caldot1-y05-val"
-    assert value(naming.base_dataset(F.lit("caldot1-y05-val"))) == "caldot1-y05"
-    assert value(naming.name_videoset(F.lit("caldot1-y05"))) == "test"
+    assert value(naming.dataset_for_videoset(F.lit("site1-y05"), F.lit("valid"))) == "site1-y05-val"
+    assert value(naming.base_dataset(F.lit("site1-y05-val"))) == "site1-y05"
+    assert value(naming.name_videoset(F.lit("site1-y05"))) == "test"
     assert [value(naming.threshold_slug(F.lit(v))) for v in (30.0, 32.5, 100.0)] == ["030", "032p5", "100"]
     grid = F.array(*[F.lit(v) for v in (1, 2, 4)])
     assert value(naming.encode_rate_grid(grid)) == "1-2-4"
@@ -89,11 +89,11 @@ def test_tracks_file_later_line_wins(spark, tmp_path):
 
 
 def test_list_videos(spark, tmp_path, rows):
-    folder = tmp_path / "caldot1" / "test"
+    folder = tmp_path / "site1" / "test"
     folder.mkdir(parents=True)
     for name in ("te02.avi", "notes.txt", "te01.mp4", "preview.png"):
         (folder / name).write_text("x")
-    assert rows(tables.list_videos(spark, str(tmp_path))) == [("caldot1", "test", "te01.mp4"), ("caldot1", "test", "te02.avi")]
+    assert rows(tables.list_videos(spark, str(tmp_path))) == [("site1", "test", "te01.mp4"), ("site1", "test", "te02.avi")]
 
 
 def test_manifest_grid(spark):

@@ -252,21 +252,18 @@ def compression_effectiveness(df: DataFrame, keys: list[str]) -> DataFrame:
         "padding_ratio": pad / F.greatest(held, one)})
 
 
-#: Estimated detection milliseconds per image, by dataset.
-DETECT_MS = {"caldot1": 40, "caldot2": 40, "jnc0": 100, "jnc2": 100, "jnc6": 100, "jnc7": 100}
-
-
-def detection_ms(dataset: Column) -> Column:
-    out = F.lit(40)
-    for name, ms in DETECT_MS.items():
+def detection_ms(dataset: Column, by_dataset: dict[str, int] | None = None, otherwise: int = 40) -> Column:
+    """Estimated detection milliseconds per image: ``by_dataset``, else ``otherwise``."""
+    out = F.lit(otherwise)
+    for name, ms in (by_dataset or {}).items():
         out = F.when(dataset == name, ms).otherwise(out)
     return out
 
 
-def compression_method_compare(df: DataFrame) -> DataFrame:
+def compression_method_compare(df: DataFrame, detect_ms: dict[str, int] | None = None) -> DataFrame:
     """Images and seconds per (dataset, config, method) with estimated detection time added."""
     sums = df.groupBy("dataset", "config", "method").agg(F.sum("images").alias("images"), F.sum("time").alias("time"))
-    detect = F.col("images") * detection_ms(F.col("dataset")) / 1000.0
+    detect = F.col("images") * detection_ms(F.col("dataset"), detect_ms) / 1000.0
     return sums.withColumns({"detect_time": detect, "total_time": F.col("time") + detect})
 
 

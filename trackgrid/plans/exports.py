@@ -122,11 +122,11 @@ def _write_frame_arrays(spark, df, path, folder):
 
 
 @register("s11_list_videos", """
-    SELECT DISTINCT 'caldot1' AS dataset, CASE WHEN s_suppkey % 2 = 0 THEN 'valid' ELSE 'test' END AS videoset, 'n' || s_nationkey % 5 AS folder FROM supplier""")
+    SELECT DISTINCT 'site1' AS dataset, CASE WHEN s_suppkey % 2 = 0 THEN 'valid' ELSE 'test' END AS videoset, 'n' || s_nationkey % 5 AS folder FROM supplier""")
 def _(spark, sf):
     path = new_path(spark, "s11")
     names = fx.read(spark, sf, "supplier").select(
-        F.lit("caldot1").alias("dataset"), F.when(F.col("s_suppkey") % 2 == 0, "valid").otherwise("test").alias("videoset"),
+        F.lit("site1").alias("dataset"), F.when(F.col("s_suppkey") % 2 == 0, "valid").otherwise("test").alias("videoset"),
         F.concat(F.lit("n"), F.col("s_nationkey") % 5, F.lit(".mp4")).alias("video"), F.lit("x").alias("value")).distinct()
     # A text writer names part files itself, so here the folder stands for the video.
     names.write.partitionBy("dataset", "videoset", "video").text(path)
@@ -263,7 +263,7 @@ def _(spark, sf):
 
 
 _CANVAS_SET = """
-    SELECT 'jnc0/' || c.video || '/yolo/' || lpad(CAST(c.collage_idx AS VARCHAR), 4, '0') || '.jpg' AS image_path, coalesce(n, 0) AS boxes, round(coalesce(s, 0), 6) AS left_sum
+    SELECT 'site0/' || c.video || '/yolo/' || lpad(CAST(c.collage_idx AS VARCHAR), 4, '0') || '.jpg' AS image_path, coalesce(n, 0) AS boxes, round(coalesce(s, 0), 6) AS left_sum
     FROM (SELECT DISTINCT video, collage_idx FROM placements) c LEFT JOIN (
       SELECT video, collage_idx, count(*) AS n, sum(x1) AS s FROM (SELECT video, collage_idx,
         greatest(0, least(1080, x1 + dx)) AS x1, greatest(0, least(2880, y1 + dy)) AS y1, greatest(0, least(1080, x2 + dx)) AS x2, greatest(0, least(2880, y2 + dy)) AS y2
@@ -279,7 +279,7 @@ _CANVAS_SET = """
 def _(spark, sf):
     path = new_path(spark, "s25")
     entries = trainsets.build_canvas_trainset(fx.gt_tracks(spark, sf), fx.placements(spark, sf), fx.index_map(spark, sf), TILE,
-                                              WIDTH, HEIGHT * 4, "jnc0", "yolo")
+                                              WIDTH, HEIGHT * 4, "site0", "yolo")
     tables.write_annotations(entries, path)
     back = tables.read_annotations(spark, path)
     return rounded(back.select("image_path", F.size("annotations").cast("bigint").alias("boxes"), F.aggregate(

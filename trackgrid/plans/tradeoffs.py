@@ -519,8 +519,8 @@ def _(spark, sf):
 
 @register("x16_x17_x19_names", """
     SELECT l_suppkey, l_linenumber, CASE l_linenumber % 3 WHEN 0 THEN 'train' WHEN 1 THEN 'valid' ELSE 'test' END AS videoset,
-      CASE WHEN l_linenumber < 4 THEN 'ams' ELSE 'jnc' || l_suppkey % 7 END AS root,
-      CASE WHEN l_linenumber < 4 THEN 'amsterdam' ELSE 'jnc' || l_suppkey % 7 END AS competitor,
+      CASE WHEN l_linenumber < 4 THEN 'ams' ELSE 'site' || l_suppkey % 7 END AS root,
+      CASE WHEN l_linenumber < 4 THEN 'amsterdam' ELSE 'site' || l_suppkey % 7 END AS competitor,
       round(sum(l_quantity) / 1000.0::DOUBLE, 6) AS seconds, round(sum(l_quantity) / count(*), 6) AS mspf
     FROM lineitem GROUP BY ALL""")
 def _(spark, sf):
@@ -528,7 +528,7 @@ def _(spark, sf):
         F.sum("l_quantity").alias("ms"), F.count("*").alias("frames"))
     head = F.element_at(F.array(F.lit("tr"), F.lit("va"), F.lit("te")), (F.col("l_linenumber") % 3 + 1).cast("int"))
     dataset = F.when(F.col("l_linenumber") < 4, F.concat(F.lit("ams-y"), F.col("l_suppkey").cast("string"))).otherwise(
-        F.concat(F.lit("jnc"), F.col("l_suppkey") % 7, F.lit("-y5")))
+        F.concat(F.lit("site"), F.col("l_suppkey") % 7, F.lit("-y5")))
     seconds = naming.ms_to_s(F.col("ms"))
     return rounded(logs.select(
         "l_suppkey", "l_linenumber", naming.videoset_of(F.concat(head, F.lit("01.mp4"))).alias("videoset"),
@@ -600,15 +600,15 @@ def _(spark, sf):
 
 
 _CURVES = """
-    SELECT dataset, CASE WHEN videoset = 'valid' THEN 'ours' ELSE 'otif' END AS system, HOTA_HOTA, round(max(time), 6) AS time
+    SELECT dataset, CASE WHEN videoset = 'valid' THEN 'ours' ELSE 'rival' END AS system, HOTA_HOTA, round(max(time), 6) AS time
     FROM tradeoff GROUP BY ALL"""
 
 
 def _curves(spark, sf):
     t = tradeoff(spark, sf)
-    curves = t.groupBy("dataset", F.when(F.col("videoset") == "valid", "ours").otherwise("otif").alias("system"),
+    curves = t.groupBy("dataset", F.when(F.col("videoset") == "valid", "ours").otherwise("rival").alias("system"),
                        "HOTA_HOTA").agg(F.max("time").alias("time"))
-    return curves.where("system = 'ours'").drop("system"), curves.where("system = 'otif'")
+    return curves.where("system = 'ours'").drop("system"), curves.where("system = 'rival'")
 
 
 def _interp_sql(table: str, x: str, y: str, out: str) -> str:
@@ -622,10 +622,10 @@ def _interp_sql(table: str, x: str, y: str, out: str) -> str:
 
 
 @register("w10_speedup_at_accuracy", tradeoff_sql("""
-    SELECT dataset, round(q, 6) AS accuracy_level, 'OTIF' AS comparison_system, round(other_time / our_time, 6) AS speedup_ratio,
+    SELECT dataset, round(q, 6) AS accuracy_level, 'RIVAL' AS comparison_system, round(other_time / our_time, 6) AS speedup_ratio,
       round(our_time, 6) AS our_time, round(other_time, 6) AS other_time
     FROM mine JOIN their USING (dataset, q) WHERE dataset IN (SELECT dataset FROM others)""",
-    curves=_CURVES, ours="SELECT * FROM curves WHERE system = 'ours'", others="SELECT * FROM curves WHERE system = 'otif'",
+    curves=_CURVES, ours="SELECT * FROM curves WHERE system = 'ours'", others="SELECT * FROM curves WHERE system = 'rival'",
     levels="""SELECT dataset, CAST(i AS DOUBLE) * 0.02::DOUBLE AS q FROM (SELECT dataset, unnest(range(CAST(ceil(least(1.0::DOUBLE, max(HOTA_HOTA)) / 0.02::DOUBLE + 1 - 1e-9) AS BIGINT))) AS i
       FROM ours GROUP BY dataset)""",
     mine=_interp_sql("ours", "HOTA_HOTA", "time", "our_time"), their=_interp_sql("others", "HOTA_HOTA", "time", "other_time")))
@@ -635,10 +635,10 @@ def _(spark, sf):
 
 
 @register("w11_gain_at_runtime", tradeoff_sql("""
-    SELECT dataset, round(q, 6) AS runtime_level, 'OTIF' AS comparison_system, round(our_accuracy - other_accuracy, 6) AS accuracy_gain,
+    SELECT dataset, round(q, 6) AS runtime_level, 'RIVAL' AS comparison_system, round(our_accuracy - other_accuracy, 6) AS accuracy_gain,
       round(our_accuracy, 6) AS our_accuracy, round(other_accuracy, 6) AS other_accuracy
     FROM mine JOIN their USING (dataset, q) WHERE dataset IN (SELECT dataset FROM others)""",
-    curves=_CURVES, ours="SELECT * FROM curves WHERE system = 'ours'", others="SELECT * FROM curves WHERE system = 'otif'",
+    curves=_CURVES, ours="SELECT * FROM curves WHERE system = 'ours'", others="SELECT * FROM curves WHERE system = 'rival'",
     levels="""SELECT dataset, CAST(i AS DOUBLE) * 0.5::DOUBLE AS q FROM (SELECT dataset, unnest(range(CAST(ceil(max(time) / 0.5::DOUBLE + 1 - 1e-9) AS BIGINT))) AS i
       FROM curves WHERE dataset IN (SELECT dataset FROM ours) GROUP BY dataset)""",
     mine=_interp_sql("ours", "time", "HOTA_HOTA", "our_accuracy"), their=_interp_sql("others", "time", "HOTA_HOTA", "other_accuracy")))
@@ -717,13 +717,13 @@ def _(spark, sf):
 
 @register("e12_align_competitor", sql("""
     SELECT dataset, variant_id, classifier, tilesize, HOTA_HOTA, NULL::DOUBLE AS time, 'ours' AS system FROM accuracy
-    UNION ALL SELECT p_brand, 'otif_' || p_partkey, NULL, NULL, NULL, p_retailprice, 'otif' FROM part""", "accuracy"))
+    UNION ALL SELECT p_brand, 'rival_' || p_partkey, NULL, NULL, NULL, p_retailprice, 'rival' FROM part""", "accuracy"))
 def _(spark, sf):
     from trackgrid.plans.reports import align_systems
     ours = fx.accuracy(spark, sf).select("dataset", "variant_id", "classifier", "tilesize", "HOTA_HOTA")
     rival = fx.read(spark, sf, "part").select(F.col("p_brand").alias("dataset"), F.col("p_partkey").alias("param_id"),
                                              F.col("p_retailprice").alias("time"))
-    return align_systems(ours, {"otif": rival}, ours.columns + ["time"])
+    return align_systems(ours, {"rival": rival}, ours.columns + ["time"])
 
 
 @register("w15_order_configs", sql("""
