@@ -10,7 +10,7 @@ import brute
 import numpy as np
 import pyarrow as pa
 import pytest
-from conftest import SCHEMA, awkward_rows, listed, prose
+from awkward import SCHEMA, awkward_rows, listed, prose
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F

@@ -3,7 +3,7 @@
 import brute
 import public_tokenizers
 import pytest
-from conftest import awkward_rows, listed, prose
+from awkward import awkward_rows, listed, prose
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 

@@ -83,7 +83,7 @@ def op6_language_fusion(spark, sf_dir):
 def op7_multi_index_hamming(spark, sf_dir):
     """Near-duplicate groups of all documents: three-word shingles, similarity 0.85."""
     found = neardup.near_duplicates(table(spark, sf_dir, "documents"), percent=85, size=3)
-    return found.select("doc_id", "n_shingles", "component_id", (F.col("doc_id") == F.col("component_id")).alias("kept"))
+    return found.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
 @query
