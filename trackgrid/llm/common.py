@@ -11,7 +11,9 @@ from pyspark.sql import DataFrame, SparkSession
 from trackgrid.scale import new_path
 
 #: Most bytes of text that a task looks at in one step (one row may be longer).
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 1 << 20
+#: Longest tables of powers that a task keeps.
+_KEPT_POWERS = 4 << 20
 
 _UPPER = np.arange(256, dtype=np.uint8)
 _UPPER[65:91] += 32
@@ -124,7 +126,7 @@ def _powers(seed: int, n: int):
             return np.cumprod(out, dtype=np.uint64)
 
         have = (row(base), row(pow(base, -1, 1 << 64)))
-        if size <= 2 * BLOCK_BYTES:
+        if size <= _KEPT_POWERS:
             _POWERS[seed] = have
     return have
 

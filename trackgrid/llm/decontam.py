@@ -18,7 +18,7 @@ from trackgrid.llm.common import ALNUM, LOWER, Scratch, SpanHash, byte_values, m
 #: Words of a window.
 WINDOW = 13
 #: Text of one shard's index.
-SHARD_BYTES = 8 << 20
+SHARD_BYTES = 3 << 20
 #: Benchmark text searched for in one pass over the documents; it is sent to all tasks.
 BLOCK_OF_ITEMS = 8 << 20
 
