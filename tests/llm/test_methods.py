@@ -246,6 +246,16 @@ def test_evidence_is_fused(spark):
     assert right >= 236 and right > alone
 
 
+def test_rare_languages_are_found(spark):
+    rare = "kaj la de en estas por kun ne oni pri"
+    docs = [(k, prose(4000, k), "en", "s", 0) for k in range(30)] + [(100 + k, " ".join([rare] * 3), f"x{k:03}" if k else "eo", "s", 0) for k in range(250)]
+    pages = [(1, "http://a.eo/eo/", f'<html lang="eo"><p>{rare} {rare}</p></html>'), (2, "http://b.com/", f"<p>{prose(60, 1)}</p>"), (3, None, None)]
+    found = {r["page_id"]: r for r in langid.identify(spark.createDataFrame(pages, "page_id long, url string, html string"), spark.createDataFrame(docs[:31], SCHEMA)).collect()}
+    assert (found[1]["lang"], found[1]["text_lang"], found[2]["lang"]) == ("eo", "eo", "en")
+    langs, _ = langid.text_model(spark.createDataFrame(docs, SCHEMA))
+    assert len(langs) == 251
+
+
 def test_pipeline_by_stages(spark, tmp_path):
     import corpus_pipeline as pipeline
 

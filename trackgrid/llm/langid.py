@@ -21,12 +21,14 @@ from trackgrid.llm.urlgroups import host_of, path_of
 
 #: Slots of hashed trigrams.
 SLOTS = 1 << 15
-#: A language is modelled if it holds this share of all labelled text: at most 200 languages.
-LANGUAGE = 0.005
 #: Trigrams of a text overlap and repeat, so it counts as at most so many independent ones.
 EFFECTIVE = 60
 #: Pseudo-counts: of a host towards its domain, of a domain towards all pages, and of other evidence.
 HOST, DOMAIN, EVIDENCE = 4.0, 8.0, 1.0
+#: Least posterior of a text that counts; every language has at least this in a page's score.
+LEAST = 1e-12
+#: Most numbers of a table of pages by languages that a task holds at once.
+CELLS = 1 << 20
 
 _DROP = re.compile(r"<!--.*?-->|<(script|style)\b.*?</\1\s*>|<[^>]*>|&[#\w]+;", re.S | re.I)
 
@@ -65,48 +67,114 @@ def _counts(batches):
         yield pa.RecordBatch.from_arrays([pa.array([name] * len(slots), pa.string()), pa.array(slots.astype(np.int32)), pa.array(n[slots])], names=["lang", "slot", "n"])
 
 
-def text_model(docs: DataFrame, *, text: str = "text", lang: str = "lang") -> tuple[list[str], np.ndarray]:
-    """Languages and the log probabilities of their trigrams, from all documents with a language."""
+def text_model(docs: DataFrame, *, text: str = "text", lang: str = "lang") -> tuple[list[str], tuple]:
+    """Languages and ``(bounds, slots, logs, others)`` of their trigrams, from all documents with a language.
+
+    The log probabilities of the language ``i`` are ``logs`` at ``slots``, both from ``bounds[i]`` to
+    ``bounds[i + 1]``, and ``others[i]`` at every other slot. Every language is modelled.
+    """
     named = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(lang).cast("string").alias("lang"), F.col(text).alias("text"))
     counts = Scratch(docs.sparkSession, "langid").table(named.mapInArrow(_counts, "lang string, slot int, n long").groupBy("lang", "slot").agg(F.sum("n").alias("n")), "trigrams")
-    totals = counts.groupBy("lang").agg(F.sum("n").alias("total"))
-    least = LANGUAGE * (counts.agg(F.sum("n")).first()[0] or 0)
-    # Bounded: at most 1 / LANGUAGE languages of SLOTS numbers.
-    rows = counts.join(totals.where(F.col("total") >= least), "lang").select("lang", "slot", "n").collect()
-    langs = sorted({r["lang"] for r in rows})
-    table = np.full((len(langs), SLOTS), 0.5)
-    for r in rows:
-        table[langs.index(r["lang"]), r["slot"]] += r["n"]
-    return langs, np.log(table / table.sum(axis=1, keepdims=True))
+    # At most SLOTS rows a language, whatever the corpus holds.
+    rows = counts.toArrow().combine_chunks()
+    label = rows["lang"].combine_chunks().dictionary_encode() if rows.num_rows else pa.array([], pa.string()).dictionary_encode()
+    listed = label.dictionary.to_pylist()
+    langs = sorted(listed)
+    rank = {x: i for i, x in enumerate(langs)}
+    of = np.array([rank[x] for x in listed], np.int64)[label.indices.to_numpy()] if langs else np.zeros(0, np.int64)
+    order = np.argsort(of, kind="stable")
+    slots, n = rows["slot"].to_numpy()[order].astype(np.int32), rows["n"].to_numpy()[order]
+    total = np.bincount(of, weights=rows["n"].to_numpy(), minlength=len(langs)) + 0.5 * SLOTS
+    return langs, (np.searchsorted(of[order], np.arange(len(langs) + 1)), slots, np.log((n + 0.5) / total[of[order]]), np.log(0.5 / total))
 
 
 def _posteriors(model, column: str):
-    """Task: pages to the posterior of their text alone, uniform where there is none."""
+    """Task: pages to the posterior of their text alone, as languages ``at`` and their ``p``.
+
+    A page without text has the one entry -1, which holds for every language.
+    """
     def start():
-        langs, logs = model.value
+        langs, (bounds, slots, logs, others) = model.value
 
         def work(batch):
             pages = batch.column(batch.schema.get_field_index(column))
-            out = np.full((batch.num_rows, len(langs)), 1 / max(1, len(langs)))
+            at, p, lengths = [], [], []
             for low in range(0, batch.num_rows, 200):
                 texts = pa.RecordBatch.from_arrays([pa.array([plain_text(h.as_py()) for h in pages.slice(low, 200)], pa.string())], names=["text"])
                 for first, rows, data, starts in text_blocks(texts, "text"):
                     row, slot = _trigrams(data, starts)
                     n = np.bincount(row, minlength=rows)
-                    scale = np.minimum(n, EFFECTIVE) / np.maximum(n, 1)
-                    score = np.stack([np.bincount(row, weights=log[slot], minlength=rows) for log in logs], axis=1) * scale[:, None] if len(langs) else np.zeros((rows, 0))
-                    score = np.exp(score - score.max(axis=1, keepdims=True, initial=-np.inf)) if len(langs) else score
-                    out[low + first:low + first + rows] = score / score.sum(axis=1, keepdims=True) if len(langs) else score
-            return [pa.array(list(out), pa.list_(pa.float64()))]
+                    score = np.zeros((rows, len(langs) + 1))
+                    for i in range(len(langs)):
+                        weight = np.full(SLOTS, others[i])
+                        weight[slots[bounds[i]:bounds[i + 1]]] = logs[bounds[i]:bounds[i + 1]]
+                        score[:, i] = np.bincount(row, weights=weight[slot], minlength=rows)
+                    score[:, :-1] *= (np.minimum(n, EFFECTIVE) / np.maximum(n, 1))[:, None]
+                    score[:, :-1] = np.exp(score[:, :-1] - score[:, :-1].max(axis=1, keepdims=True, initial=-np.inf))
+                    score[:, :-1] /= score[:, :-1].sum(axis=1, keepdims=True)
+                    score[n == 0] = 0
+                    score[n == 0, -1] = 1 / max(1, len(langs))
+                    here, lang = np.nonzero(score >= LEAST)
+                    lengths.append(np.bincount(here, minlength=rows))
+                    at.append(np.where(lang == len(langs), -1, lang).astype(np.int32))
+                    p.append(score[here, lang])
+            bound = np.concatenate([[0], *lengths]).cumsum().astype(np.int32)
+            return [pa.ListArray.from_arrays(pa.array(bound), pa.array(np.concatenate([np.zeros(0, kind), *x]))) for x, kind in ((at, np.int32), (p, np.float64))]
 
         return work
 
     return start
 
 
-def _sums(pages: DataFrame, keys: list[str], langs: list[str]) -> DataFrame:
-    """Text posteriors summed by key, one column per language."""
-    return pages.groupBy(*keys).agg(*[F.sum(F.col("p")[i]).alias(f"n{i}") for i in range(len(langs))])
+def _entries(pages: DataFrame, *keys: str) -> DataFrame:
+    """Text posteriors summed by key and language, one row each."""
+    return pages.select(*keys, F.inline(F.arrays_zip("at", "p"))).groupBy(*keys, "at").agg(F.sum("p").alias("n"))
+
+
+def _sums(pages: DataFrame, key: str) -> DataFrame:
+    """The entries of each key as lists ``key_at``, ``key_n``, no longer than there are languages."""
+    listed = _entries(pages, key).groupBy(key).agg(F.collect_list(F.struct("at", "n")).alias("e"))
+    return listed.select(key, F.col("e.at").alias(f"{key}_at"), F.col("e.n").alias(f"{key}_n"))
+
+
+def _dense(at: pa.Array, n: pa.Array, width: int) -> np.ndarray:
+    """Lists of entries as rows of numbers, one for each language."""
+    out = np.zeros((len(at), width + 1))
+    row = np.repeat(np.arange(len(at)), at.value_lengths().to_numpy())
+    # The entry -1 is the last column.
+    out[row, at.flatten().to_numpy()] = n.flatten().to_numpy()
+    return out[:, :-1] + out[:, -1:]
+
+
+def _fused(langs: list[str], whole: np.ndarray):
+    """Task: pages with the sums of their keys to language, confidence and language of the text."""
+    everywhere = (whole + 1) / (whole.sum() + len(langs))
+    names = np.array(langs, object)
+
+    def work(batch):
+        out = []
+        step = max(1, CELLS // len(langs))
+        for low in range(0, batch.num_rows, step):
+            def sums(at: str, n: str):
+                return _dense(*(batch.column(batch.schema.get_field_index(c)).slice(low, step) for c in (at, n)), len(langs))
+
+            def total(n: np.ndarray):
+                return n.sum(axis=1, keepdims=True) - 1
+
+            own = sums("at", "p")
+            score = np.log(np.maximum(own, LEAST))
+            domain, host = sums("domain_at", "domain_n"), sums("host_at", "host_n")
+            prior = (np.maximum(domain - own, 0) + DOMAIN * everywhere) / (np.maximum(total(domain), 0) + DOMAIN)
+            score += np.log((np.maximum(host - own, 0) + HOST * prior) / (np.maximum(total(host), 0) + HOST))
+            for e in ("declared", "suffix"):
+                # How much more often this language has the declaration and the suffix than all pages have.
+                n = sums(f"{e}_at", f"{e}_n")
+                score += np.log(np.maximum((n - own + EVIDENCE * everywhere) / (total(n) + EVIDENCE) / everywhere, 1e-6))
+            top = score.max(axis=1, keepdims=True)
+            out.append((names[score.argmax(axis=1)], 1 / np.exp(score - top).sum(axis=1), names[own.argmax(axis=1)]))
+        return [np.concatenate(x) for x in zip(*out)] if out else [[]] * 3
+
+    return work
 
 
 def identify(pages: DataFrame, docs: DataFrame, *, id_col: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
@@ -120,46 +188,27 @@ def identify(pages: DataFrame, docs: DataFrame, *, id_col: str = "page_id", url:
     text evidence and no declaration; a NULL URL has empty host and suffix, which are a host
     and a suffix like others. Without labelled documents, ``lang`` is NULL. Repeated rows repeat (and
     count as often); an empty table gives an empty result; other columns are ignored.
+    Every language with a trigram of labelled text is modelled, however rare.
     """
     spark = pages.sparkSession
-    langs, logs = text_model(docs)
+    langs, trigrams = text_model(docs)
     scratch = Scratch(spark, "langid")
-    shared = spark.sparkContext.broadcast((langs, logs))
+    shared = spark.sparkContext.broadcast((langs, trigrams))
     host = host_of(F.col(url))
     part = F.regexp_extract(path_of(F.col(url)), r"^/([A-Za-z]{2})(?:[/_-]|$)", 1)
     declared = F.lower(F.regexp_extract(F.coalesce(F.col(html), F.lit("")), r"(?i)<html\b[^>]*\blang\s*=\s*[\"']?([A-Za-z]+)", 1))
     base = pages.select(F.col(id_col).alias("id"), host.alias("host"), F.regexp_extract(host, r"([^.]+\.[^.]+)$", 1).alias("domain"),
                         F.concat_ws("/", F.element_at(F.split(host, r"\."), -1), F.lower(part)).alias("suffix"), declared.alias("declared"), F.col(html).alias("html"))
-    base = scratch.table(map_text(base, _posteriors(shared, "html"), "p array<double>", ["id", "host", "domain", "suffix", "declared"]), "pages")
+    base = scratch.table(map_text(base, _posteriors(shared, "html"), "at array<int>, p array<double>", ["id", "host", "domain", "suffix", "declared"]), "pages")
     if not langs:
         none = F.lit(None).cast("string")
         return base.select(F.col("id").alias(id_col), none.alias("lang"), F.lit(0.0).alias("confidence"), none.alias("text_lang"), "declared", "suffix", "host")
-    k = range(len(langs))
-
-    def renamed(table: DataFrame, name: str) -> DataFrame:
-        return table.withColumnsRenamed({f"n{i}": f"{name}{i}" for i in k})
-
-    whole = base.agg(*[F.sum(F.col("p")[i]) for i in k]).first()
-    every = sum(x or 0.0 for x in whole) + len(langs)
-    joined = base.join(renamed(_sums(base, ["declared"], langs), "declared"), "declared").join(renamed(_sums(base, ["suffix"], langs), "suffix"), "suffix")
-    joined = joined.join(renamed(_sums(base, ["domain"], langs), "domain"), "domain").join(renamed(_sums(base, ["host"], langs), "host"), "host")
-
-    def total(name: str, own: bool = False):
-        out = sum((F.col(f"{name}{i}") for i in k), F.lit(0.0))
-        return out - 1 if own else out
-
-    scores = []
-    for i in k:
-        own = F.col("p")[i]
-        everywhere = F.lit(((whole[i] or 0.0) + 1) / every)
-        domain = (F.greatest(F.col(f"domain{i}") - own, F.lit(0.0)) + DOMAIN * everywhere) / (F.greatest(total("domain", True), F.lit(0.0)) + DOMAIN)
-        prior = (F.greatest(F.col(f"host{i}") - own, F.lit(0.0)) + HOST * domain) / (F.greatest(total("host", True), F.lit(0.0)) + HOST)
-        # How much more often this language has the declaration and the suffix than all pages have.
-        seen = [((F.col(f"{e}{i}") - own + EVIDENCE * everywhere) / (total(e, True) + EVIDENCE)) / everywhere for e in ("declared", "suffix")]
-        scores.append(F.log(F.greatest(own, F.lit(1e-12))) + F.log(prior) + sum((F.log(F.greatest(s, F.lit(1e-6))) for s in seen), F.lit(0.0)))
-    named = F.array(*[F.lit(x) for x in langs])
-    scored = joined.withColumn("s", F.array(*scores)).withColumn("top", F.array_max("s"))
-    lang = F.element_at(named, F.array_position("s", F.col("top")).cast("int"))
-    text_lang = F.element_at(named, F.array_position("p", F.array_max("p")).cast("int"))
-    confidence = 1 / F.aggregate("s", F.lit(0.0), lambda a, x: a + F.exp(x - F.col("top")))
-    return scored.select(F.col("id").alias(id_col), lang.alias("lang"), confidence.alias("confidence"), text_lang.alias("text_lang"), "declared", "suffix", "host")
+    whole = np.zeros(len(langs) + 1)
+    for r in _entries(base).collect():
+        whole[r["at"]] = r["n"]
+    joined = base
+    # The short lists first; those of declarations and suffixes are few, so they may be broadcast.
+    for key in ("host", "domain", "suffix", "declared"):
+        joined = joined.join(_sums(base, key), key)
+    found = map_text(joined, lambda: _fused(langs, whole[:-1] + whole[-1]), "lang string, confidence double, text_lang string", ["id", "declared", "suffix", "host"])
+    return found.select(F.col("id").alias(id_col), "lang", "confidence", "text_lang", "declared", "suffix", "host")
