@@ -221,6 +221,13 @@ def test_divergence_of_a_text_unlike_its_language(spark):
     assert judged[100]["kept"] and judged[101]["kept"] and all(judged[k]["kept"] for k in range(30))
 
 
+def test_clean_texts_of_a_rare_language_are_kept(spark):
+    cyrillic = " ".join(f"слово{chr(0x430 + k % 32)}{chr(0x430 + k // 32)}" for k in range(130))
+    rows = [(k, prose(5000, k, 60), "en", "s", 0) for k in range(30)] + [(99, cyrillic, "ru", "s", 0)]
+    judged = {r["doc_id"]: r for r in quality.judge_quality(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert judged[99]["kept"] and judged[99]["class_distance"] < 0.01 and all(judged[k]["kept"] for k in range(30))
+
+
 def test_distance_of_histograms():
     p, q = np.array([[2.0, 2.0], [0.0, 0.0], [0.0, 5.0]]), np.array([[0.5, 0.5], [1.0, 0.0], [1.0, 0.0]])
     assert quality.js_distance(p, q) == pytest.approx([0, 0, 1])

@@ -31,8 +31,6 @@ _SYMBOL[list(b"#*$%&|<>")] = True
 
 #: A word is common if it makes up this share of its language's words: at most 200 words a language.
 COMMON = 0.005
-#: A language has references of its own if it holds this share of all words: at most 1,000 languages.
-LANGUAGE = 0.001
 
 
 @dataclass(frozen=True)
@@ -101,23 +99,17 @@ def _corpus_counts(most: int = 1 << 20):
 
 
 def references(docs: DataFrame, *, text: str = "text", lang: str = "lang") -> tuple[DataFrame, DataFrame]:
-    """``(lang, class, share)`` and ``(lang, word, share)`` of the languages that hold a share of ``LANGUAGE`` of all words.
+    """``(lang, class, share)`` and ``(lang, word, share)`` of every language that has words.
 
-    The language NULL here stands for all documents together. Only words of a share of ``COMMON`` are
-    kept, so the tables are bounded whatever the corpus holds.
+    Documents without a language are one language of their own, the empty text. Only words of a share
+    of ``COMMON`` are kept: at most 8 classes and 200 words a language.
     """
     scratch = Scratch(docs.sparkSession, "quality")
     counted = docs.select(F.col(text).alias("text"), F.coalesce(F.col(lang).cast("string"), F.lit("")).alias("lang"))
     counted = counted.mapInArrow(_corpus_counts(), "lang string, word long, class int, n long")
     counts = scratch.table(counted.groupBy("lang", "word", "class").agg(F.sum("n").alias("n")), "counts")
-    everything = counts.groupBy("word", "class").agg(F.sum("n").alias("n")).select(F.lit(None).cast("string").alias("lang"), "word", "class", "n")
-    counts = counts.union(everything)
     totals = counts.groupBy("lang").agg(F.sum(F.when(F.col("word").isNotNull(), F.col("n"))).alias("words"), F.sum(F.when(F.col("class").isNotNull(), F.col("n"))).alias("chars"))
-    totals = scratch.table(totals, "totals")
-    whole = totals.where("lang is null").first()
-    least = LANGUAGE * ((whole["words"] if whole else None) or 0)
-    totals = totals.where(F.col("words") >= least).withColumnRenamed("lang", "l")
-    shares = counts.join(totals, F.col("lang").eqNullSafe(F.col("l")))
+    shares = counts.join(totals.where("words > 0"), "lang")
     classes = shares.where("class is not null and chars > 0").select("lang", "class", (F.col("n") / F.col("chars")).alias("share"))
     words = shares.where((F.col("word").isNotNull()) & (F.col("n") >= COMMON * F.col("words"))).select("lang", "word", (F.col("n") / F.col("words")).alias("share"))
     return classes, words
@@ -127,16 +119,19 @@ class _Reference:
     """References of all languages as arrays; slot 0 of the words is every other word."""
 
     def __init__(self, classes: list, words: list):
-        self.langs = {x: i for i, x in enumerate(sorted({r[0] for r in classes}, key=lambda x: (x is not None, x)))}
+        self.langs = {x: i for i, x in enumerate(sorted({r[0] for r in classes}))}
         self.classes = np.zeros((max(len(self.langs), 1), CLASSES))
         for lang, k, share in classes:
             self.classes[self.langs[lang], k] = share
-        by = {i: sorted((w, s) for lang, w, s in words if self.langs.get(lang) == i) for i in self.langs.values()}
+        by = {i: [] for i in self.langs.values()}
+        for lang, w, s in words:
+            if lang in self.langs:
+                by[self.langs[lang]].append((w, s))
         width = 1 + max([0, *map(len, by.values())])
         self.words = np.zeros((max(len(self.langs), 1), width))
         keys, slots = [], []
         for i, listed in by.items():
-            for slot, (w, s) in enumerate(listed, 1):
+            for slot, (w, s) in enumerate(sorted(listed), 1):
                 keys.append((w, i))
                 slots.append(slot)
                 self.words[i, slot] = s
@@ -217,8 +212,8 @@ def _measures(reference, lang: str, text: str):
 
         def work(batch):
             langs = batch.column(batch.schema.get_field_index(lang)).to_pylist()
-            fallback = ref.langs.get(None, 0)
-            of = np.array([ref.langs.get("" if x is None else str(x), fallback) for x in langs], np.int64)
+            # Texts of a language without words fail anyway, so that any reference does.
+            of = np.array([ref.langs.get("" if x is None else str(x), 0) for x in langs], np.int64)
             found = []
             for first, rows, data, starts in text_blocks(batch, text):
                 begins, ends, row = word_bounds(data, starts, SPACED)
@@ -244,8 +239,8 @@ def judge_quality(docs: DataFrame, limits: Limits = Limits(), *, text: str = "te
 
     A text fails the base rules with fewer than 20 words or over 30 % of its words in
     repeated windows. A text that passes is kept unless a distance that its length admits is
-    above its limit. Languages without references of their own, and NULL, are compared
-    to all documents together.
+    above its limit. Every language has references of its own, however rare; documents whose
+    language is NULL or empty are one language.
 
     NULL and empty texts have no words and fail. Rows are judged one by one: repeated rows
     repeat (and count as often in the references); an empty table gives an empty result.
