@@ -91,6 +91,45 @@ def test_nested_layers_are_unwrapped(layer):
     assert secrets.redact(text, inside).startswith("é before ") and "<secret>" in secrets.redact(text, inside)
 
 
+SECRET = 'the password = "hunter2hunter2" of a Text'
+
+
+@pytest.mark.parametrize("odd", "\u00a0\u3000\u00ad\u200b\ufeff\f")
+def test_layers_with_odd_characters_are_scanned(odd):
+    for data in ((odd + SECRET).encode(), zlib.compress((odd + SECRET).encode()), zlib.compress(b"\xff" + SECRET.encode())):
+        text = "see " + b64(data) + " end"
+        assert [x[2] for x in secrets.find_secrets(text)[1]] == ["assign"]
+
+
+def test_compressed_data_in_compressed_data():
+    text = "see " + b64(gzip.compress(zlib.compress(gzip.compress(SECRET.encode())))) + " end"
+    assert [x[2] for x in secrets.find_secrets(text)[1]] == ["assign"]
+
+
+@pytest.mark.parametrize("width,end", [(76, "\n"), (64, "\r\n"), (30, "\n  ")])
+def test_wrapped_base64_is_joined(width, end):
+    noise = "".join(random.Random(5).choices("abcdefghij klmnop,", k=300))
+    for plain in (True, False):
+        data = (noise + " " + SECRET + " " + noise).encode()
+        code = b64(data if plain else zlib.compress(data))
+        wrapped = end.join(code[k:k + width] for k in range(0, len(code), width))
+        for text in (f"a {wrapped}\nregards", f"internationalisation\n{wrapped}", f"key: {wrapped} end"):
+            (found,) = secrets.find_secrets(text)[1]
+            cut = "".join(text[found[0]:found[1]].split())
+            assert found[2] == "assign" and cut in code
+            assert not plain or b"hunter2hunter2" in base64.b64decode(cut + "=" * (-len(cut) % 4)) and len(cut) < 60
+
+
+def test_large_layers_are_scanned_in_parts(monkeypatch):
+    monkeypatch.setattr(secrets, "MAX_LAYER", 4000)
+    monkeypatch.setattr(secrets, "OVERLAP", 500)
+    for at in (100, 3990, 7700, 30000):
+        for inner in (SECRET, b64(SECRET.encode() * 8)):
+            body = ("word, " * 8000)[:at] + " " + inner + " " + "word, " * 3000
+            for data in (zlib.compress(body.encode()), gzip.compress(zlib.compress(body.encode()))):
+                assert [x[2] for x in secrets.find_secrets("see " + b64(data))[1]] == ["assign"]
+
+
 def test_spans_of_partly_encoded_secrets():
     text = "aaa pass%77ord=hun%74er2222 bbb"
     assert secrets.find_secrets(text)[1] == [(4, 27, "assign")]

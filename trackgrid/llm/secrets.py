@@ -10,7 +10,9 @@ from __future__ import annotations
 
 import base64
 import binascii
+import codecs
 import hashlib
+import itertools
 import re
 import zlib
 from bisect import bisect_right
@@ -28,10 +30,15 @@ _LEAST = {"assign": 6, "access": 20}
 
 _URL = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 _UNICODE = re.compile(r"(?:\\u\{[0-9A-Fa-f]{1,6}\}|\\u[0-9A-Fa-f]{4}|\\x[0-9A-Fa-f]{2}|&#[0-9]{1,7};|&#[xX][0-9A-Fa-f]{1,6};)")
-_BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
+#: Lines of base64, broken or not; only the last may be short.
+_BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}(?:[ \t]*\r?\n[ \t]*[A-Za-z0-9+/_-]{16,})*(?:[ \t]*\r?\n[ \t]*[A-Za-z0-9+/_-]+)?={0,2}")
+_LINE = re.compile(r"[A-Za-z0-9+/_-]+")
+_TAIL = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_-= \t\r\n"
 
-#: A compressed layer may not expand beyond this many bytes; a larger one stays packed and is counted.
+#: A compressed layer beyond this many bytes is scanned in parts of as many characters.
 MAX_LAYER = 64 << 20
+#: A part repeats at least so many characters of the part before.
+OVERLAP = 1 << 20
 
 
 def scan(text: str) -> list[tuple[str, int, int]]:
@@ -66,29 +73,99 @@ class Layer:
         return self.origin(start)[0], self.origin(end - 1)[1]
 
 
-def _printable(data: bytes) -> str | None:
+def _text(data: bytes) -> str | None:
     """Text of decoded bytes, if they are text."""
     try:
-        text = data.decode("utf-8")
+        return data.decode("utf-8") or None
     except UnicodeDecodeError:
         return None
-    return text if text and all(c.isprintable() or c in "\t\r\n" for c in text) else None
 
 
-def _inflate(data: bytes) -> bytes | None:
-    """Content of zlib or gzip data within the size limit."""
+def _mode(data: bytes) -> int | None:
+    """zlib's window argument for data that begins like zlib or gzip."""
     if data[:2] == b"\x1f\x8b":
-        mode = 31
-    elif len(data) > 2 and data[0] & 15 == 8 and (data[0] << 8 | data[1]) % 31 == 0:
-        mode = 15
-    else:
+        return 31
+    return 15 if len(data) > 2 and data[0] & 15 == 8 and (data[0] << 8 | data[1]) % 31 == 0 else None
+
+
+def _stream(chunks, mode: int):
+    """Content of zlib or gzip data, in chunks; it ends where the data is damaged."""
+    unpack = zlib.decompressobj(mode)
+    try:
+        for chunk in chunks:
+            while (chunk or unpack.unconsumed_tail) and not unpack.eof:
+                out = unpack.decompress(chunk or unpack.unconsumed_tail, OVERLAP)
+                chunk = unpack.unconsumed_tail
+                if out:
+                    yield out
+                elif not chunk:
+                    break
+    except zlib.error:
+        return
+
+
+def _inflate(data: bytes):
+    """Content of zlib or gzip data: bytes, chunks of them if it is over the limit, or None if it is neither."""
+    mode = _mode(data)
+    if mode is None:
         return None
     try:
         unpack = zlib.decompressobj(mode)
         out = unpack.decompress(data, MAX_LAYER)
-        return out if unpack.eof else None
     except zlib.error:
         return None
+    if unpack.eof:
+        return out
+    return _stream([data], mode) if len(out) >= MAX_LAYER else None
+
+
+def _used(data: bytes) -> int:
+    """Bytes of compressed data up to its end."""
+    unpack, rest = zlib.decompressobj(_mode(data)), data
+    while rest and not unpack.eof:
+        unpack.decompress(rest, OVERLAP)
+        rest = unpack.unconsumed_tail
+    return len(data) - len(unpack.unused_data)
+
+
+def _unpacked(data: bytes):
+    """Texts of compressed data, unwrapped until it is compressed no more, or None if it is not compressed.
+
+    What unpacks is real data, so bytes that are not UTF-8 are replaced and the rest is read.
+    """
+    content = _inflate(data)
+    if content is None:
+        return None
+    while isinstance(content, bytes):
+        deeper = _inflate(content)
+        if deeper is None:
+            return [content.decode("utf-8", "replace")] if content else []
+        content = deeper
+    return _parts(content)
+
+
+def _parts(chunks):
+    """Texts of chunks of bytes, no longer than the limit by much; a run of base64 that a border cuts is whole in the next."""
+    head = next(chunks, b"")
+    chunks = itertools.chain([head], chunks)
+    while (mode := _mode(head)) is not None:
+        inner = next(_stream([head], mode), b"")
+        if not inner:
+            break
+        head, chunks = inner, _stream(chunks, mode)
+    decode = codecs.getincrementaldecoder("utf-8")("replace").decode
+    held, size = [], 0
+    for chunk in chunks:
+        held.append(decode(chunk))
+        size += len(held[-1])
+        if size >= MAX_LAYER:
+            part = "".join(held)
+            yield part
+            run = len(part) - len(part.rstrip(_TAIL))
+            held = [part[-max(run, OVERLAP):]] if run < MAX_LAYER // 2 else [part[-OVERLAP:]]
+            size = len(held[0])
+    held.append(decode(b"", True))
+    yield "".join(held)
 
 
 def _escapes(layer: Layer, pattern: re.Pattern, decode) -> Layer | None:
@@ -155,25 +232,69 @@ def _inner(layer: Layer):
     if "\\" in text or "&#" in text:
         yield _escapes(layer, _UNICODE, _codepoint)
     for m in _BASE64.finditer(text):
-        body = m[0].rstrip("=")
-        if len(body) % 4 == 1 or not (re.search("[A-Z]", body) and re.search("[a-z]", body)):
-            continue
-        try:
-            data = base64.b64decode(body + "=" * (-len(body) % 4), altchars=b"-_" if "-" in body or "_" in body else None, validate=True)
-        except (binascii.Error, ValueError):
-            continue
-        start, end = layer.span(*m.span())
-        unpacked = _inflate(data)
-        if unpacked is not None:
-            plain = _printable(unpacked)
+        lines = [x.span() for x in _LINE.finditer(text, m.start(), m.end())]
+        read = [False] * len(lines)
+        for first, last in _choices([e - s for s, e in lines]):
+            if not all(read[first:last]) and (yield from _decoded(layer, lines[first:last], m.end() if last == len(lines) else lines[last - 1][1])):
+                read[first:last] = [True] * (last - first)
+
+
+def _choices(widths: list[int]) -> list[tuple[int, int]]:
+    """Runs of lines that may be one base64 text: all, lines of one width with the lines beside them, and each alone; the longest first."""
+    n = len(widths)
+    out = {(i, i + 1) for i in range(n)} | {(0, n)}
+    first = 0
+    while first < n:
+        last = first + 1
+        while last < n and widths[last] == widths[first]:
+            last += 1
+        out |= {(low, high) for low in (max(first - 1, 0), first) for high in (last, min(last + 1, n))}
+        first = last
+    return sorted(out, key=lambda x: (x[0] - x[1], x))
+
+
+def _decoded(layer: Layer, lines: list[tuple[int, int]], stop: int):
+    """Layers that lines of base64 decode to; ``stop`` is behind their padding. Returns whether they are plain text."""
+    body = "".join(layer.text[s:e] for s, e in lines)
+    if len(body) < 16 or len(body) % 4 == 1 or not (re.search("[A-Z]", body) and re.search("[a-z]", body)):
+        return False
+    try:
+        data = base64.b64decode(body + "=" * (-len(body) % 4), altchars=b"-_" if "-" in body or "_" in body else None, validate=True)
+    except (binascii.Error, ValueError):
+        return False
+    begin = lines[0][0]
+    start, end = layer.span(begin, stop)
+    texts = _unpacked(data)
+    if texts is not None:
+        if len(lines) > 1:
+            # Lines behind the end of the compressed data are not part of it.
+            need, k = -(-_used(data) * 4 // 3), 0
+            while k < len(lines) - 1 and need > lines[k][1] - lines[k][0]:
+                need -= lines[k][1] - lines[k][0]
+                k += 1
+            end = layer.span(begin, stop if k == len(lines) - 1 else lines[k][1])[1]
+        for plain in texts:
             if plain:
                 yield Layer(plain, [(0, start, end, 0)])
-            continue
-        plain = _printable(data)
-        if plain:
-            # Groups of four characters stay together where the layer is the original and bytes are characters.
-            exact = len(plain) == len(data) and layer.origin(m.start())[1] - start == 1 and end - start == len(m[0])
-            yield Layer(plain, [(0, start, end, 4 / 3 if exact else 0)])
+        return False
+    plain = _text(data)
+    if not plain:
+        return False
+    # Groups of four characters stay together where the layer is the original and bytes are characters.
+    exact = len(plain) == len(data) and layer.origin(begin)[1] - start == 1 and end - start == stop - begin
+    if not exact:
+        yield Layer(plain, [(0, start, end, 0)])
+    elif all((e - s) % 4 == 0 for s, e in lines[:-1]):
+        pieces, at = [], 0
+        for s, e in lines:
+            if at < len(plain):
+                pieces.append((at, start + s - begin, start + (e if e < lines[-1][1] else stop) - begin, 4 / 3))
+            at += (e - s) // 4 * 3
+        yield Layer(plain, pieces)
+    else:
+        where = [start + k - begin for s, e in lines for k in range(s, e)]
+        yield Layer(plain, [(at, where[at // 3 * 4], where[min(at // 3 * 4 + 3, len(where) - 1)] + 1, 0) for at in range(0, len(plain), 3)])
+    return True
 
 
 def find_secrets(text: str | None) -> tuple[list[tuple[int, int, str]], list[tuple[int, int, str]]]:
@@ -186,9 +307,10 @@ def find_secrets(text: str | None) -> tuple[list[tuple[int, int, str]], list[tup
     base = [(s, e, k) for k, s, e in scan(text)]
     found = set(base)
     seen: set = set()
-    work = [Layer(text, [(0, 0, len(text), 1)])] if text else []
+    # Depth first, so that only the layers around the current one are held.
+    work = [_inner(Layer(text, [(0, 0, len(text), 1)]))] if text else []
     while work:
-        for inner in _inner(work.pop()):
+        for inner in work[-1]:
             if inner is None:
                 continue
             key = (hashlib.blake2b(inner.text.encode("utf-8", "surrogatepass"), digest_size=16).digest(), inner.pieces[0][1], inner.pieces[-1][2])
@@ -196,7 +318,10 @@ def find_secrets(text: str | None) -> tuple[list[tuple[int, int, str]], list[tup
                 continue
             seen.add(key)
             found.update((*inner.span(s, e), k) for k, s, e in scan(inner.text))
-            work.append(inner)
+            work.append(_inner(inner))
+            break
+        else:
+            work.pop()
     def order(x):
         return x[0], KINDS.index(x[2]), x[1]
     return sorted(base, key=order), sorted(found, key=order)
