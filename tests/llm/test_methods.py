@@ -74,6 +74,23 @@ def test_blocks_reach_aliases_and_allows_win(spark):
 KEY = "password=hunter2222"
 
 
+@pytest.mark.parametrize("target,expected", [
+    ("page.html", "http://h.com/a/b/page.html"), ("./page.html", "http://h.com/a/b/page.html"), ("../x", "http://h.com/a/x"), ("../../../x", "http://h.com/x"), ("..", "http://h.com/a/"), (".", "http://h.com/a/b/"),
+    ("?id=2", "http://h.com/a/b/c?id=2"), ("x?u=../y", "http://h.com/a/b/x?u=../y"), ("/r/../s?q", "http://h.com/s?q"), ("//o.org/./p", "http://o.org/p"), ("https://o.org/a/../p?x=1&amp;y=2", "https://o.org/p?x=1&y=2"),
+    ("/p?x=1&#38;y=&#x32;", "http://h.com/p?x=1&y=2"), ("/&#233;&#x6f22;&amp;lt;&x", "http://h.com/é漢&lt;&x"), ("d/e/#f", "http://h.com/a/b/d/e/"), ("mailto:a@b.com", None), ("/u?r=http://x.y/..", "http://h.com/u?r=http://x.y/.."),
+])
+def test_targets_of_every_form_are_resolved(spark, target, expected):
+    page = [("http://h.com/a/b/c?q=1", f'<link rel="canonical" href="{target}">'), ("http://h.com/a/b/c?q=1", f'<meta http-equiv=refresh content="0; url={target}">')]
+    links = urlgroups.page_links(spark.createDataFrame(page, "url string, html string")).collect()
+    assert [r["b"] for r in links] == [expected] * 2 * (expected is not None)
+
+
+def test_blocks_reach_relative_aliases(spark):
+    pages = [(1, "http://h.com", '<meta http-equiv="refresh" content="0; url=index.html">'), (2, "http://h.com/index.html", '<link rel=canonical href="bad/?a=1&amp;b=2">'), (3, "http://h.com/bad/?a=1&b=2", None)]
+    judged = urlgroups.judge_urls(spark.createDataFrame(pages, "page_id long, url string, html string"), urlgroups.rule_table(spark, [("block", "h.com/bad/")]))
+    assert {r["page_id"]: (r["verdict"], r["class_size"]) for r in judged.collect()} == {k: ("block", 3) for k in (1, 2, 3)}
+
+
 def b64(data):
     return base64.b64encode(data if isinstance(data, bytes) else data.encode()).decode()
 

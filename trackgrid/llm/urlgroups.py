@@ -33,21 +33,77 @@ def path_of(url: Column) -> Column:
     return F.coalesce(F.regexp_extract(url, r"^(?s:.*?)://[^/?#]*([^?#]*)", 1), F.lit(""))
 
 
+#: Entities by name that addresses hold.
+_NAMED = {"lt": "<", "gt": ">", "quot": '"', "apos": "'", "amp": "&"}
+
+
+def decoded(text: Column) -> Column:
+    """Text with ``&amp;``, the other entities of XML and numeric ones decoded once; the rest stays."""
+    pieces = F.regexp_extract_all(text, F.lit(r"(?s)(&(?:#[0-9]{1,7}|#[xX][0-9A-Fa-f]{1,6}|amp|lt|gt|quot|apos);|[^&]+|&)"), F.lit(1))
+
+    def one(piece: Column) -> Column:
+        code = F.when(piece.rlike("^&#[0-9]+;$"), F.regexp_extract(piece, "([0-9]+)", 1).cast("int")).when(
+            piece.rlike("^&#[xX][0-9A-Fa-f]+;$"), F.conv(F.regexp_extract(piece, "[xX]([0-9A-Fa-f]+)", 1), 16, 10).cast("int"))
+        valid = code.between(1, 0x10FFFF) & ~code.between(0xD800, 0xDFFF)
+        # chr() of Spark only knows bytes, so a code point becomes the UTF-32 bytes of its character.
+        out = F.when(valid, F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32"))
+        for name, sign in _NAMED.items():
+            out = F.when(piece == f"&{name};", F.lit(sign)).otherwise(out)
+        return F.coalesce(out, piece)
+
+    return F.when(text.contains("&"), F.array_join(F.transform(pieces, one), "")).otherwise(text)
+
+
+def _without_dots(path: Column) -> Column:
+    """A path without ``.`` and ``..``; the parts above the root are dropped."""
+    parts = F.split(path, "/")
+    parts = F.slice(parts, 2, F.greatest(F.size(parts) - 1, F.lit(0)))
+    last = F.element_at(parts, -1)
+
+    def step(done: Column, part: Column) -> Column:
+        up = F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0)))
+        return F.when(part == "..", up).when(part == ".", done).otherwise(F.concat(done, F.array(part)))
+
+    kept = F.aggregate(parts, F.array().cast("array<string>"), step)
+    # A path that ends in dots is a directory.
+    kept = F.when(last.isin(".", ".."), F.concat(kept, F.array(F.lit("")))).otherwise(kept)
+    return F.when(path.rlike(r"/\.\.?(/|$)"), F.concat(F.lit("/"), F.array_join(kept, "/"))).otherwise(path)
+
+
+def resolve(base: Column, target: Column) -> Column:
+    """Absolute form of ``target`` on the page ``base``, as browsers join them; NULL if the base has no host or the target is of another kind (``mailto:``)."""
+    part = r"^((?s:.*?)://)([^/?#]*)([^?#]*)(\?[^#]*)?"
+    scheme, host, path, query = (F.coalesce(F.regexp_extract(base, part, i), F.lit("")) for i in (1, 2, 3, 4))
+    site = F.concat(scheme, host)
+    target = F.regexp_replace(target, "(?s)#.*$", "")
+    own, more = F.regexp_extract(target, r"^([^?]*)", 1), F.regexp_extract(target, r"(?s)^[^?]*(\?.*)$", 1)
+    folder = F.coalesce(F.nullif(F.regexp_extract(path, r"(?s)^(.*/)", 1), F.lit("")), F.lit("/"))
+    whole = r"(?s)^([A-Za-z][A-Za-z0-9+.-]*://[^/?]*)(.*)$"
+    under = F.regexp_extract(target, whole, 2)
+    absolute = F.concat(F.regexp_extract(target, whole, 1), _without_dots(F.regexp_extract(under, r"^([^?]*)", 1)), F.regexp_extract(under, r"(?s)^[^?]*(\?.*)$", 1))
+    sibling = F.concat(F.regexp_replace(scheme, "//$", ""), target)
+    sibling = F.concat(F.regexp_extract(sibling, whole, 1), _without_dots(F.regexp_extract(sibling, r"(?s)://[^/?]*([^?]*)", 1)), F.regexp_extract(sibling, r"(?s)^[^?]*(\?.*)$", 1))
+    based = base.contains("://")
+    return (F.when(target.rlike(whole), absolute)
+            .when(target.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:") | ~based, F.lit(None).cast("string"))
+            .when(target.startswith("//"), sibling)
+            .when(target.startswith("/"), F.concat(site, _without_dots(own), more))
+            .when(target == "", F.concat(site, path, query))
+            .when(own == "", F.concat(site, path, more))
+            .otherwise(F.concat(site, _without_dots(F.concat(folder, own)), more)))
+
+
 def page_links(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
     """Edges ``(a, b)`` from a page to the targets of its canonical links and refreshes.
 
-    Targets are made absolute against the page's scheme and host; other relative ones are not followed.
+    Entities in targets are decoded; all relative targets are made absolute against the page's URL.
     """
     canonical = F.regexp_extract_all(F.col(html), F.lit(r"(?is)(<link\b[^>]*\brel\s*=\s*[\"']?canonical\b[^>]*>)"), F.lit(1))
     refresh = F.regexp_extract_all(F.col(html), F.lit(r"(?is)(<meta\b[^>]*\bhttp-equiv\s*=\s*[\"']?refresh\b[^>]*>)"), F.lit(1))
     target = r"(?is)\b(?:href\s*=\s*[\"']?|url\s*=\s*[\"']?)([^\"'>\s]+)"
     tags = pages.select(F.col(url).alias("a"), F.explode(F.concat(canonical, refresh)).alias("tag"))
-    found = tags.select("a", F.regexp_extract("tag", target, 1).alias("t"))
-    scheme = F.regexp_extract("a", r"^((?s:.*?)):", 1)
-    site = F.regexp_extract("a", r"^((?s:.*?)://[^/?#]*)", 1)
-    t = F.col("t")
-    absolute = (F.when(t.contains("://"), t).when(t.startswith("//"), F.concat(scheme, F.lit(":"), t)).when(t.startswith("/"), F.concat(site, t)))
-    return found.select("a", absolute.alias("b")).where("a is not null and b is not null")
+    found = tags.select("a", F.regexp_extract("tag", target, 1).alias("t")).where("t <> ''")
+    return found.select("a", resolve(F.col("a"), decoded(F.col("t"))).alias("b")).where("a is not null and b is not null")
 
 
 def _judged(nodes: DataFrame, rules: DataFrame) -> DataFrame:
