@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trackgrid.llm import decontam, langid, mixing, neardup, quality, repeats, secrets, tokens, toxicity, urlgroups
+from trackgrid.llm import decontam, langid, mixing, neardup, periodic, quality, repeats, secrets, tokens, toxicity, urlgroups
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -141,3 +141,64 @@ def op10_prefix_free_parsing(spark, sf_dir):
     """Bytes of all documents that lie in repeated strings of 200 bytes."""
     cut = repeats.remove_repeats(table(spark, sf_dir, "documents"), keep=["doc_id"], cleaned=False)
     return cut.select("doc_id", "n_bytes", "n_removed", F.size("removed").cast("long").alias("n_spans"), "kept_sha256")
+
+
+def looped(docs: DataFrame) -> DataFrame:
+    """Every tenth document (by the checksum of its id) repeats a stretch of its words from some word to its end."""
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    g = F.floor(h / 10)
+
+    def repeated(word):
+        n = F.size(word)
+        a = F.when(n > 0, g % n)
+        p = 1 + F.floor((n - a) / (3 + g % 8))
+        again = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.get(word, F.when(i < a, i).otherwise(a + (i - a) % p).cast("int")))
+        return F.when(n > 0, F.array_join(again, " "))
+
+    words = F.regexp_extract_all("text", F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0))
+    return docs.withColumn("text", F.when(h % 10 == 0, F.get(F.transform(F.array(words), repeated), 0)).otherwise(F.col("text")))
+
+
+@query
+def op11_frequency_split_runs(spark, sf_dir):
+    """Periodic runs of words in all documents, of which every tenth repeats itself to its end."""
+    found = periodic.find_runs(looped(table(spark, sf_dir, "documents").select("doc_id", "text")))
+    # Runs are in order of start and period, so the first of the greatest exponents is the one asked for.
+    first = F.reduce("runs", F.lit(None).cast("struct<start: long, length: long, period: long>"), lambda best, r: F.when(
+        best.isNull() | (r["length"] * best["period"] > best["length"] * r["period"]), r).otherwise(best))
+    listed = F.array_join(F.transform("runs", lambda r: F.concat(F.concat_ws(",", *[r[c].cast("string") for c in ("start", "length", "period")]), F.lit("\n"))), "")
+    best = found.withColumn("best", first)
+    return best.select("doc_id", F.size("runs").cast("long").alias("n_runs"), "best.start", "best.length", "best.period",
+                       F.floor(1000 * F.col("best.length") / F.col("best.period")).alias("exponent_milli"),
+                       digest(listed).alias("runs_sha256"), digest(F.col("collapsed_text")).alias("collapsed_sha256"))
+
+
+# The checksum is computed bit by bit; runs are stretches of equal words of one text at one distance.
+ORACLES["op11_frequency_split_runs"] = r"""
+WITH hashed AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w,
+         xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda c: ascii(c)::BIGINT)),
+           lambda x, y: list_reduce(list_prepend(xor(x, y), [0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[]), lambda v, k: xor(v >> 1, (v & 1) * 3988292384))), 4294967295::BIGINT) AS h
+  FROM documents),
+placed AS (SELECT *, len(w) AS n, h // 10 AS g, CASE WHEN len(w) > 0 THEN (h // 10) % len(w) END AS a FROM hashed),
+docs AS (
+  SELECT row_number() OVER () AS row, doc_id,
+         CASE WHEN h % 10 = 0 AND n > 0 THEN list_transform(range(n), lambda i: w[1 + CASE WHEN i < a THEN i ELSE a + (i - a) % (1 + (n - a) // (3 + g % 8)) END]) ELSE w END AS w
+  FROM placed),
+words AS (SELECT row, len(w) AS n, unnest(range(len(w))) AS i, unnest(w) AS word FROM docs),
+equal AS (
+  SELECT x.row, y.i - x.i AS q, x.i FROM words x JOIN words y ON x.row = y.row AND x.word = y.word AND y.i > x.i AND 4 * (y.i - x.i) <= x.n),
+stretches AS (SELECT row, q, min(i) AS start, max(i) + q + 1 AS past FROM (SELECT *, i - row_number() OVER (PARTITION BY row, q ORDER BY i) AS island FROM equal) GROUP BY row, q, island),
+regular AS (SELECT * FROM stretches WHERE past - start >= greatest(6, 4 * q)),
+runs AS (SELECT * FROM regular r WHERE NOT EXISTS (SELECT 1 FROM regular s WHERE s.row = r.row AND s.q < r.q AND s.start <= r.start AND s.past >= r.past)),
+listed AS (
+  SELECT row, count(*) AS n_runs, string_agg(start || ',' || (past - start) || ',' || q || chr(10), '' ORDER BY start, q) AS runs FROM runs GROUP BY row),
+best AS (
+  SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY row ORDER BY place DESC, start, q) AS k FROM (
+    SELECT r.*, (SELECT count(*) FROM runs s WHERE s.row = r.row AND (s.past - s.start) * r.q < (r.past - r.start) * s.q) AS place FROM runs r)) WHERE k = 1),
+dropped AS (SELECT DISTINCT row, unnest(range(start + q, past)) AS i FROM runs),
+left_over AS (SELECT row, string_agg(word, ' ' ORDER BY i) AS words FROM words w WHERE NOT EXISTS (SELECT 1 FROM dropped d WHERE d.row = w.row AND d.i = w.i) GROUP BY row)
+SELECT d.doc_id, coalesce(l.n_runs, 0) AS n_runs, b.start, b.past - b.start AS length, b.q AS period, 1000 * (b.past - b.start) // b.q AS exponent_milli,
+       sha256(coalesce(l.runs, '')) AS runs_sha256, sha256(coalesce(o.words, '')) AS collapsed_sha256
+FROM docs d LEFT JOIN listed l ON d.row = l.row LEFT JOIN best b ON d.row = b.row LEFT JOIN left_over o ON d.row = o.row
+"""
