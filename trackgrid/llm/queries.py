@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trackgrid.llm import decontam, langid, mixing, neardup, periodic, quality, repeats, secrets, tokens, toxicity, urlgroups
+from trackgrid.llm import decontam, langid, mixing, neardup, periodic, pieces, quality, repeats, secrets, tokens, toxicity, urlgroups
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -202,3 +202,13 @@ SELECT d.doc_id, coalesce(l.n_runs, 0) AS n_runs, b.start, b.past - b.start AS l
        sha256(coalesce(l.runs, '')) AS runs_sha256, sha256(coalesce(o.words, '')) AS collapsed_sha256
 FROM docs d LEFT JOIN listed l ON d.row = l.row LEFT JOIN best b ON d.row = b.row LEFT JOIN left_over o ON d.row = o.row
 """
+
+
+@query
+def op13_offset_preserving_pieces(spark, sf_dir):
+    """Ids of all documents with an end id, the texts they decode to, and where in the source each id comes from."""
+    model = public_tokenizers.path("piece_bpe_32k.model")
+    ids = pieces.encode(table(spark, sf_dir, "documents"), model, keep=["doc_id"])
+    back = pieces.decode(ids, model)
+    return back.select("doc_id", "n_tokens", digest(F.array_join("ids", " ")).alias("ids_sha256"), digest(F.col("decoded_text")).alias("decoded_sha256"),
+                       F.xxhash64("id_starts", "id_ends").alias("spans_hash"))
