@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trackgrid.llm import decontam, langid, mixing, neardup, periodic, pieces, quality, repeats, secrets, tokens, toxicity, urlgroups
+from trackgrid.llm import decontam, langid, mixing, neardup, negatives, periodic, pieces, quality, repeats, secrets, tokens, toxicity, urlgroups
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -212,3 +212,28 @@ def op13_offset_preserving_pieces(spark, sf_dir):
     back = pieces.decode(ids, model)
     return back.select("doc_id", "n_tokens", digest(F.array_join("ids", " ")).alias("ids_sha256"), digest(F.col("decoded_text")).alias("decoded_sha256"),
                        F.xxhash64("id_starts", "id_ends").alias("spans_hash"))
+
+
+@query
+def op12_segment_summary_negatives(spark, sf_dir):
+    """Hard negatives of every hundredth vector."""
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label")
+    shifted = vectors.withColumn("label", F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label")))
+    return negatives.mine(shifted, F.col("vec_id") % 100 == 0)
+
+
+ORACLES["op12_segment_summary_negatives"] = """
+WITH vectors AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v
+  FROM embeddings WHERE vec_id IS NOT NULL AND label IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = len(embedding)),
+scored AS (
+  SELECT a.vec_id AS anchor_id, r.vec_id AS id, a.label = r.label AS same, CAST(list_inner_product(a.v, r.v) AS BIGINT) AS score
+  FROM vectors a JOIN vectors r ON a.vec_id % 100 = 0 AND r.vec_id <> a.vec_id AND len(a.v) = len(r.v)),
+positives AS (
+  SELECT anchor_id, id AS positive_id, score AS positive_score FROM scored WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) <= 5)
+SELECT p.anchor_id, p.positive_id, CAST(row_number() OVER (PARTITION BY p.anchor_id, p.positive_id ORDER BY s.score DESC, s.id) AS INTEGER) AS rank,
+       s.id AS negative_id, p.positive_score, s.score AS negative_score
+FROM positives p JOIN scored s ON s.anchor_id = p.anchor_id AND NOT s.same AND 30 * p.positive_score <= 100 * s.score AND 100 * s.score <= 90 * p.positive_score
+QUALIFY rank <= 10
+"""
