@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql.types import StructType
 
-from trackgrid.llm.common import arrow_type, map_text, text_blocks
+from trackgrid.llm.common import arrow_type, text_blocks
 
 #: The sign that stands for a blank, kinds of pieces and the kind of model that merges.
 BLANK = "▁"
@@ -33,6 +33,8 @@ MERGING = 2
 REMEMBERED, LONGEST = 1 << 17, 64
 #: Largest model file that is sent to tasks.
 MAX_MODEL = 64 << 20
+#: Ids that a task decodes in one step (one row may hold more).
+STEP = 1 << 19
 
 
 def _fields(data: bytes):
@@ -340,29 +342,32 @@ def encode(docs: DataFrame, model_file: str, *, end: bool = True, text: str = "t
     new = ["n_tokens", "ids", "id_starts", "id_ends"]
     keep = [c for c in (docs.columns if keep is None else keep) if c not in new]
     ddl = "n_tokens long, ids array<int>" + (", id_starts array<int>, id_ends array<int>" if spans else "")
-    kind = arrow_type(StructType.fromDDL(ddl)["ids"].dataType)
+    added = StructType.fromDDL(ddl)
+    kind = arrow_type(added["ids"].dataType)
     model = _model(docs, model_file)
 
-    def task():
+    def task(batches):
         codes = model()
-
-        def work(batch: pa.RecordBatch) -> list[pa.Array]:
-            columns: list[list[np.ndarray]] = [[], [], []]
-            for _, n, data, starts in text_blocks(batch, text):
+        for batch in batches:
+            # One batch for each block of text, since ids and places take more room than the text.
+            for first, n, data, starts in text_blocks(batch, text):
                 raw = data.tobytes()
+                columns: list[list[np.ndarray]] = [[], [], []]
                 for k in range(n):
                     found = codes.encode(raw[starts[k]:starts[k + 1]])
                     last = (codes.end, starts[k + 1] - starts[k], starts[k + 1] - starts[k])
                     for column, values, x in zip(columns, found, last):
-                        column.append(np.append(values, x) if end else values)
-            sizes = np.array([len(x) for x in columns[0]], np.int64)
-            bounds = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
-            lists = [pa.ListArray.from_arrays(bounds, np.concatenate([np.zeros(0, np.int32), *c]).astype(np.int32), type=kind) for c in columns]
-            return [pa.array(sizes), *(lists if spans else lists[:1])]
-
-        return work
+                        column.append(np.append(values, x).astype(np.int32) if end else values.astype(np.int32))
+                sizes = np.array([len(x) for x in columns[0]], np.int64)
+                bounds = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
+                lists = [pa.ListArray.from_arrays(bounds, np.concatenate(c), type=kind) for c in (columns if spans else columns[:1])]
+                kept = [batch.column(batch.schema.get_field_index(c)).slice(first, n) for c in keep]
+                yield pa.RecordBatch.from_arrays([*kept, pa.array(sizes), *lists], names=names)
 
-    return map_text(docs.select(*dict.fromkeys([*keep, text])), task, ddl, keep)
+    docs = docs.select(*dict.fromkeys([*keep, text]))
+    out = StructType([docs.schema[c] for c in keep] + list(added))
+    names = out.names
+    return docs.mapInArrow(task, out)
 
 
 def decode(encoded: DataFrame, model_file: str, *, ids: str = "ids", keep: list[str] | None = None) -> DataFrame:
@@ -375,13 +380,19 @@ def decode(encoded: DataFrame, model_file: str, *, ids: str = "ids", keep: list[
     keep = [c for c in (encoded.columns if keep is None else keep) if c != "decoded_text"]
     model = _model(encoded, model_file)
 
-    def task():
+    def task(batches):
         codes = model()
-
-        def work(batch: pa.RecordBatch) -> list[pa.Array]:
+        for batch in batches:
             column = batch.column(batch.schema.get_field_index(ids))
-            return [pa.array([codes.decode(np.zeros(0, np.int64) if not row.is_valid else row.values.drop_null().to_numpy(zero_copy_only=False).astype(np.int64)) for row in column], pa.string())]
-
-        return work
-
-    return map_text(encoded.select(*dict.fromkeys([*keep, ids])), task, "decoded_text string", keep)
+            total = np.cumsum(column.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))
+            cuts = np.unique(np.minimum(np.searchsorted(total, np.arange(STEP, (total[-1] if len(total) else 0) + STEP, STEP)) + 1, len(total)))
+            for first, last in zip([0, *cuts], [*cuts, len(column)]):
+                part = batch.slice(first, last - first)
+                texts = [codes.decode(np.zeros(0, np.int64) if not row.is_valid else row.values.drop_null().to_numpy(zero_copy_only=False).astype(np.int64)) for row in column.slice(first, last - first)]
+                kept = [part.column(part.schema.get_field_index(c)) for c in keep]
+                yield pa.RecordBatch.from_arrays([*kept, pa.array(texts, pa.string())], names=names)
+
+    encoded = encoded.select(*dict.fromkeys([*keep, ids]))
+    out = StructType([encoded.schema[c] for c in keep] + list(StructType.fromDDL("decoded_text string")))
+    names = out.names
+    return encoded.mapInArrow(task, out)

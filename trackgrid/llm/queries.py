@@ -209,9 +209,9 @@ def op13_offset_preserving_pieces(spark, sf_dir):
     """Ids of all documents with an end id, the texts they decode to, and where in the source each id comes from."""
     model = public_tokenizers.path("piece_bpe_32k.model")
     ids = pieces.encode(table(spark, sf_dir, "documents"), model, keep=["doc_id"])
-    back = pieces.decode(ids, model)
-    return back.select("doc_id", "n_tokens", digest(F.array_join("ids", " ")).alias("ids_sha256"), digest(F.col("decoded_text")).alias("decoded_sha256"),
-                       F.xxhash64("id_starts", "id_ends").alias("spans_hash"))
+    hashed = ids.select("doc_id", "n_tokens", "ids", digest(F.array_join("ids", " ")).alias("ids_sha256"), F.xxhash64("id_starts", "id_ends").alias("spans_hash"))
+    back = pieces.decode(hashed, model, keep=["doc_id", "n_tokens", "ids_sha256", "spans_hash"])
+    return back.select("doc_id", "n_tokens", "ids_sha256", digest(F.col("decoded_text")).alias("decoded_sha256"), "spans_hash")
 
 
 @query
