@@ -439,7 +439,7 @@ _DIRECTED = f"""iou + CASE WHEN has_step THEN (pi() / 2 - abs(acos(least(1.0::DO
 _NOT_USED = "NOT EXISTS (SELECT 1 FROM links{i} l WHERE l.video = n.video AND l.{f} = n.frame_idx AND l.{d} = n.det_id)"
 
 
-def stages_sql(nodes: str, stages: list[dict], rounds: int = 7) -> dict[str, str]:
+def stages_sql(nodes: str, stages: list[dict], rounds: int = 16) -> dict[str, str]:
     """Association passes over open ends as table expressions; the last ``links`` and ``nodes`` come out unnumbered."""
     out = {"nodes0": nodes, "links0": "SELECT video, frame_idx AS lf, det_id AS ld, frame_idx AS rf, det_id AS rd FROM detections WHERE FALSE"}
     for i, st in enumerate(stages):
@@ -495,7 +495,7 @@ _TWO_STAGE = stages_sql(_BANDED.format(high=0.5), [
     dict(gaps=[1], tails=_HIGH, heads=_HIGH, weight=_FUSED, min_weight="(1 - 0.8::DOUBLE)"),
     dict(gaps=[1], heads=_LOW, min_iou=0.5, start=_HIGH),
     dict(gaps=[1], tails=_LOW, heads=_HIGH, weight=_FUSED, min_weight="(1 - 0.8::DOUBLE)"),
-    dict(gaps=[2, 3, 4], heads=_HIGH, predict=True, weight=_FUSED, min_weight="(1 - 0.8::DOUBLE)")])
+    dict(gaps=range(2, 21), heads=_HIGH, predict=True, weight=_FUSED, min_weight="(1 - 0.8::DOUBLE)")])
 
 
 @register("g06_link_two_stage", sql("""
@@ -512,7 +512,7 @@ _TWO_STAGE = stages_sql(_BANDED.format(high=0.5), [
         (a.x2 - a.x1) * (a.y2 - a.y1) + (b.x2 - b.x1) * (b.y2 - b.y1) AS s
         FROM sized a JOIN sized b USING (video, frame_idx) WHERE a.hits < b.hits OR (a.hits = b.hits AND a.track_id > b.track_id)) WHERE i / (s - i) >= 0.85"""))
 def _(spark, sf):
-    return linking.link_tracks_two_stage(fx.detections(spark, sf), max_age=4).select("video", "track_id", "frame_idx", "det_id")
+    return linking.link_tracks_two_stage(fx.detections(spark, sf)).select("video", "track_id", "frame_idx", "det_id")
 
 
 _HIGH3, _LOW3 = _bands(0.3)
@@ -521,43 +521,43 @@ _BY_DIRECTION = stages_sql(_BANDED.format(high=0.3), [
     dict(gaps=[1], heads=_LOW3, min_iou=0.1, start=_HIGH3),
     dict(gaps=[1], tails=_LOW3, heads=_HIGH3, min_iou=0.1, weight=_DIRECTED, min_weight="-9"),
     dict(gaps=[2, 3], heads=_HIGH3, min_iou=0.1, predict=True, weight=_DIRECTED, min_weight="-9"),
-    dict(gaps=[4], heads=_HIGH3, min_iou=0.1, predict=True, weight=_DIRECTED, min_weight="-9"),
-    dict(gaps=[2, 3, 4], heads=_HIGH3, min_iou=0.1)])
+    dict(gaps=range(4, 21), heads=_HIGH3, min_iou=0.1, predict=True, weight=_DIRECTED, min_weight="-9"),
+    dict(gaps=range(2, 21), heads=_HIGH3, min_iou=0.1)])
 
 
 @register("g07_link_direction", sql("SELECT video, track_id, frame_idx, det_id FROM rec_chain", "detections", recursive=True, **_BY_DIRECTION))
 def _(spark, sf):
-    return linking.link_tracks_direction(fx.detections(spark, sf), max_age=4).select("video", "track_id", "frame_idx", "det_id")
+    return linking.link_tracks_direction(fx.detections(spark, sf)).select("video", "track_id", "frame_idx", "det_id")
 
 
 @register("g08_tracker_sampled", sql("SELECT video, track_id, frame_idx * 2 AS frame_idx, det_id FROM rec_chain", "detections", recursive=True,
-    **link_sql(2, "SELECT * REPLACE (frame_idx // 2 AS frame_idx) FROM detections WHERE frame_idx % 2 = 0")))
+    **link_sql(20, "SELECT * REPLACE (frame_idx // 2 AS frame_idx) FROM detections WHERE frame_idx % 2 = 0")))
 def _(spark, sf):
     from trackgrid.registry import tracker
 
-    return linking.run_tracker_sampled(fx.detections(spark, sf), 2, tracker("sort", max_age=2)).select(
+    return linking.run_tracker_sampled(fx.detections(spark, sf), 2, tracker("sort")).select(
         "video", "track_id", "frame_idx", "det_id")
 
 
 _TRACKED = "SELECT c.video, c.track_id, c.frame_idx, x1, y1, x2, y2 FROM rec_chain c JOIN nodes n USING (video, frame_idx, det_id)"
 
 
-@register("e15_naive_tracks", sql(_INTERP.replace("gt_tracks", "tracked"), "detections", recursive=True, **link_sql(4), tracked=_TRACKED))
+@register("e15_naive_tracks", sql(_INTERP.replace("gt_tracks", "tracked"), "detections", recursive=True, **link_sql(20), tracked=_TRACKED))
 def _(spark, sf):
     from trackgrid.plans.trackings import naive_tracks
 
-    return rounded(naive_tracks(fx.detections(spark, sf), "sort", max_age=4), "x1", "y1", "x2", "y2")
+    return rounded(naive_tracks(fx.detections(spark, sf), "sort"), "x1", "y1", "x2", "y2")
 
 
 @register("e15_truth_tracks", sql("""
     SELECT video, track_id, CASE WHEN n >= 1000 THEN frame_idx // 2 ELSE frame_idx END AS frame_idx, x1, y1, x2, y2, interpolated
     FROM filled JOIN (SELECT video, max(frame_idx) * 4 AS n FROM gt_tracks GROUP BY ALL) USING (video) WHERE n < 1000 OR frame_idx % 2 = 0""",
-    "detections", recursive=True, **link_sql(4), tracked=_TRACKED, filled=_INTERP.replace("gt_tracks", "tracked")))
+    "detections", recursive=True, **link_sql(20), tracked=_TRACKED, filled=_INTERP.replace("gt_tracks", "tracked")))
 def _(spark, sf):
     from trackgrid.plans.trackings import truth_tracks
 
     counts = fx.gt_tracks(spark, sf).groupBy("video").agg((F.max("frame_idx") * 4).alias("frame_count"))
-    return rounded(truth_tracks(fx.detections(spark, sf), counts, "sort", max_age=4), "x1", "y1", "x2", "y2")
+    return rounded(truth_tracks(fx.detections(spark, sf), counts, "sort"), "x1", "y1", "x2", "y2")
 
 
 @register("x07_direction_cost", sql("""
