@@ -98,3 +98,18 @@ def test_query(spark, tmp_path):
         expected.append((i, len(ids), brute.sha(" ".join(map(str, ids))), brute.sha(LIBRARY.decode(ids))))
     got = listed(queries.op13_offset_preserving_pieces(spark, str(tmp_path)), "doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
     assert got == sorted(expected, key=repr)
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.text("abeinot▁é漢", max_size=60))
+def test_long_parts_merge_as_short_ones(part):
+    if part:
+        symbol, counts = MODEL._merge_step([part])
+        assert [MODEL.pieces[i] if i < 32000 else chr(i - 32000) for i in symbol] == MODEL._merged_long(part) and counts == [len(symbol)]
+
+
+def test_few_remembered_parts(monkeypatch):
+    monkeypatch.setattr(pieces, "REMEMBERED", 3)
+    monkeypatch.setattr(pieces, "SIDE_BY_SIDE", 2)
+    for text in TEXTS:
+        same_as_library(text)

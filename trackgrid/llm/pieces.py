@@ -18,6 +18,7 @@ import struct
 from itertools import chain
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql.types import StructType
@@ -29,8 +30,10 @@ BLANK = "▁"
 NORMAL, UNKNOWN, CONTROL, BYTE = 1, 2, 3, 6
 MERGING = 2
 
-#: Distinct parts of texts that a task remembers, and the longest it remembers.
+#: Distinct parts of texts after which a task begins to forget, and the longest it remembers.
 REMEMBERED, LONGEST = 1 << 17, 64
+#: Parts that are merged side by side.
+SIDE_BY_SIDE = 4096
 #: Largest model file that is sent to tasks.
 MAX_MODEL = 64 << 20
 #: Ids that a task decodes in one step (one row may hold more).
@@ -182,7 +185,12 @@ class PieceModel:
         # Where no piece has a blank behind another character, merges never cross from a word to the blank after it.
         crossing = any(BLANK in p.lstrip(BLANK) for p in self.ids)
         self.part = re.compile("(?s:.+)" if crossing else f"{BLANK}+[^{BLANK}]*|[^{BLANK}]+")
-        self._known: dict[str, tuple] = {}
+        self._new: dict[str, bytes] = {}
+        self._old: dict[str, bytes] = {}
+        self.base = len(self.pieces) + 0x110000
+        self.byte_sizes = np.array([len(p.encode()) for p in self.pieces], np.int64)
+        self.byte_ids = np.array([self.bytes.get(b, 0) for b in range(256)], np.int64)
+        self._merge_table()
         # Decoding: what each piece stands for; pieces of bytes are one byte.
         spelled = [b"" if k == CONTROL else self.unknown_surface if k == UNKNOWN else bytes([int(p[3:5], 16)]) if k == BYTE else p.replace(BLANK, " ").encode()
                    for p, k in zip(self.pieces, kinds)]
@@ -192,8 +200,108 @@ class PieceModel:
         self.table = np.frombuffer(b"".join(spelled), np.uint8)
         self.blank_first = np.array([k == NORMAL and p.startswith(BLANK) for p, k in zip(self.pieces, kinds)])
 
-    def merged(self, part: str) -> list[str]:
-        """Pieces of one part: the pair of the best score is joined, the leftmost of equals, until none is a piece."""
+    def _merge_table(self) -> None:
+        """Symbols (pieces, then code points of characters that are none) and what two of them next to each other make."""
+        self.codes = len(self.pieces) + np.arange(0x110000)
+        for piece, i in self.ids.items():
+            if len(piece) == 1:
+                self.codes[ord(piece)] = i
+
+        def symbol(part: str) -> int | None:
+            return self.ids.get(part, len(self.pieces) + ord(part) if len(part) == 1 else None)
+
+        made = {}
+        order = {x: k for k, x in enumerate(sorted(set(self.scores.values())))}
+        for piece, i in self.ids.items():
+            for k in range(1, len(piece)):
+                left, right = symbol(piece[:k]), symbol(piece[k:])
+                if left is not None and right is not None:
+                    made[left * self.base + right] = (order[self.scores[piece]], i)
+        keys = np.array(sorted(made), np.int64)
+        self.pair_keys = np.append(keys, np.iinfo(np.int64).max)
+        self.pair_rank, self.pair_made = (np.array([*[made[k][c] for k in keys.tolist()], -1], np.int64) for c in (0, 1))
+
+    def _pairs(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Rank of each pair (-1 where it makes no piece) and the piece it makes."""
+        key = left * self.base + right
+        at = np.searchsorted(self.pair_keys, key)
+        return np.where(self.pair_keys[at] == key, self.pair_rank[at], -1), self.pair_made[at]
+
+    def _merge_step(self, parts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Symbols of parts of similar length and how many each has: in every round each part joins its best pair, the leftmost of equals."""
+        n, width = len(parts), max(map(len, parts)) + 1
+        sizes = np.fromiter(map(len, parts), np.int64, n)
+        inside = np.arange(width) < sizes[:, None]
+        symbol = np.full((n, width), -1, np.int64)
+        symbol[inside] = self.codes[np.frombuffer("".join(parts).encode("utf-32-le"), np.uint32)]
+        rank, made = np.full((n, width), -1, np.int64), np.zeros((n, width), np.int64)
+        both = inside[:, :-1] & inside[:, 1:]
+        rank[:, :-1][both], made[:, :-1][both] = self._pairs(symbol[:, :-1][both], symbol[:, 1:][both])
+        after = np.broadcast_to(np.arange(1, width + 1), (n, width)).copy()
+        before = np.broadcast_to(np.arange(-1, width - 1), (n, width)).copy()
+        row = np.arange(n)
+        while True:
+            at = rank[row].argmax(1)
+            going = rank[row, at] >= 0
+            row, at = row[going], at[going]
+            if not len(row):
+                return symbol[inside], inside.sum(1)
+            gone = after[row, at]
+            symbol[row, at] = made[row, at]
+            inside[row, gone] = False
+            rank[row, gone] = rank[row, at] = -1
+            follower = after[row, gone]
+            after[row, at] = follower
+            inner = follower < sizes[row]
+            r, left, right = row[inner], at[inner], follower[inner]
+            before[r, right] = left
+            rank[r, left], made[r, left] = self._pairs(symbol[r, left], symbol[r, right])
+            left = before[row, at]
+            inner = left >= 0
+            r, left, right = row[inner], left[inner], at[inner]
+            rank[r, left], made[r, left] = self._pairs(symbol[r, left], symbol[r, right])
+
+    def _coded(self, symbol: np.ndarray, counts: np.ndarray) -> list[bytes]:
+        """Ids of parts and the normalised bytes that each takes, 32 bits of both; of bytes of one character the last takes all."""
+        point = symbol - len(self.pieces)
+        length = 1 + (point > 0x7F) + (point > 0x7FF) + (point > 0xFFFF)
+        piece = point < 0
+        many = np.where(piece | (not self.bytes), 1, length)
+        of, k = np.repeat(np.arange(len(symbol)), many), np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+        ids = np.where(piece, symbol, self.unknown)[of]
+        sizes = np.where(piece, self.byte_sizes[np.where(piece, symbol, 0)], length)[of]
+        if self.bytes:
+            at = np.flatnonzero(~piece[of])
+            cp, n, k = point[of[at]], length[of[at]], k[at]
+            lead = np.where(n == 1, 0, (0xF00 >> n) & 0xFF)
+            ids[at] = self.byte_ids[np.where(k == 0, lead | cp >> 6 * (n - 1), 0x80 | cp >> 6 * np.maximum(n - 1 - k, 0) & 0x3F)]
+            sizes[at] = np.where(k == n - 1, n, 0)
+        ends = (8 * np.cumsum(np.add.reduceat(many, np.cumsum(counts) - counts))).tolist()
+        packed = (ids << 32 | sizes).tobytes()
+        return [packed[a:b] for a, b in zip([0, *ends], ends)]
+
+    def _merge_all(self, parts: list[str]) -> list[bytes]:
+        """Codes of parts (none is empty), merged side by side in steps of similar length; long ones on their own."""
+        order = sorted(range(len(parts)), key=lambda k: len(parts[k]))
+        out: list = [None] * len(parts)
+        at = 0
+        while at < len(order):
+            here = order[at:at + SIDE_BY_SIDE]
+            if len(parts[here[0]]) > LONGEST:
+                here = here[:1]
+                pieces = self._merged_long(parts[here[0]])
+                symbol = np.array([self.ids.get(p, len(self.pieces) + ord(p[0])) for p in pieces], np.int64)
+                counts = np.array([len(pieces)])
+            else:
+                here = [k for k in here if len(parts[k]) <= LONGEST]
+                symbol, counts = self._merge_step([parts[k] for k in here])
+            for k, codes in zip(here, self._coded(symbol, counts)):
+                out[k] = codes
+            at += len(here)
+        return out
+
+    def _merged_long(self, part: str) -> list[str]:
+        """Pieces of one part of any length from a heap of pairs; a character that is no piece stays one."""
         scores, symbols = self.scores, list(part)
         after = list(range(1, len(symbols) + 1))
         before = list(range(-1, len(symbols) - 1))
@@ -225,43 +333,50 @@ class PieceModel:
                         heapq.heappush(heap, (-score, a, b, joined))
         return [s for s in symbols if s is not None]
 
-    def _encoded(self, part: str) -> tuple[tuple[int, ...], tuple[int, ...]]:
-        """Ids of a part and the normalised bytes that each takes; of bytes of one character the last takes all."""
-        ids, sizes = [], []
-        for piece in self.merged(part):
-            number, raw = self.ids.get(piece), piece.encode()
-            if number is not None:
-                ids.append(number)
-                sizes.append(len(raw))
-            elif self.bytes:
-                ids += [self.bytes[b] for b in raw]
-                sizes += [0] * (len(raw) - 1) + [len(raw)]
-            else:
-                ids.append(self.unknown)
-                sizes.append(len(raw))
-        return tuple(ids), tuple(sizes)
+    def encode_all(self, texts: list[bytes]) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """Ids of each text and the bytes of the source, from start to end, that each stands for."""
+        normal = [self.normalizer(data) for data in texts]
+        parts = [self.part.findall(text.decode()) for text, _ in normal]
+        every = np.empty(sum(map(len, parts)), object)
+        every[:] = list(chain.from_iterable(parts))
+        code, distinct = pd.factorize(every)
+        codes = self._codes(distinct.tolist())
+        # Ids and sizes of the distinct parts side by side, then those of all parts from there.
+        counts = np.fromiter(map(len, codes), np.int64, len(codes)) // 8
+        many = counts[code]
+        at = np.repeat((np.cumsum(counts) - counts)[code] - (np.cumsum(many) - many), many) + np.arange(many.sum())
+        both = np.frombuffer(b"".join(codes), np.int64)[at]
+        all_ids, all_ends = (both >> 32).astype(np.int32), np.cumsum(both & 0xFFFFFFFF)
+        bounds = np.concatenate([[0], np.cumsum(many)])[np.concatenate([[0], np.cumsum([len(p) for p in parts])])]
+        out = []
+        for k, (_, source) in enumerate(normal):
+            cut = slice(bounds[k], bounds[k + 1])
+            ids, ends = all_ids[cut], all_ends[cut] - (all_ends[bounds[k] - 1] if bounds[k] else 0)
+            if not self.bytes and len(ids):
+                # Unknown pieces next to each other are one.
+                last = np.append((ids[:-1] != self.unknown) | (ids[1:] != self.unknown), True)
+                ids, ends = ids[last], ends[last]
+            starts = np.concatenate([np.zeros(1, np.int64), ends[:-1]]) if len(ends) else ends
+            out.append((ids, source[starts], source[ends]))
+        return out
+
+    def _codes(self, distinct: list[str]) -> list[bytes]:
+        """Codes of distinct parts; what was needed lately is remembered."""
+        new, old = self._new, self._old
+        codes = [new.get(p) or old.get(p) for p in distinct]
+        missing = [k for k, c in enumerate(codes) if c is None]
+        for k, c in zip(missing, self._merge_all([distinct[k] for k in missing])):
+            codes[k] = c
+        new.update(zip(distinct, codes))
+        for part in [p for p in distinct if len(p) > LONGEST]:
+            del new[part]
+        if len(new) > REMEMBERED:
+            self._new, self._old = {}, new
+        return codes
 
     def encode(self, data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Ids of a text and the bytes of the source, from start to end, that each stands for."""
-        text, source = self.normalizer(data)
-        known, found = self._known, []
-        for part in self.part.findall(text.decode()):
-            codes = known.get(part)
-            if codes is None:
-                codes = self._encoded(part)
-                if len(part) <= LONGEST:
-                    if len(known) >= REMEMBERED:
-                        known.clear()
-                    known[part] = codes
-            found.append(codes)
-        ids = np.fromiter(chain.from_iterable([c[0] for c in found]), np.int32)
-        ends = np.cumsum(np.fromiter(chain.from_iterable([c[1] for c in found]), np.int64))
-        if not self.bytes and len(ids):
-            # Unknown pieces next to each other are one.
-            last = np.append((ids[:-1] != self.unknown) | (ids[1:] != self.unknown), True)
-            ids, ends = ids[last], ends[last]
-        starts = np.concatenate([np.zeros(1, np.int64), ends[:-1]]) if len(ends) else ends
-        return ids, source[starts], source[ends]
+        """The same for one text."""
+        return self.encode_all([data])[0]
 
     def decode(self, ids: np.ndarray) -> str:
         """The text of the ids: pieces side by side without the blank in front; bytes that are no character become U+FFFD each."""
@@ -353,8 +468,8 @@ def encode(docs: DataFrame, model_file: str, *, end: bool = True, text: str = "t
             for first, n, data, starts in text_blocks(batch, text):
                 raw = data.tobytes()
                 columns: list[list[np.ndarray]] = [[], [], []]
-                for k in range(n):
-                    found = codes.encode(raw[starts[k]:starts[k + 1]])
+                texts = [raw[starts[k]:starts[k + 1]] for k in range(n)]
+                for k, found in enumerate(codes.encode_all(texts)):
                     last = (codes.end, starts[k + 1] - starts[k], starts[k + 1] - starts[k])
                     for column, values, x in zip(columns, found, last):
                         column.append(np.append(values, x).astype(np.int32) if end else values.astype(np.int32))
