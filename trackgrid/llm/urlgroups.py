@@ -98,12 +98,43 @@ def page_links(pages: DataFrame, url: str = "url", html: str = "html") -> DataFr
 
     Entities in targets are decoded; all relative targets are made absolute against the page's URL.
     """
-    canonical = F.regexp_extract_all(F.col(html), F.lit(r"(?is)(<link\b[^>]*\brel\s*=\s*[\"']?canonical\b[^>]*>)"), F.lit(1))
-    refresh = F.regexp_extract_all(F.col(html), F.lit(r"(?is)(<meta\b[^>]*\bhttp-equiv\s*=\s*[\"']?refresh\b[^>]*>)"), F.lit(1))
-    target = r"(?is)\b(?:href\s*=\s*[\"']?|url\s*=\s*[\"']?)([^\"'>\s]+)"
-    tags = pages.select(F.col(url).alias("a"), F.explode(F.concat(canonical, refresh)).alias("tag"))
-    found = tags.select("a", F.regexp_extract("tag", target, 1).alias("t")).where("t <> ''")
-    return found.select("a", resolve(F.col("a"), decoded(F.col("t"))).alias("b")).where("a is not null and b is not null")
+    tags = pages.select(F.col(url).alias("a"), F.explode(F.regexp_extract_all(F.col(html), F.lit(_TAG), F.lit(0))).alias("tag"))
+    tags = tags.where(F.lower("tag").rlike("canonical|refresh"))
+    rel, kind = F.lower(_attribute("rel")), F.lower(F.trim(_attribute("http-equiv")))
+    canonical = F.array_contains(F.split(rel, r"\s+"), "canonical")
+    refresh = F.regexp_extract(_attribute("content"), r"(?is)^[^;,]*[;,]\s*(?:url\s*=\s*)?[\"']?([^\"'>\s]+)", 1)
+    is_link = F.lower(F.substring("tag", 2, 4)) == "link"
+    target = F.when(is_link & canonical, F.trim(_attribute("href"))).when(~is_link & (kind == "refresh"), refresh)
+    # Generated columns are computed once, however often the next step names them.
+    found = tags.select("a", F.explode(F.array(target)).alias("t")).where("t <> ''")
+    found = found.select("a", F.explode(F.array(decoded(F.col("t")))).alias("t"))
+    return found.select("a", F.explode(F.array(resolve(F.col("a"), F.col("t")))).alias("b")).where("a is not null and b is not null")
+
+
+#: A link or meta tag whose values may hold angle brackets, and one attribute of a tag.
+_TAG = r"""(?is)<(?:link|meta)\b(?:[^>"']|"[^"]*"|'[^']*')*>"""
+_ATTRIBUTE = r"""(?s)(?<=[\s"'/])([^\s"'<>/=]+)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)"""
+
+
+def _attribute(name: str) -> Column:
+    """Value of the first attribute of that name in ``tag``, without its quotes; NULL if there is none."""
+    names, values = (F.regexp_extract_all(F.col("tag"), F.lit(_ATTRIBUTE), F.lit(k)) for k in (1, 2))
+    at = F.array_position(F.transform(names, F.lower), name)
+    return F.regexp_replace(F.get(values, (at - 1).cast("int")), r"(?s)^([\"'])(.*)\1$", "$2")
+
+
+def without_fragment(url: Column) -> Column:
+    """The URL up to the first ``#`` behind its ``://``; texts without ``://`` as they are."""
+    return F.regexp_replace(url, r"^((?s:.*?)://[^#]*)(?s:#.*)$", "$1")
+
+
+def node_of(url: Column) -> Column:
+    """One form for URLs that name the same place: scheme and host in lower case, no default port, no fragment."""
+    part = r"^((?s:.*?))://([^/?#]*)((?s:[^#]*))"
+    scheme, host, rest = F.lower(F.regexp_extract(url, part, 1)), F.lower(F.regexp_extract(url, part, 2)), F.regexp_extract(url, part, 3)
+    port = F.when(scheme == "http", ":80").when(scheme == "https", ":443").otherwise("")
+    host = F.when((port != "") & host.endswith(port), F.substring(host, F.lit(1), F.length(host) - F.length(port))).otherwise(host)
+    return F.when(url.contains("://"), F.concat(scheme, F.lit("://"), host, F.when(rest == "", "/").otherwise(rest))).otherwise(url)
 
 
 def _judged(nodes: DataFrame, rules: DataFrame) -> DataFrame:
@@ -127,28 +158,32 @@ def judge_urls(pages: DataFrame, rules: DataFrame, redirects: DataFrame | None =
     """Verdict of every page: ``(id, host, path, rule, verdict, class_size)``.
 
     The rule that fits a URL decides for it. A URL without one is blocked if its
-    component holds a URL that a rule blocks and none that a rule allows. Fragments
-    never reach a server, so URLs that differ only in them are one node.
+    component holds a URL that a rule blocks and none that a rule allows. URLs that differ
+    only in their fragment, the case of scheme and host or a default port are one node.
     ``redirects(from_url, to_url)`` adds observed redirects.
 
     NULL URLs and texts without ``://`` have empty host and path, fit no rule, have no
     aliases and are allowed. NULL or empty HTML has no links. Repeated rows give
-    repeated rows, an empty table an empty result; other columns are ignored.
+    repeated rows, an empty table an empty result; other columns are ignored. URLs and HTML of any
+    length are read whole; rules that tie are taken in the order of action, then text.
     """
-    pages = pages.select(F.col(id_col).alias("id"), F.col(url).alias("url"), F.substring_index(F.col(url), "#", 1).alias("node"), F.col(html).alias("html"))
-    edges = page_links(pages, "node")
+    plain = without_fragment(F.col(url))
+    pages = pages.select(F.col(id_col).alias("id"), F.col(url).alias("url"), plain.alias("plain"), node_of(plain).alias("node"), F.col(html).alias("html"))
+    edges = page_links(pages, "plain")
     if redirects is not None:
         edges = edges.union(redirects.select("from_url", "to_url"))
-    edges = edges.select(F.substring_index("a", "#", 1).alias("a"), F.substring_index("b", "#", 1).alias("b"))
+    edges = edges.select(node_of(F.col("a")).alias("a"), node_of(F.col("b")).alias("b"))
     scratch = Scratch(pages.sparkSession, "urls")
     roots = components(edges, scratch)
     # Pages outside all components are classes of their own, so they need no root.
-    nodes = pages.select("node").where("node is not null").union(roots.select("node")).distinct()
+    # Rules see a page's own host, which may name a port, and aliases in their one form.
+    own = pages.select("plain", "node").where("plain is not null")
+    nodes = own.select(F.col("plain").alias("node")).union(own.select("node")).union(roots.select("node")).distinct()
     judged = _judged(nodes, rules)
     classes = roots.join(judged, "node", "left").groupBy("root").agg(
         F.count("*").alias("class_size"), F.max(F.col("action") == "allow").alias("allowed"), F.max(F.col("action") == "block").alias("blocked"))
     shared = roots.join(classes, "root").select("node", "class_size", (F.col("blocked") & ~F.coalesce("allowed", F.lit(False))).alias("shut"))
-    out = pages.select("id", "url", "node").join(judged, "node", "left").join(shared, "node", "left")
+    out = pages.select("id", "url", "plain", "node").join(judged.withColumnRenamed("node", "plain"), "plain", "left").join(shared, "node", "left")
     inherited = F.when(F.coalesce("shut", F.lit(False)), "block").otherwise("allow")
     return out.select(F.col("id").alias(id_col), host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"), "rule",
                       F.coalesce("action", inherited).alias("verdict"), F.coalesce("class_size", F.lit(1)).alias("class_size"))
