@@ -10,7 +10,7 @@ from trackgrid.plans.catalog import register, rounded
 from trackgrid.plans.fixtures import COLS, HEIGHT, ROWS, TILE, WIDTH, sql
 from trackgrid.plans.tiles import _POLYGON, _inside_sql
 from trackgrid.plans.tradeoffs import joined, tradeoff_sql
-from trackgrid.plans.tracking import _INTERP
+from trackgrid.plans.tracking import _INTERP, nms_sql
 from trackgrid.scale import new_path
 from trackgrid.sources import frames, labels, tables
 
@@ -248,18 +248,23 @@ def _(spark, sf):
     return _long(rows.drop("folder"), "video", "frame_idx", "det_id")
 
 
-_TRAINSET = f"""
-    SELECT s.split, s.image, d.video, d.frame_idx, d.det_id, x1, y1, x2, y2 FROM detections d JOIN (
-      SELECT video, frame_idx, image, CASE WHEN row_number() OVER (ORDER BY md5('42:' || image), image) - 1 < n - floor(n * 0.2::DOUBLE) THEN 'train' ELSE 'val' END AS split
-      FROM (SELECT DISTINCT video, frame_idx, video || '_' || lpad(CAST(frame_idx AS VARCHAR), 8, '0') AS image FROM detections WHERE frame_idx % 4 = 0),
-        (SELECT count(DISTINCT (video, frame_idx)) AS n FROM detections WHERE frame_idx % 4 = 0)) s USING (video, frame_idx)
-    WHERE NOT ({" OR ".join(_inside_sql(x, y) for x in ("x1", "x2") for y in ("y1", "y2"))}
+# Suppression runs on what class, size and polygon leave of every fourth frame.
+_TRAINSET_ROWS = f"""
+    SELECT * FROM crowded_all WHERE frame_idx % 4 = 0 AND det_id % 10 <> 7 AND NOT ({" OR ".join(_inside_sql(x, y) for x in ("x1", "x2") for y in ("y1", "y2"))}
       OR {" OR ".join(f"({px} BETWEEN x1 AND x2 AND {py} BETWEEN y1 AND y2)" for px, py in _POLYGON)})"""
+_TRAINSET = """
+    SELECT s.split, s.image, d.video, d.frame_idx, d.det_id, x1, y1, x2, y2 FROM crowded d JOIN (
+      SELECT video, frame_idx, image, CASE WHEN row_number() OVER (ORDER BY md5('42:' || image), image) - 1 < n - floor(n * 0.2::DOUBLE) THEN 'train' ELSE 'val' END AS split
+      FROM (SELECT DISTINCT video, frame_idx, video || '_' || lpad(CAST(frame_idx AS VARCHAR), 8, '0') AS image FROM crowded_all WHERE frame_idx % 4 = 0),
+        (SELECT count(DISTINCT (video, frame_idx)) AS n FROM crowded_all WHERE frame_idx % 4 = 0)) s USING (video, frame_idx)
+    WHERE NOT EXISTS (SELECT 1 FROM n_lost n WHERE n.video = d.video AND n.frame_idx = d.frame_idx AND n.w = d.det_id)"""
 
 
-@register("e16_detector_trainset", sql(_TRAINSET, "detections"))
+@register("e16_detector_trainset", sql(_TRAINSET, "gt_tracks", crowded_all=fx.CTES["crowded"][1], crowded=_TRAINSET_ROWS, **nms_sql(5)))
 def _(spark, sf):
-    return trainsets.build_detector_trainset(fx.detections(spark, sf), 4, 0.2, polygon=_POLYGON)
+    kind = F.when(F.col("det_id") % 10 == 7, "sign").when(F.col("det_id") % 3 == 0, "truck").otherwise("car")
+    marked = fx.crowded_detections(spark, sf).withColumn("class", kind)
+    return trainsets.build_detector_trainset(marked, 4, 0.2, classes=["car", "truck"], polygon=_POLYGON, nms_threshold=0.5)
 
 
 _CANVAS_SET = """

@@ -494,11 +494,20 @@ for _mode in ("none", "plus", "tr"):
     _group_query(_mode)
 
 
+# Selection and packing work on the connected groups of the relevant tiles.
+_GROUPS = dict(padded=_padded_sql("none"), edges=_edges_sql("none"), rec_reach=_REACH, grouped=_GROUPED)
+_TG = "SELECT video, frame_idx, row, col, group_id FROM grouped"
+
+
+def _tile_groups(spark, sf):
+    return grouping.group_tiles(fx.tile_scores(spark, sf), "none", ROWS, COLS).select("video", "frame_idx", "row", "col", "group_id")
+
+
 @register("g03_w12_group_ids", sql("""
     SELECT video, frame_idx, group_id, size, min_row, min_col,
       row_number() OVER (PARTITION BY video, frame_idx ORDER BY size DESC, min_row, min_col, block) - 1 AS rank
-    FROM (SELECT video, frame_idx, row // 4 * 3 + col // 6 AS group_id, row // 4 * 3 + col // 6 AS block, count(*) AS size, min(row) AS min_row,
-      min(col) AS min_col FROM tile_scores GROUP BY ALL)""", "tile_scores"))
+    FROM (SELECT video, frame_idx, group_id, group_id AS block, count(*) AS size, min(row) AS min_row, min(col) AS min_col FROM tg GROUP BY ALL)""",
+    "tile_scores", recursive=True, **_GROUPS, tg=_TG))
 def _(spark, sf):
     sizes = _tile_groups(spark, sf).groupBy("video", "frame_idx", F.col("group_id").alias("block")).agg(
         F.count("*").alias("size"), F.min("row").alias("min_row"), F.min("col").alias("min_col"))
@@ -506,15 +515,9 @@ def _(spark, sf):
                                                 F.col("group_id").alias("rank"))
 
 
-_TG = "SELECT video, frame_idx, row, col, row // 4 * 3 + col // 6 AS group_id FROM tile_scores"
 _RATES = "SELECT row, col, 1 + count(*) % 8 AS max_rate FROM tile_scores GROUP BY row, col"
 
 
-def _tile_groups(spark, sf):
-    gid = F.floor(F.col("row") / 4) * 3 + F.floor(F.col("col") / 6)
-    return fx.tile_scores(spark, sf).select("video", "frame_idx", "row", "col", gid.alias("group_id"))
-
-
 def _rates(spark, sf):
     return fx.tile_scores(spark, sf).groupBy("row", "col").agg((F.count("*") % 8 + 1).alias("max_rate"))
 
@@ -528,7 +531,7 @@ _RULES = """
     UNION ALL SELECT video, row, col, frame_idx, group_id, frame_idx + max_rate, 'window' FROM around WHERE nf - frame_idx <= max_rate"""
 
 
-@register("g09_prune_constraints", sql("SELECT * FROM rules", "tile_scores", tg=_TG, rates=_RATES, around=_AROUND, rules=_RULES))
+@register("g09_prune_constraints", sql("SELECT * FROM rules", "tile_scores", recursive=True, **_GROUPS, tg=_TG, rates=_RATES, around=_AROUND, rules=_RULES))
 def _(spark, sf):
     return pruning.prune_constraints(_tile_groups(spark, sf), _rates(spark, sf))
 
@@ -556,12 +559,12 @@ _DROPPED = """
       JOIN spare r ON r.video = o.video AND r.frame_idx = o.f AND r.group_id = o.g
       WHERE o.video = s.video AND o.frame_idx = s.frame_idx AND o.group_id = s.group_id
         AND (r.size > s.size OR (r.size = s.size AND (r.frame_idx < s.frame_idx OR (r.frame_idx = s.frame_idx AND r.group_id < s.group_id)))))"""
-_PRUNE = dict(tg=_TG, rates=_RATES, covers=_COVERS, sizes=_SIZES, runs=_RUNS, chosen0=_CHOSEN0, near=_NEAR, spare=_SPARE, dropped=_DROPPED)
+_PRUNE = dict(**_GROUPS, tg=_TG, rates=_RATES, covers=_COVERS, sizes=_SIZES, runs=_RUNS, chosen0=_CHOSEN0, near=_NEAR, spare=_SPARE, dropped=_DROPPED)
 
 
 @register("g10_prune_groups", sql("""
     SELECT c.*, size FROM chosen0 c JOIN sizes USING (video, frame_idx, group_id) WHERE NOT EXISTS (SELECT 1 FROM dropped d
-      WHERE d.video = c.video AND d.frame_idx = c.frame_idx AND d.group_id = c.group_id)""", "tile_scores", **_PRUNE))
+      WHERE d.video = c.video AND d.frame_idx = c.frame_idx AND d.group_id = c.group_id)""", "tile_scores", recursive=True, **_PRUNE))
 def _(spark, sf):
     return pruning.prune_groups(_tile_groups(spark, sf), _rates(spark, sf), refine=1)
 
@@ -572,7 +575,7 @@ def _(spark, sf):
       UNION ALL SELECT r.kind FROM rules r WHERE r.kind = 'window' AND r.group_id IN (0, 4, 8) AND NOT EXISTS (
         SELECT 1 FROM tg t WHERE t.group_id IN (0, 4, 8) AND t.video = r.video AND t.row = r.row AND t.col = r.col
           AND t.frame_idx > r.frame_idx AND t.frame_idx <= r.until)) GROUP BY ALL""",
-    "tile_scores", tg=_TG, rates=_RATES, around=_AROUND, rules=_RULES))
+    "tile_scores", recursive=True, **_GROUPS, tg=_TG, rates=_RATES, around=_AROUND, rules=_RULES))
 def _(spark, sf):
     groups = _tile_groups(spark, sf)
     picked = groups.where("group_id IN (0, 4, 8)").select(*pruning.GROUP).distinct()
@@ -590,7 +593,7 @@ def _(spark, sf):
 @register("g12_apply_selection", sql("""
     SELECT t.video, count(*) AS tiles FROM tg t JOIN (SELECT c.* FROM chosen0 c WHERE NOT EXISTS (SELECT 1 FROM dropped d
       WHERE d.video = c.video AND d.frame_idx = c.frame_idx AND d.group_id = c.group_id)) USING (video, frame_idx, group_id) GROUP BY ALL""",
-    "tile_scores", **{**_PRUNE, "rates": "SELECT row, col, greatest((1 + count(*) % 8) // 2, 1) AS max_rate FROM tile_scores GROUP BY row, col"}))
+    "tile_scores", recursive=True, **{**_PRUNE, "rates": "SELECT row, col, greatest((1 + count(*) % 8) // 2, 1) AS max_rate FROM tile_scores GROUP BY row, col"}))
 def _(spark, sf):
     groups, rates = _tile_groups(spark, sf), pruning.scale_rates(_rates(spark, sf), 2)
     return pruning.apply_selection(groups, pruning.prune_groups(groups, rates, refine=1)).groupBy("video").agg(F.count("*").alias("tiles"))
@@ -598,7 +601,7 @@ def _(spark, sf):
 
 @register("w16_first_last", sql("""
     SELECT video, row, col, min(frame_idx) AS first_frame, arg_min(group_id, frame_idx) AS first_group, max(frame_idx) AS last_frame,
-      arg_max(group_id, frame_idx) AS last_group FROM tg GROUP BY ALL""", "tile_scores", tg=_TG))
+      arg_max(group_id, frame_idx) AS last_group FROM tg GROUP BY ALL""", "tile_scores", recursive=True, **_GROUPS, tg=_TG))
 def _(spark, sf):
     return trajectories.first_last_per_tile(_tile_groups(spark, sf))
 
@@ -606,7 +609,7 @@ def _(spark, sf):
 @register("w16_largest_groups", sql("""
     SELECT * EXCLUDE (rn), rn - 1 AS group_id FROM (SELECT *, row_number() OVER (PARTITION BY video, frame_idx ORDER BY size DESC, min_row, min_col) AS rn
       FROM (SELECT video, frame_idx, group_id AS block, count(*) AS size, min(row) AS min_row, min(col) AS min_col FROM tg GROUP BY ALL)) WHERE rn <= 2""",
-    "tile_scores", tg=_TG))
+    "tile_scores", recursive=True, **_GROUPS, tg=_TG))
 def _(spark, sf):
     sizes = _tile_groups(spark, sf).groupBy("video", "frame_idx", F.col("group_id").alias("block")).agg(
         F.count("*").alias("size"), F.min("row").alias("min_row"), F.min("col").alias("min_col"))
@@ -626,14 +629,14 @@ def _sizes(spark, sf):
         "batch", F.floor(F.col("frame_idx") / 16))
 
 
-@register("g13_pack_groups", sql(_PACK, "tile_scores", tg=_TG, sizes=_SIZES))
+@register("g13_pack_groups", sql(_PACK, "tile_scores", recursive=True, **_GROUPS, tg=_TG, sizes=_SIZES))
 def _(spark, sf):
     return packing.pack_groups(_sizes(spark, sf), ROWS * COLS, ["video", "batch"])
 
 
 @register("g13_canvas_bound", sql("""
     SELECT video, frame_idx // 16 AS batch, CAST(ceil(sum(size) / 216) AS BIGINT) AS min_canvases FROM sizes GROUP BY ALL""",
-    "tile_scores", tg=_TG, sizes=_SIZES))
+    "tile_scores", recursive=True, **_GROUPS, tg=_TG, sizes=_SIZES))
 def _(spark, sf):
     return packing.canvas_bound(_sizes(spark, sf), ROWS * COLS, ["video", "batch"])
 

@@ -187,23 +187,23 @@ def _(spark, sf):
 
 
 @register("j09_missing_rows", sql("""
-    SELECT dataset, videoset, variant_id, 'missing' AS side FROM accuracy a WHERE NOT EXISTS (
-      SELECT 1 FROM variant_runtimes r WHERE r.dataset = a.dataset AND r.videoset = a.videoset
-        AND r.variant_id = a.variant_id AND r.time > 0.45)""", "accuracy", "variant_runtimes"))
+    SELECT DISTINCT video, frame_idx, 'missing' AS side FROM gt_tracks g WHERE NOT EXISTS (
+      SELECT 1 FROM pred_tracks p WHERE p.video = g.video AND p.frame_idx = g.frame_idx)""", "gt_tracks", "pred_tracks"))
 def _(spark, sf):
-    keys = ["dataset", "videoset", "variant_id"]
-    have = fx.variant_runtimes(spark, sf).where("time > 0.45").select(*keys).distinct()
-    return joins.missing_rows(fx.accuracy(spark, sf).select(*keys), have, keys).withColumn("side", F.lit("missing"))
+    """Frames with objects of which nothing was reported."""
+    keys = ["video", "frame_idx"]
+    frames, have = (t(spark, sf).select(*keys).distinct() for t in (fx.gt_tracks, fx.pred_tracks))
+    return joins.missing_rows(frames, have, keys).withColumn("side", F.lit("missing"))
 
 
 @register("j09_unexpected_rows", sql("""
-    SELECT DISTINCT dataset, videoset, variant_id FROM variant_runtimes r WHERE NOT EXISTS (
-      SELECT 1 FROM accuracy a WHERE r.dataset = a.dataset AND r.videoset = a.videoset
-        AND r.variant_id = a.variant_id AND a.HOTA_HOTA >= 0.5)""", "accuracy", "variant_runtimes"))
+    SELECT video, track_id FROM (SELECT DISTINCT video, track_id FROM pred_tracks) p WHERE NOT EXISTS (
+      SELECT 1 FROM gt_tracks g WHERE g.video = p.video AND g.track_id * 2 = p.track_id)""", "gt_tracks", "pred_tracks"))
 def _(spark, sf):
-    keys = ["dataset", "videoset", "variant_id"]
-    have = fx.variant_runtimes(spark, sf).select(*keys).distinct()
-    return joins.unexpected_rows(fx.accuracy(spark, sf).where("HOTA_HOTA >= 0.5").select(*keys), have, keys)
+    """Reported tracks that continue no object's first one."""
+    keys = ["video", "track_id"]
+    known = fx.gt_tracks(spark, sf).select("video", (F.col("track_id") * 2).alias("track_id")).distinct()
+    return joins.unexpected_rows(known, fx.pred_tracks(spark, sf).select(*keys).distinct(), keys)
 
 
 @register("a04_stage_breakdown", sql("""
@@ -464,11 +464,11 @@ def _(spark, sf):
 
 @register("j10_params_per_video", sql("""
     SELECT dataset, videoset, p.variant_id, v.video
-    FROM (SELECT DISTINCT dataset, videoset, variant_id FROM accuracy WHERE HOTA_HOTA > 0.9) p
+    FROM (SELECT DISTINCT dataset, videoset, variant_id FROM accuracy) p
     JOIN (SELECT DISTINCT dataset, videoset, video FROM variant_runtimes) v USING (dataset, videoset)""",
     "accuracy", "variant_runtimes"))
 def _(spark, sf):
-    params = fx.accuracy(spark, sf).where("HOTA_HOTA > 0.9").select("dataset", "videoset", "variant_id").distinct()
+    params = fx.accuracy(spark, sf).select("dataset", "videoset", "variant_id").distinct()
     videos = fx.variant_runtimes(spark, sf).select("dataset", "videoset", "video").distinct()
     return joins.params_per_video(params, videos).select("dataset", "videoset", "variant_id", "video")
 
@@ -689,11 +689,11 @@ def _(spark, sf):
 
 @register("e10_tradeoff_report", tradeoff_sql("""
     SELECT dataset, count(*) AS points, round(min(time), 6) AS fastest, round(max(HOTA_HOTA), 6) AS best
-    FROM front GROUP BY dataset""", front=FRONT.format(where="WHERE videoset = 'valid' AND variant <> 'naive'",
-                                                       and_where="AND t.videoset = 'valid' AND t.variant <> 'naive'")))
+    FROM cut24 GROUP BY dataset""", front=FRONT.format(where="WHERE videoset = 'valid' AND variant <> 'naive'",
+                                                       and_where="AND t.videoset = 'valid' AND t.variant <> 'naive'"), **prune_sql(24, 4)))
 def _(spark, sf):
     from trackgrid.plans.reports import tradeoff_report
-    front = tradeoff_report(fx.accuracy(spark, sf), fx.variant_runtimes(spark, sf), fx.video_frames(spark, sf), points=None)
+    front = tradeoff_report(fx.accuracy(spark, sf), fx.variant_runtimes(spark, sf), fx.video_frames(spark, sf), points=4)
     return rounded(front.groupBy("dataset").agg(F.count("*").alias("points"), F.min("time").alias("fastest"),
                                                 F.max("HOTA_HOTA").alias("best")), "fastest", "best")
 
