@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import base64
 import binascii
+import bz2
 import codecs
 import hashlib
 import itertools
@@ -32,11 +33,15 @@ _URL = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 _UNICODE = re.compile(r"(?:\\u\{[0-9A-Fa-f]{1,6}\}|\\u[0-9A-Fa-f]{4}|\\x[0-9A-Fa-f]{2}|&#[0-9]{1,7};|&#[xX][0-9A-Fa-f]{1,6};)")
 #: Lines of base64, broken or not; only the last may be short.
 _BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}(?:[ \t]*\r?\n[ \t]*[A-Za-z0-9+/_-]{16,})*(?:[ \t]*\r?\n[ \t]*[A-Za-z0-9+/_-]+)?={0,2}")
+_GLUE = re.compile(r"[/_+-]")
+_CONTROL = re.compile(rb"[\x00-\x08\x0B\x0C\x0E-\x1F\x7F]")
 _LINE = re.compile(r"[A-Za-z0-9+/_-]+")
 _TAIL = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_-= \t\r\n"
 
 #: A compressed layer beyond this many bytes is scanned in parts of as many characters.
 MAX_LAYER = 64 << 20
+#: Compressed bytes that are unpacked at a time.
+STEP = 4096
 #: A part repeats at least so many characters of the part before.
 OVERLAP = 1 << 20
 
@@ -82,50 +87,82 @@ def _text(data: bytes) -> str | None:
 
 
 def _mode(data: bytes) -> int | None:
-    """zlib's window argument for data that begins like zlib or gzip."""
+    """How data that begins like zlib, gzip or bzip2 is unpacked: zlib's window argument, or 0 for bzip2."""
     if data[:2] == b"\x1f\x8b":
         return 31
+    if data[:3] == b"BZh" and data[4:10] == b"1AY&SY":
+        return 0
     return 15 if len(data) > 2 and data[0] & 15 == 8 and (data[0] << 8 | data[1]) % 31 == 0 else None
 
 
+def _unpacker(mode: int):
+    return zlib.decompressobj(mode) if mode else bz2.BZ2Decompressor()
+
+
 def _stream(chunks, mode: int):
-    """Content of zlib or gzip data, in chunks; it ends where the data is damaged."""
-    unpack = zlib.decompressobj(mode)
+    """Content of compressed data, in chunks; of damaged data all that comes before the damage."""
+    unpack = _unpacker(mode)
+    for chunk in chunks:
+        for k in range(0, len(chunk), STEP):
+            piece = chunk[k:k + STEP]
+            if unpack.eof:
+                return
+            before = unpack.copy() if mode else None
+            try:
+                out = unpack.decompress(piece)
+            except (zlib.error, OSError):
+                if before is not None:
+                    yield _until_damage(before, piece)
+                return
+            if out:
+                yield out
+
+
+def _until_damage(unpack, piece: bytes) -> bytes:
+    out = []
     try:
-        for chunk in chunks:
-            while (chunk or unpack.unconsumed_tail) and not unpack.eof:
-                out = unpack.decompress(chunk or unpack.unconsumed_tail, OVERLAP)
-                chunk = unpack.unconsumed_tail
-                if out:
-                    yield out
-                elif not chunk:
-                    break
+        for k in range(len(piece)):
+            out.append(unpack.decompress(piece[k:k + 1]))
     except zlib.error:
-        return
+        pass
+    return b"".join(out)
 
 
 def _inflate(data: bytes):
-    """Content of zlib or gzip data: bytes, chunks of them if it is over the limit, or None if it is neither."""
+    """Content of compressed data: bytes, chunks of them if it is over the limit, or None if nothing unpacks."""
     mode = _mode(data)
     if mode is None:
         return None
+    stream, held, size = _stream([data], mode), [], 0
+    for out in stream:
+        held.append(out)
+        size += len(out)
+        if size >= MAX_LAYER:
+            return itertools.chain(held, stream)
+    return b"".join(held) or None
+
+
+def _bare(data: bytes) -> bytes | None:
+    """Content of deflated data without a head: it has to end with the data and to be text or compressed in turn."""
+    unpack = zlib.decompressobj(-15)
     try:
-        unpack = zlib.decompressobj(mode)
         out = unpack.decompress(data, MAX_LAYER)
     except zlib.error:
         return None
-    if unpack.eof:
-        return out
-    return _stream([data], mode) if len(out) >= MAX_LAYER else None
+    return out if unpack.eof and not unpack.unused_data and out and (_text(out) or _mode(out) is not None) else None
 
 
 def _used(data: bytes) -> int:
-    """Bytes of compressed data up to its end."""
-    unpack, rest = zlib.decompressobj(_mode(data)), data
-    while rest and not unpack.eof:
-        unpack.decompress(rest, OVERLAP)
-        rest = unpack.unconsumed_tail
-    return len(data) - len(unpack.unused_data)
+    """Bytes of compressed data up to its end, or all of them if it does not end well."""
+    unpack = _unpacker(_mode(data))
+    try:
+        for k in range(0, len(data), STEP):
+            unpack.decompress(data[k:k + STEP])
+            if unpack.eof:
+                return min(k + STEP, len(data)) - len(unpack.unused_data)
+    except (zlib.error, OSError):
+        pass
+    return len(data)
 
 
 def _unpacked(data: bytes):
@@ -211,11 +248,9 @@ def _carried(layer: Layer, start: int, end: int, size: int) -> list[tuple[int, i
     return out
 
 
-def _percent(run: str) -> str | None:
-    try:
-        return bytes.fromhex(run.replace("%", "")).decode("utf-8")
-    except UnicodeDecodeError:
-        return None
+def _percent(run: str) -> str:
+    """Text of escaped bytes; bytes that are no UTF-8 are replaced, so that they hide nothing beside them."""
+    return bytes.fromhex(run.replace("%", "")).decode("utf-8", "replace")
 
 
 def _codepoint(escape: str) -> str | None:
@@ -237,6 +272,31 @@ def _inner(layer: Layer):
         for first, last in _choices([e - s for s, e in lines]):
             if not all(read[first:last]) and (yield from _decoded(layer, lines[first:last], m.end() if last == len(lines) else lines[last - 1][1])):
                 read[first:last] = [True] * (last - first)
+        for (first, last), done in zip(lines, read):
+            if not done:
+                yield from _glued(layer, first, last)
+
+
+def _glued(layer: Layer, first: int, last: int):
+    """Layers of base64 that stands behind other text in a run, after one of the signs that both may hold."""
+    text = layer.text
+    for m in _GLUE.finditer(text, first, last - 16):
+        begin = m.end()
+        head = text[begin:begin + 16]
+        try:
+            data = base64.b64decode(head, altchars=b"-_" if "-" in head or "_" in head else None, validate=True)
+        except (binascii.Error, ValueError):
+            continue
+        # The first bytes tell whether it is worth to read on: text as far as it goes, or data that does unpack.
+        if _mode(data) is not None:
+            head = text[begin:min(begin + 1024, last)]
+            data = base64.b64decode(head[:len(head) // 4 * 4], altchars=b"-_" if "-" in head or "_" in head else None)
+            if sum(map(len, _stream([data], _mode(data)))) < 12 and _CONTROL.search(data):
+                continue
+        elif _CONTROL.search(data) or "\ufffd" in codecs.getincrementaldecoder("utf-8")("replace").decode(data):
+            continue
+        end = last - ((last - begin) % 4 == 1)
+        yield from _decoded(layer, [(begin, end)], end)
 
 
 def _choices(widths: list[int]) -> list[tuple[int, int]]:
@@ -276,10 +336,16 @@ def _decoded(layer: Layer, lines: list[tuple[int, int]], stop: int):
         for plain in texts:
             if plain:
                 yield Layer(plain, [(0, start, end, 0)])
+        # Text may begin like compressed data by chance.
+        if _text(data) is None:
+            return False
+        start, end = layer.span(begin, stop)
+    elif _text(data) is None and (content := _bare(data)) is not None:
+        for plain in _unpacked(content) or [content.decode("utf-8", "replace")]:
+            yield Layer(plain, [(0, start, end, 0)])
         return False
-    plain = _text(data)
-    if not plain:
-        return False
+    # Bytes of other encodings are replaced and the rest is read.
+    plain = data.decode("utf-8", "replace")
     # Groups of four characters stay together where the layer is the original and bytes are characters.
     exact = len(plain) == len(data) and layer.origin(begin)[1] - start == 1 and end - start == stop - begin
     if not exact:
@@ -294,7 +360,7 @@ def _decoded(layer: Layer, lines: list[tuple[int, int]], stop: int):
     else:
         where = [start + k - begin for s, e in lines for k in range(s, e)]
         yield Layer(plain, [(at, where[at // 3 * 4], where[min(at // 3 * 4 + 3, len(where) - 1)] + 1, 0) for at in range(0, len(plain), 3)])
-    return True
+    return _text(data) is not None
 
 
 def find_secrets(text: str | None) -> tuple[list[tuple[int, int, str]], list[tuple[int, int, str]]]:
@@ -355,6 +421,11 @@ def scan_secrets(docs: DataFrame, *, text: str = "text", clean: bool = True, mar
     and end. A secret inside a decoded layer has the span of the characters it came from; a
     span that is also found plainly is given once. ``clean_text`` has every span replaced.
 
+    Layers are percent escapes, escapes of characters, base64 (alone, over lines or behind other text of its signs) and zlib, gzip,
+    bzip2 or bare deflate inside it; damaged data is read up to the damage and bytes that are no UTF-8 are
+    replaced. A compressed layer over ``MAX_LAYER`` bytes is read in parts that overlap; texts of any length
+    are read whole.
+
     NULL text has no spans and stays NULL; empty text has none. Every row is judged on its
     own: repeated rows repeat, an empty table gives an empty result. Columns of the input
     with the new names are replaced.
