@@ -152,8 +152,8 @@ def _bare(data: bytes) -> bytes | None:
     return out if unpack.eof and not unpack.unused_data and out and (_text(out) or _mode(out) is not None) else None
 
 
-def _used(data: bytes) -> int:
-    """Bytes of compressed data up to its end, or all of them if it does not end well."""
+def _used(data: bytes) -> int | None:
+    """Bytes of compressed data up to its end; None if it does not end well."""
     unpack = _unpacker(_mode(data))
     try:
         for k in range(0, len(data), STEP):
@@ -162,7 +162,7 @@ def _used(data: bytes) -> int:
                 return min(k + STEP, len(data)) - len(unpack.unused_data)
     except (zlib.error, OSError):
         pass
-    return len(data)
+    return None
 
 
 def _unpacked(data: bytes):
@@ -268,13 +268,23 @@ def _inner(layer: Layer):
         yield _escapes(layer, _UNICODE, _codepoint)
     for m in _BASE64.finditer(text):
         lines = [x.span() for x in _LINE.finditer(text, m.start(), m.end())]
-        read = [False] * len(lines)
+        read, known = [False] * len(lines), [False] * len(lines)
         for first, last in _choices([e - s for s, e in lines]):
-            if not all(read[first:last]) and (yield from _decoded(layer, lines[first:last], m.end() if last == len(lines) else lines[last - 1][1])):
-                read[first:last] = [True] * (last - first)
-        for (first, last), done in zip(lines, read):
-            if not done:
-                yield from _glued(layer, first, last)
+            if not all(read[first:last]):
+                kind = yield from _decoded(layer, lines[first:last], m.end() if last == len(lines) else lines[last - 1][1])
+                if kind:
+                    known[first:last] = [True] * (last - first)
+                if kind == "text":
+                    read[first:last] = [True] * (last - first)
+        # What neither is text nor unpacks may be in another encoding, or begin behind other text.
+        first = 0
+        for unknown, group in itertools.groupby(known, lambda x: not x):
+            last = first + len(list(group))
+            if unknown:
+                yield from _decoded(layer, lines[first:last], m.end() if last == len(lines) else lines[last - 1][1], lenient=True)
+                for s, e in lines[first:last]:
+                    yield from _glued(layer, s, e)
+            first = last
 
 
 def _glued(layer: Layer, first: int, last: int):
@@ -296,7 +306,7 @@ def _glued(layer: Layer, first: int, last: int):
         elif _CONTROL.search(data) or "\ufffd" in codecs.getincrementaldecoder("utf-8")("replace").decode(data):
             continue
         end = last - ((last - begin) % 4 == 1)
-        yield from _decoded(layer, [(begin, end)], end)
+        yield from _decoded(layer, [(begin, end)], end, lenient=True)
 
 
 def _choices(widths: list[int]) -> list[tuple[int, int]]:
@@ -313,22 +323,27 @@ def _choices(widths: list[int]) -> list[tuple[int, int]]:
     return sorted(out, key=lambda x: (x[0] - x[1], x))
 
 
-def _decoded(layer: Layer, lines: list[tuple[int, int]], stop: int):
-    """Layers that lines of base64 decode to; ``stop`` is behind their padding. Returns whether they are plain text."""
+def _decoded(layer: Layer, lines: list[tuple[int, int]], stop: int, lenient: bool = False):
+    """Layers that lines of base64 decode to; ``stop`` is behind their padding. Returns whether they are ``text``, ``packed`` or neither (empty).
+
+    If ``lenient``, bytes that are no UTF-8 are replaced and the rest is read.
+    """
     body = "".join(layer.text[s:e] for s, e in lines)
     if len(body) < 16 or len(body) % 4 == 1 or not (re.search("[A-Z]", body) and re.search("[a-z]", body)):
-        return False
+        return ""
     try:
         data = base64.b64decode(body + "=" * (-len(body) % 4), altchars=b"-_" if "-" in body or "_" in body else None, validate=True)
     except (binascii.Error, ValueError):
-        return False
+        return ""
     begin = lines[0][0]
     start, end = layer.span(begin, stop)
-    texts = _unpacked(data)
+    used = _used(data) if _mode(data) is not None else None
+    # Data without an end may be a part of the lines it belongs to, so it is read once no other choice was.
+    texts = _unpacked(data) if used is not None or lenient else None
     if texts is not None:
-        if len(lines) > 1:
+        if used is not None and len(lines) > 1:
             # Lines behind the end of the compressed data are not part of it.
-            need, k = -(-_used(data) * 4 // 3), 0
+            need, k = -(-used * 4 // 3), 0
             while k < len(lines) - 1 and need > lines[k][1] - lines[k][0]:
                 need -= lines[k][1] - lines[k][0]
                 k += 1
@@ -338,13 +353,14 @@ def _decoded(layer: Layer, lines: list[tuple[int, int]], stop: int):
                 yield Layer(plain, [(0, start, end, 0)])
         # Text may begin like compressed data by chance.
         if _text(data) is None:
-            return False
+            return "packed"
         start, end = layer.span(begin, stop)
     elif _text(data) is None and (content := _bare(data)) is not None:
         for plain in _unpacked(content) or [content.decode("utf-8", "replace")]:
             yield Layer(plain, [(0, start, end, 0)])
-        return False
-    # Bytes of other encodings are replaced and the rest is read.
+        return "packed"
+    if _text(data) is None and not lenient:
+        return ""
     plain = data.decode("utf-8", "replace")
     # Groups of four characters stay together where the layer is the original and bytes are characters.
     exact = len(plain) == len(data) and layer.origin(begin)[1] - start == 1 and end - start == stop - begin
@@ -360,7 +376,7 @@ def _decoded(layer: Layer, lines: list[tuple[int, int]], stop: int):
     else:
         where = [start + k - begin for s, e in lines for k in range(s, e)]
         yield Layer(plain, [(at, where[at // 3 * 4], where[min(at // 3 * 4 + 3, len(where) - 1)] + 1, 0) for at in range(0, len(plain), 3)])
-    return _text(data) is not None
+    return "text" if _text(data) is not None else ""
 
 
 def find_secrets(text: str | None) -> tuple[list[tuple[int, int, str]], list[tuple[int, int, str]]]:
