@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from trackgrid.operators.aggregates import duplicate_keys
 from trackgrid.operators.joins import iou_join
-from trackgrid.operators.matching import match_boxes, match_in_frames, one_to_one
+from trackgrid.operators.matching import match_continued, match_in_frames, one_to_one
 from trackgrid.scale import materialize, with_neighbours
 from trackgrid.schemas import BOX
 
@@ -110,12 +110,16 @@ def hota_mean(per_alpha: DataFrame) -> DataFrame:
 def clear_mot(gt: DataFrame, pred: DataFrame, threshold: float = 0.5) -> DataFrame:
     """MOTA family per video from one-to-one matches at ``threshold``.
 
+    A pair that was matched in the frame before, of those that have both truth and predictions, stays matched
+    as long as it is similar enough; others follow by similarity.
+
     Identity switches compare a track's match with its previous one; fragments count
     the restarts of a track's matched runs. A video without truth has only false positives,
     one without predictions only misses.
     """
-    matched = match_boxes(_slim(gt), _slim(pred), threshold).select(
-        "video", "frame_idx", F.col("l_track_id").alias("track_id"), F.col("r_track_id").alias("pred_id"), "iou")
+    pairs = iou_join(_slim(gt), _slim(pred), threshold).select("video", "frame_idx", F.col("l_track_id").alias("track_id"), F.col("r_track_id").alias("pred_id"), "iou")
+    frames = gt.select("video", "frame_idx").distinct().join(pred.select("video", "frame_idx"), ["video", "frame_idx"], "left_semi")
+    matched = match_continued(pairs, frames, ["video"], "frame_idx", "track_id", "pred_id", "iou")
     runs = with_neighbours(matched, ["video", "track_id"], "frame_idx", ["frame_idx", "pred_id"], forward=None, backward="prev")
     per_track = runs.groupBy("video", "track_id").agg(
         F.count("*").alias("hits"), F.sum("iou").alias("_iou"),

@@ -6,8 +6,9 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, StructField, StructType
 
 from trackgrid.functions import geometry as g
 from trackgrid.operators.joins import iou_join, overlap_pairs
@@ -15,6 +16,8 @@ from trackgrid.scale import materialize
 
 #: Frames that are matched together in one task's group.
 FRAMES_PER_GROUP = 64
+#: Frames that are matched one after the other in one group, where a match depends on the frame before.
+FRAMES_PER_STATE = 1024
 
 
 def _taken(left: np.ndarray, right: np.ndarray) -> np.ndarray:
@@ -49,6 +52,72 @@ def match_in_frames(pairs: DataFrame, within: list[str], frame: str, left: list[
     return ranked.groupBy(*groups).applyInPandas(match, pairs.schema)
 
 
+def _continued(frame: str, left: str, right: str, rank: str):
+    """Matching of a block's frames in order, pairs matched in the frame before first; the first frame is told what was."""
+    def match(pairs: pd.DataFrame, before: pd.DataFrame) -> pd.DataFrame:
+        pairs = pairs.sort_values([frame, rank, left, right], ascending=[True, False, True, True], kind="stable").reset_index(drop=True)
+        number = pairs[frame].to_numpy()
+        starts = np.flatnonzero(np.r_[True, number[1:] != number[:-1]])
+        ends = np.r_[starts[1:], len(pairs)]
+        l, r = (pd.Series(list(zip(number, pairs[c]))).factorize()[0] for c in (left, right))
+        real = pairs[left].notna().to_numpy()
+        free = real & (np.bincount(l, real)[l] == 1) & (np.bincount(r, real)[r] == 1)
+        taken, contested = free.copy(), np.add.reduceat(real & ~free, starts) > 0
+        ids = list(zip(pairs[left], pairs[right]))
+        told = set(zip(before[left], before[right]))
+        for k in np.flatnonzero(contested):
+            last = told if k == 0 else {ids[i] for i in range(starts[k - 1], ends[k - 1]) if taken[i]}
+            rows = [i for i in range(starts[k], ends[k]) if real[i] and not free[i]]
+            used_l, used_r = set(), set()
+            for i in sorted(rows, key=lambda i: (ids[i] not in last, i)):
+                if l[i] not in used_l and r[i] not in used_r:
+                    used_l.add(l[i])
+                    used_r.add(r[i])
+                    taken[i] = True
+        # One row without ids tells of the block itself.
+        out = pd.concat([pairs[taken], pairs.iloc[[0]].assign(**{left: None, right: None})])
+        return out.assign(_last=out[frame] == number[-1], _asks=bool(contested[0])).astype({left: "Int64", right: "Int64"})
+
+    return match
+
+
+def match_continued(pairs: DataFrame, frames: DataFrame, within: list[str], frame: str, left: str, right: str, rank: str) -> DataFrame:
+    """One-to-one matches per frame; pairs that were matched in the frame before go first, then the better ``rank``.
+
+    ``frames`` lists the frames (``within`` and ``frame``) that count as one before another, also those without
+    pairs. Blocks of frames are matched side by side, each from an assumed state. Where the block before turns out to end in
+    another state and the first frame has a choice, the block is matched again; the choice
+    seldom lasts longer than a block, so further passes see few blocks or none.
+    """
+    columns = [*within, frame, left, right, rank]
+    block = F.floor(F.col(frame) / FRAMES_PER_STATE).alias("_block")
+    empty = frames.select(*within, frame).join(pairs.select(*within, frame).distinct(), [*within, frame], "left_anti")
+    rows = pairs.select(*columns).unionByName(empty, allowMissingColumns=True).select(*columns, block)
+    rows = materialize(rows, "clear")
+    kind = StructType([*rows.schema, StructField("_last", BooleanType()), StructField("_asks", BooleanType())])
+    keys, of = [*within, "_block"], Window.partitionBy(*within).orderBy("_block")
+    told = rows.select(*keys, left, right).where("false")
+    settle = _continued(frame, left, right, rank)
+
+    def matched(some: DataFrame, state: DataFrame) -> DataFrame:
+        grouped = some.groupBy(*keys).cogroup(state.groupBy(*keys))
+        # Blocks without rows have nothing to match, whatever they are told.
+        return materialize(grouped.applyInPandas(lambda a, b: settle(a, b)[kind.names] if len(a) else pd.DataFrame(columns=kind.names), kind), "clear")
+
+    found = matched(rows, told)
+    blocks = materialize(found.where(f"{left} IS NULL").select(*keys, "_asks").withColumn("_prior", F.lag("_block").over(of)), "clear")
+    asking = blocks.where("_asks AND _prior IS NOT NULL").select(*keys, "_prior")
+    while True:
+        ended = found.where(f"_last AND {left} IS NOT NULL").select(*within, F.col("_block").alias("_prior"), left, right)
+        now = asking.join(ended, [*within, "_prior"]).select(*keys, left, right)
+        changed = materialize(now.exceptAll(told).union(told.exceptAll(now)).select(*keys).distinct(), "clear")
+        if changed.isEmpty():
+            return found.where(f"{left} IS NOT NULL").select(*columns)
+        told = materialize(now, "clear")
+        again = matched(rows.join(changed, keys, "left_semi"), told.join(changed, keys, "left_semi"))
+        found = materialize(found.join(changed, keys, "left_anti").unionByName(again), "clear")
+
+
 def one_to_one(pairs: DataFrame, within: list[str], left: list[str], right: list[str], order: list[Column],
                tag: str = "match") -> DataFrame:
     """Greedy one-to-one subset of candidate pairs that belong to no frame, best pair first.

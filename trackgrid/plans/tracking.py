@@ -320,7 +320,17 @@ def _(spark, sf):
     return rounded(metrics.hota_mean(metrics.hota(fx.gt_tracks(spark, sf), fx.pred_tracks(spark, sf))), "HOTA_HOTA", "HOTA_DetA", "HOTA_AssA")
 
 
-_MATCH5 = greedy_sql(_SLIM_PAIRS + " WHERE iou >= 0.5", "video, frame_idx", "gid", "pid", "iou DESC", 5)
+# Frame by frame: pairs matched in the frame before, then the better overlap, while both ends are free.
+_MATCH5 = dict(
+    seen="SELECT video, frame_idx, row_number() OVER (PARTITION BY video ORDER BY frame_idx) AS k FROM (SELECT DISTINCT video, frame_idx FROM gt_tracks INTERSECT SELECT DISTINCT video, frame_idx FROM pred_tracks)",
+    listed="""SELECT b.video, b.frame_idx, b.k, coalesce(list({'gid': gid, 'pid': pid, 'iou': iou} ORDER BY iou DESC, gid, pid) FILTER (WHERE gid IS NOT NULL), []) AS pairs
+      FROM seen b LEFT JOIN (SELECT * FROM ious WHERE iou >= 0.5) i ON i.video = b.video AND i.frame_idx = b.frame_idx GROUP BY ALL""",
+    rec_matched="""SELECT video, 0::BIGINT AS k, CAST(NULL AS BIGINT) AS frame_idx, []::STRUCT(gid BIGINT, pid BIGINT, iou DOUBLE)[] AS m FROM seen GROUP BY ALL
+      UNION ALL SELECT l.video, l.k, l.frame_idx, list_reduce(list_prepend([]::STRUCT(gid BIGINT, pid BIGINT, iou DOUBLE)[], list_transform(
+        list_concat(list_filter(l.pairs, lambda p: len(list_filter(r.m, lambda q: q.gid = p.gid AND q.pid = p.pid)) > 0), list_filter(l.pairs, lambda p: len(list_filter(r.m, lambda q: q.gid = p.gid AND q.pid = p.pid)) = 0)),
+        lambda p: [p])), lambda a, x: CASE WHEN len(list_filter(a, lambda q: q.gid = x[1].gid OR q.pid = x[1].pid)) > 0 THEN a ELSE list_concat(a, x) END)
+      FROM rec_matched r JOIN listed l ON l.video = r.video AND l.k = r.k + 1""",
+    matched="SELECT video, frame_idx, x.gid AS gid, x.pid AS pid, x.iou AS iou FROM (SELECT video, frame_idx, unnest(m) AS x FROM rec_matched)")
 
 
 @register("e03_clear_mot", sql("""
@@ -335,7 +345,7 @@ _MATCH5 = greedy_sql(_SLIM_PAIRS + " WHERE iou >= 0.5", "video, frame_idx", "gid
       FROM v FULL JOIN (SELECT video, count(*) AS p FROM pred_tracks GROUP BY ALL) USING (video))
     SELECT video, tp, g - tp AS fn, p - tp AS fp, idsw, frag, mt, pt, ml, round((tp - (p - tp) - idsw) / greatest(1, g), 6) AS MOTA,
       round(siou / greatest(1, tp), 6) AS MOTP FROM u""",
-    "pred_tracks", pairs=_PAIR_SQL, ious=_IOU_SQL, gn=_ALIGN["gn"], **_MATCH5))
+    "pred_tracks", recursive=True, pairs=_PAIR_SQL, ious=_IOU_SQL, gn=_ALIGN["gn"], **_MATCH5))
 def _(spark, sf):
     return rounded(metrics.clear_mot(fx.gt_tracks(spark, sf), fx.pred_tracks(spark, sf)), "MOTA", "MOTP")
 
