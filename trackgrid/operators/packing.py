@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left, insort
+from heapq import heappop, heappush
+
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from trackgrid.operators.joins import COLLAGE
 
@@ -27,6 +32,87 @@ def pack_groups(groups: DataFrame, capacity: int, batch: list[str], classes: int
     return sized.withColumn("slot", slot.cast("bigint")).withColumnRenamed("_k", "size_class")
 
 
+class _FirstFit:
+    """Lowest canvas with enough free cells, found by descent in a tree of the most free cells below."""
+
+    def __init__(self, most: int):
+        self.leaves = 1 << max(most - 1, 0).bit_length()
+        self.free = [0] * (2 * self.leaves)
+
+    def find(self, size: int) -> int | None:
+        if self.free[1] < size:
+            return None
+        at = 1
+        while at < self.leaves:
+            at = 2 * at + (self.free[2 * at] < size)
+        return at - self.leaves
+
+    def put(self, slot: int, free: int) -> None:
+        at = slot + self.leaves
+        self.free[at] = free
+        while at > 1:
+            at //= 2
+            self.free[at] = max(self.free[2 * at], self.free[2 * at + 1])
+
+
+class _BestFit:
+    """Canvas with the fewest free cells that are enough, from an ordered list."""
+
+    def __init__(self, most: int):
+        self.order: list[tuple[int, int]] = []
+
+    def find(self, size: int) -> int | None:
+        at = bisect_left(self.order, (size, -1))
+        return self.order.pop(at)[1] if at < len(self.order) else None
+
+    def put(self, slot: int, free: int) -> None:
+        insort(self.order, (free, slot))
+
+
+class _EasiestFit:
+    """Canvas with the most free cells, if they are enough, from a heap."""
+
+    def __init__(self, most: int):
+        self.heap: list[tuple[int, int]] = []
+
+    def find(self, size: int) -> int | None:
+        return heappop(self.heap)[1] if self.heap and -self.heap[0][0] >= size else None
+
+    def put(self, slot: int, free: int) -> None:
+        heappush(self.heap, (-free, slot))
+
+
+#: Which of the canvases with room a group goes to.
+FITS = {"first": _FirstFit, "best": _BestFit, "easiest": _EasiestFit}
+
+
+def pack_fit(groups: DataFrame, capacity: int, batch: list[str], mode: str = "easiest") -> DataFrame:
+    """Assign tile groups to canvases of ``capacity`` cells in order of size, each to a canvas with room by ``mode``.
+
+    ``first`` takes the lowest canvas with enough free cells, ``best`` the one with the fewest, ``easiest`` the one
+    with the most; ties go to the lowest, and a group without room opens a canvas. Adds ``slot``. Batches
+    (a video's fixed run of frames, so bounded by frames x grid) are packed side by side.
+    """
+    fit = FITS[mode]
+    checked = groups.where(F.assert_true(F.col("size") <= capacity, "group larger than a canvas").isNull())
+    kind = StructType([*checked.schema, StructField("slot", LongType())])
+
+    def pack(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values(["size", "frame_idx", "group_id"], ascending=[False, True, True], kind="stable")
+        canvases, free, slots = fit(len(rows)), [], []
+        for size in rows["size"]:
+            slot = canvases.find(size)
+            if slot is None:
+                slot = len(free)
+                free.append(capacity)
+            free[slot] -= size
+            canvases.put(slot, free[slot])
+            slots.append(slot)
+        return rows.assign(slot=slots)
+
+    return checked.groupBy(*batch).applyInPandas(pack, kind)
+
+
 def canvas_bound(groups: DataFrame, capacity: int, batch: list[str]) -> DataFrame:
     """Fewest canvases each batch can need."""
     return groups.groupBy(*batch).agg(F.ceil(F.sum("size") / capacity).cast("bigint").alias("min_canvases"))

@@ -634,6 +634,29 @@ def _(spark, sf):
     return packing.pack_groups(_sizes(spark, sf), ROWS * COLS, ["video", "batch"])
 
 
+# One group after the other; the free cells of a batch's canvases travel along.
+_FIT_AT = {"first": "list_position(list_transform(r.free, lambda x: x >= o.size), true)", "best": "list_position(r.free, list_min(list_filter(r.free, lambda x: x >= o.size)))",
+           "easiest": "CASE WHEN list_max(r.free) >= o.size THEN list_position(r.free, list_max(r.free)) END"}
+
+
+def _fit_query(mode: str):
+    text = sql("SELECT video, frame_idx, group_id, size, batch, slot FROM rec_packed WHERE k > 0", "tile_scores", recursive=True, **_GROUPS, tg=_TG, sizes=_SIZES,
+               ordered="""SELECT video, frame_idx // 16 AS batch, frame_idx, group_id, size,
+                 row_number() OVER (PARTITION BY video, frame_idx // 16 ORDER BY size DESC, frame_idx, group_id) AS k FROM sizes""",
+               rec_packed=f"""SELECT DISTINCT video, batch, 0::BIGINT AS k, NULL::BIGINT AS frame_idx, NULL::BIGINT AS group_id, NULL::BIGINT AS size, NULL::BIGINT AS slot, []::BIGINT[] AS free FROM ordered
+                 UNION ALL SELECT video, batch, k, frame_idx, group_id, size, CAST(coalesce(place - 1, len(free)) AS BIGINT),
+                   CASE WHEN place IS NULL THEN list_append(free, 216 - size) ELSE list_concat(list_append(free[1:place - 1], free[place] - size), free[place + 1:]) END
+                 FROM (SELECT o.*, r.free, nullif({_FIT_AT[mode]}, 0) AS place FROM rec_packed r JOIN ordered o ON o.video = r.video AND o.batch = r.batch AND o.k = r.k + 1)""")
+
+    @register(f"g13_pack_{mode}_fit", text)
+    def _(spark, sf):
+        return packing.pack_fit(_sizes(spark, sf), ROWS * COLS, ["video", "batch"], mode)
+
+
+for _mode in packing.FITS:
+    _fit_query(_mode)
+
+
 @register("g13_canvas_bound", sql("""
     SELECT video, frame_idx // 16 AS batch, CAST(ceil(sum(size) / 216) AS BIGINT) AS min_canvases FROM sizes GROUP BY ALL""",
     "tile_scores", recursive=True, **_GROUPS, tg=_TG, sizes=_SIZES))
