@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.query import StreamingQuery
-from pyspark.sql.types import StructType
+from pyspark.sql.types import LongType, StructField, StructType
 
 
 #: State store for queries whose state outgrows memory.
@@ -106,26 +106,60 @@ def runtime_totals(stream: DataFrame) -> DataFrame:
     return stream.groupBy("stage", "op").agg(F.sum("time").alias("time"), F.count("*").alias("count"))
 
 
-def on_video_end(stream: DataFrame, pending: str, process: Callable[[DataFrame], DataFrame], sink: str,
-                 checkpoint: str) -> StreamingQuery:
-    """Barrier per video: keep rows until a video's end marker, then process the whole video in its batch.
+def _table(spark: SparkSession, path: str, schema: StructType, epoch: int) -> DataFrame:
+    """What the batches before ``epoch`` wrote to a folder per batch; a replayed batch does not see its own first try."""
+    written = StructType([*schema, StructField("batch", LongType())])
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p):
+        return spark.createDataFrame([], written)
+    return spark.read.schema(written).parquet(path).where(F.col("batch") < epoch)
 
-    The stream has ``video``, ``is_end`` and the frame columns. Rows are appended to
-    ``pending`` in a folder per video; videos that ended in a micro-batch are read
-    back by a semi join that prunes to their folders, so a video never passes through
-    the driver. Batch folders make a replayed batch overwrite its own output.
+
+def _leave(spark: SparkSession, pending: str, videos: list) -> None:
+    """Delete the pending folders of videos whose batch is committed."""
+    fs = spark._jvm.org.apache.hadoop.fs.Path(pending).getFileSystem(spark._jsc.hadoopConfiguration())
+    for video in videos:
+        for status in fs.globStatus(spark._jvm.org.apache.hadoop.fs.Path(f"{pending}/batch=*/video={video}")) or []:
+            fs.delete(status.getPath(), True)
+
+
+def on_video_end(stream: DataFrame, process: Callable[[DataFrame], DataFrame], *, pending: str, sink: str, finished: str, late: str,
+                 checkpoint: str, max_idle: int | None = None) -> StreamingQuery:
+    """Barrier per video: keep rows until a video's end marker, then process the whole video, once.
+
+    The stream has ``video``, ``is_end`` and the frame columns. Rows are appended to ``pending`` in a folder per
+    batch and video. A video ends with its marker or, with ``max_idle``, once that many batches have
+    passed without a row of it. Its rows of all batches are then read back by a join that prunes to its
+    folders, processed, and written to ``sink``; ``finished`` lists it from then on. Further markers of a finished
+    video do nothing; further rows of it go to ``late``, unprocessed. Its pending folders are deleted in the
+    batch after, when its own is committed for certain; a batch finishes a bounded number of videos, whose names
+    are all that passes through the driver.
+
+    Every table has a folder per batch, and a batch reads only those before it, so a batch that is
+    replayed after a failure writes the same again in place of its first try. Runs over what has arrived.
     """
     def handle(batch: DataFrame, epoch: int) -> None:
         spark = batch.sparkSession
         batch.persist()
-        batch.where("NOT is_end").drop("is_end").write.mode("overwrite").partitionBy("video").parquet(f"{pending}/batch={epoch}")
-        ended = batch.where("is_end").select("video").distinct()
-        schema = batch.drop("is_end").schema
-        rows = spark.read.schema(schema).parquet(pending).select(schema.names)
-        process(rows.join(ended, "video", "left_semi")).write.mode("overwrite").parquet(f"{sink}/batch={epoch}")
+        names = StructType([batch.schema["video"]])
+        done = _table(spark, finished, names, epoch).select("video", "batch")
+        _leave(spark, pending, [r[0] for r in done.where(F.col("batch") == epoch - 1).select("video").collect()])
+        over = done.select("video").distinct()
+        rows, schema = batch.where("NOT is_end").drop("is_end"), batch.drop("is_end").schema
+        rows.join(over, "video", "left_anti").write.mode("overwrite").partitionBy("video").parquet(f"{pending}/batch={epoch}")
+        rows.join(over, "video", "left_semi").write.mode("overwrite").parquet(f"{late}/batch={epoch}")
+        kept = _table(spark, pending, schema, epoch + 1)
+        ended = batch.where("is_end").select("video")
+        if max_idle is not None:
+            idle = kept.groupBy("video").agg(F.max("batch").alias("last")).where(F.col("last") <= epoch - max_idle)
+            ended = ended.union(idle.select("video"))
+        ended = ended.distinct().join(over, "video", "left_anti")
+        ended.write.mode("overwrite").parquet(f"{finished}/batch={epoch}")
+        ended = spark.read.schema(names).parquet(f"{finished}/batch={epoch}")
+        process(kept.select(schema.names).join(ended, "video", "left_semi")).write.mode("overwrite").parquet(f"{sink}/batch={epoch}")
         batch.unpersist()
 
-    return stream.writeStream.foreachBatch(handle).option("checkpointLocation", checkpoint).start()
+    return stream.writeStream.foreachBatch(handle).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def tracks_sink(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
