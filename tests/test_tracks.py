@@ -275,17 +275,6 @@ def selection(spark, covers, distance, refine=2):
     return {(r.frame_idx, r.group_id) for r in chosen.collect()}, pruning.check_prune(chosen, df, limit).count()
 
 
-@pytest.mark.parametrize("covers, distance, inside, outside", [
-    ({f: {(0, 0): 0} for f in range(3)}, 10, {(0, 0), (2, 0)}, set()),
-    ({0: {(0, 0): 0}, 2: {(0, 0): 0}}, 1, {(0, 0), (2, 0)}, set()),
-    ({f: {(0, 0): 0} for f in range(3)}, 2, {(0, 0), (2, 0)}, {(1, 0)}),
-    ({0: {(0, 0): 0}}, 5, set(), {(0, 0)}),
-])
-def test_selection_cases(spark, covers, distance, inside, outside):
-    chosen, broken = selection(spark, covers, {(0, 0): distance})
-    assert inside <= chosen and not outside & chosen and broken == 0
-
-
 def cheapest(covers, distance):
     """Fewest cells of a selection meeting every constraint, by trying all subsets."""
     groups = sorted({(f, gid) for f, cells in covers.items() for gid in cells.values()})
@@ -310,6 +299,20 @@ def cheapest(covers, distance):
     return best, size
 
 
+@pytest.mark.parametrize("covers, distance", [
+    # A wide group twice, with single tiles between at uneven gaps.
+    ({1: {(0, 0): 0, (0, 1): 0}, 4: {(0, 0): 0}, 6: {(0, 1): 0}, 9: {(0, 0): 0, (0, 1): 0}}, {(0, 0): 3, (0, 1): 8}),
+    # Two tiles that never share a group, one of them with a gap over its distance.
+    ({0: {(2, 0): 0, (0, 3): 1}, 5: {(2, 0): 1}, 7: {(0, 3): 0}, 8: {(2, 0): 0, (0, 3): 1}}, {(2, 0): 4, (0, 3): 9}),
+    # A tile that is in every frame beside tiles seen once each.
+    ({f: {(1, 1): 0, (f, 5): 0} for f in range(6)}, {(1, 1): 2, **{(f, 5): 1 for f in range(6)}}),
+])
+def test_selection_of_planted_groups(spark, covers, distance):
+    chosen, broken = selection(spark, covers, distance)
+    best, size = cheapest(covers, distance)
+    assert broken == 0 and best <= sum(size[gr] for gr in chosen) <= 2 * best
+
+
 @pytest.mark.parametrize("seed", range(4))
 def test_selection_is_feasible_and_close_to_the_optimum(spark, seed):
     rng = random.Random(seed)
