@@ -241,7 +241,7 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, *, window: int = W
     NULL and empty texts have no words and no hits. Items without words are ignored; a
     NULL item id is listed as empty text; repeated items count once. Rows are judged one by one, so
     repeated rows repeat; with an empty table of documents the result is empty, with an empty
-    benchmark nothing is hit. Columns of the input with the new names are replaced.
+    benchmark nothing is hit. A very long text is a shard of its own. Columns of the input with the new names are replaced.
     """
     spark = docs.sparkSession
     new = ["n_words", "hit_words", "hit_spans", "hit_items", "n_hit", "contaminated"]

@@ -188,6 +188,7 @@ def identify(pages: DataFrame, docs: DataFrame, *, id_col: str = "page_id", url:
     text evidence and no declaration; a NULL URL has empty host and suffix, which are a host
     and a suffix like others. Without labelled documents, ``lang`` is NULL. Repeated rows repeat (and
     count as often); an empty table gives an empty result; other columns are ignored.
+    Texts of any length count whole.
     Every language with a trigram of labelled text is modelled, however rare.
     """
     spark = pages.sparkSession

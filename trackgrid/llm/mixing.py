@@ -61,7 +61,7 @@ def mix(docs: DataFrame, *, weights: tuple[int, ...] = WEIGHTS, most: int = MOST
     partitionings agree. Rows equal in id and text have one hash; at the threshold they
     share what is left, each less than a word short. Documents without
     words have size 0 and take nothing. NULL ids and sources are values like others; an
-    empty table gives an empty result. Other columns pass through; those named as the
+    empty table gives an empty result. Very long texts count whole. Other columns pass through; those named as the
     new ones are replaced.
     """
     scratch = Scratch(docs.sparkSession, "mixing")

@@ -222,7 +222,7 @@ def near_duplicates(docs: DataFrame, *, percent: int = 80, size: int = 5, id_col
     NULL and empty texts and texts without words have 0 shingles, no links and their own
     id as component id. Rows are judged by text, so repeated rows and ids give repeated rows;
     NULL ids are ignored by the least id (a group of only NULL ids has a NULL one). An
-    empty table gives an empty result; other columns are ignored.
+    empty table gives an empty result; other columns are ignored. Sets of very long texts are whole.
     """
     spark = docs.sparkSession
     scratch, scheme = Scratch(spark, "near"), Scheme.of(percent)

@@ -166,7 +166,8 @@ def score(docs: DataFrame, model: Model, *, text: str = "text", keep: list[str]
 
     NULL and empty texts get the score of a text without any known word. Rows are scored
     one by one from their text alone, so repeated rows repeat; an empty table gives an
-    empty result. Columns of the input with the new names are replaced.
+    empty result. Columns of the input with the new names are replaced. A very long text is scored whole;
+    texts of equal words have equal scores, so there are no ties to break.
     """
     keep = [c for c in (docs.columns if keep is None else keep) if c not in ("score", "predicted")]
     # Fixed size: a weight per feature.
