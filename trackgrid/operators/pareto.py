@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from heapq import heapify, heappop, heappush
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -73,15 +76,34 @@ def _flattest(x: np.ndarray, y: np.ndarray, keep: int) -> np.ndarray:
         span = v.max() - v.min()
         return (v - v.min()) / (span if span > 0 else 1.0)
 
-    points = np.column_stack([unit(x.astype(float)), unit(y.astype(float))])
-    alive = np.arange(len(points))
-    while len(alive) > max(keep, 2):
-        p = points[alive]
-        back, ahead = p[:-2] - p[1:-1], p[2:] - p[1:-1]
-        size = np.linalg.norm(back, axis=1) * np.linalg.norm(ahead, axis=1)
-        cos = np.where(size > 0, (back * ahead).sum(axis=1) / np.where(size > 0, size, 1.0), -1.0)
-        alive = np.delete(alive, 1 + int(np.argmin(cos)))
-    return alive
+    px, py = unit(x.astype(float)), unit(y.astype(float))
+
+    def angle(i, before, after):
+        back, ahead = (px[before] - px[i], py[before] - py[i]), (px[after] - px[i], py[after] - py[i])
+        size = np.sqrt(back[0] * back[0] + back[1] * back[1]) * np.sqrt(ahead[0] * ahead[0] + ahead[1] * ahead[1])
+        return np.where(size > 0, (back[0] * ahead[0] + back[1] * ahead[1]) / np.where(size > 0, size, 1.0), -1.0)
+
+    n = len(px)
+    inner = np.arange(1, n - 1)
+    cos = np.r_[np.nan, angle(inner, inner - 1, inner + 1), np.nan]
+    before, after, alive = list(range(-1, n - 1)), list(range(1, n + 1)), np.ones(n, bool)
+    widest = [(c, i) for i, c in zip(inner.tolist(), cos[1:-1].tolist())]
+    heapify(widest)
+    # A removal changes its two neighbours only; their old entries no longer agree with ``cos`` and are passed over.
+    left = n
+    while left > max(keep, 2):
+        c, i = heappop(widest)
+        if not alive[i] or c != cos[i]:
+            continue
+        alive[i] = False
+        left -= 1
+        a, b = before[i], after[i]
+        after[a], before[b] = b, a
+        for k in (a, b):
+            if 0 < k < n - 1:
+                cos[k] = angle(k, before[k], after[k])
+                heappush(widest, (float(cos[k]), k))
+    return np.flatnonzero(alive)
 
 
 def pareto_prune(front: DataFrame, x: str, y: str, points: int, *, min_x: bool, by: list[str]) -> DataFrame:
@@ -89,7 +111,8 @@ def pareto_prune(front: DataFrame, x: str, y: str, points: int, *, min_x: bool,
 
     A group here is a front, at most one row per distinct parameter set of the
     configured grid, so its size is bounded by configuration and not by the data.
-    The removals of one front depend on each other; fronts are independent.
+    The removals of one front depend on each other; fronts are independent. A heap of angles makes a front of
+    n rows cost n log n.
     """
     columns = front.columns
 
@@ -108,16 +131,20 @@ def interp_at(df: DataFrame, queries: DataFrame, x: str, y: str, by: list[str],
 
     Queries and curve points of a group share ordered windows over blocks of the axis,
     so the enclosing segment is found without pairing queries with segments and
-    without sorting a whole group in one task.
+    without sorting a whole group in one task. Each group's axis is cut at its own
+    quantiles, a partial aggregation; nothing runs while the query is planned.
     """
     curve = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).groupBy(*by, F.col(x).cast("double").alias("_x")).agg(
         F.max(F.col(y).cast("double")).alias("_y"))
     asked = queries.select(*by, F.col("query_point").cast("double").alias("_x"), F.lit(None).cast("double").alias("_y"),
                            F.lit(True).alias("_q"))
     line = curve.withColumn("_q", F.lit(False)).unionByName(asked)
-    # The axis is cut at the table's quantiles; each block also gets the nearest curve points outside it.
-    cuts = line.agg(F.percentile_approx("_x", [i / blocks for i in range(1, blocks)], 1000).alias("c")).first()["c"] or []
-    line = line.withColumn("_blk", sum((F.when(F.col("_x") > c, 1).otherwise(0) for c in sorted(set(cuts))), F.lit(0)))
+    # Any cuts give the same result; quantiles make the blocks even. Each block also gets the nearest curve points outside it.
+    cuts = line.groupBy(*[F.col(c).alias(f"_k_{c}") for c in by]).agg(
+        F.percentile_approx("_x", [i / blocks for i in range(1, blocks)], 1000).alias("_cuts"))
+    same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_k_{c}")) for c in by], F.lit(True))
+    blk = F.size(F.coalesce(F.filter("_cuts", lambda c: F.col("_x") > c), F.array()))
+    line = line.join(cuts, same).withColumn("_blk", blk).drop("_cuts", *[f"_k_{c}" for c in by])
     point = F.when(~F.col("_q"), F.struct("_x", "_y"))
     ends = line.groupBy(*by, "_blk").agg(F.max(point).alias("_hi"), F.min(point).alias("_lo"))
     over = Window.partitionBy(*by).orderBy("_blk")
