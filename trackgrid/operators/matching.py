@@ -6,6 +6,7 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, StructField, StructType
@@ -14,8 +15,6 @@ from trackgrid.functions import geometry as g
 from trackgrid.operators.joins import iou_join, overlap_pairs
 from trackgrid.scale import materialize
 
-#: Frames that are matched together in one task's group.
-FRAMES_PER_GROUP = 64
 #: Frames that are matched one after the other in one group, where a match depends on the frame before.
 FRAMES_PER_STATE = 1024
 
@@ -31,25 +30,55 @@ def _taken(left: np.ndarray, right: np.ndarray) -> np.ndarray:
     return out
 
 
+def _frame_numbers(batch: pa.RecordBatch, keys: list[str], ids: list[str]) -> tuple[pd.DataFrame, np.ndarray]:
+    """The ids of a batch, and for each row the number of its frame within the batch."""
+    table = batch.select([*keys, *ids]).to_pandas()
+    return table, table.groupby(keys, sort=False, dropna=False).ngroup().to_numpy()
+
+
+def _matcher(keys: list[str], left: list[str], right: list[str], columns: list[str]):
+    """Task on pairs in order of frames, best pair first: the pairs that find both ends free.
+
+    Frames that lie within a batch are settled at once. A frame that goes on in the next batch leaves
+    behind which of its boxes are taken.
+    """
+    def match(batches):
+        last, used = None, (set(), set())
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            table, number = _frame_numbers(batch, keys, [*left, *right])
+            taken = _taken(*[table.groupby([*keys, *side], sort=False, dropna=False).ngroup().to_numpy() for side in (left, right)])
+            for n in sorted({0, int(number[-1])}):
+                rows = np.flatnonzero(number == n)
+                key = tuple(batch.column(k)[int(rows[0])].as_py() for k in keys)
+                if key != last:
+                    last, used = key, (set(), set())
+                some = table.iloc[rows]
+                ends = [list(zip(*[some[c].tolist() for c in side])) for side in (left, right)]
+                for i, a, b in zip(rows.tolist(), *ends):
+                    taken[i] = a not in used[0] and b not in used[1]
+                    if taken[i]:
+                        used[0].add(a)
+                        used[1].add(b)
+            yield batch.select(columns).filter(pa.array(taken))
+
+    return match
+
+
 def match_in_frames(pairs: DataFrame, within: list[str], frame: str, left: list[str], right: list[str], order: list[Column]) -> DataFrame:
     """Greedy one-to-one subset of the candidate pairs of each frame, best pair first.
 
     ``order`` ranks pairs (larger is better); ties go to the smaller left, then right id.
-    Pairs of different frames never compete, so one shuffle by (video, run of frames) makes groups of
-    bounded size and each is matched in place: no rounds, however long a chain of
-    preferences is.
+    Pairs of different frames never compete: pairs are dealt by frame, sorted (Spark spills) and read as
+    a stream. A task holds one batch and the ids taken in the current frame, so a frame
+    with a third of all boxes, or with many copies of one box, needs memory for its boxes, not for its pairs.
     """
     ranks = [f"_o{i}" for i in range(len(order))]
-    ranked = pairs.withColumns(dict(zip(ranks, order))).withColumn("_run", F.floor(F.col(frame) / FRAMES_PER_GROUP))
-    keys, columns = list(dict.fromkeys([*within, frame])), pairs.columns
-
-    def match(batch: pd.DataFrame) -> pd.DataFrame:
-        batch = batch.sort_values([*ranks, *left, *right], ascending=[False] * len(ranks) + [True] * (len(left) + len(right)), kind="stable")
-        ends = [batch.groupby([*keys, *side], sort=False, dropna=False).ngroup().to_numpy() for side in (left, right)]
-        return batch.loc[_taken(*ends), columns]
-
-    groups = list(dict.fromkeys([c for c in within if c != frame] + ["_run"]))
-    return ranked.groupBy(*groups).applyInPandas(match, pairs.schema)
+    keys = list(dict.fromkeys([*within, frame]))
+    dealt = pairs.withColumns(dict(zip(ranks, order))).repartition(*keys)
+    ranked = dealt.sortWithinPartitions(*keys, *[F.col(r).desc() for r in ranks], *left, *right)
+    return ranked.drop(*ranks).mapInArrow(_matcher(keys, left, right, pairs.columns), pairs.schema)
 
 
 def _continued(frame: str, left: str, right: str, rank: str):
@@ -169,8 +198,8 @@ def nms(df: DataFrame, threshold: float, frame: list[str] | None = None, key: st
     """Non-maximum suppression per frame: keep the best box, drop those overlapping it too much.
 
     Overlap counts whole pixels. Only pairs at or above ``threshold`` become edges. A box is kept
-    if no kept stronger neighbour drops it; the strongest box with edges decides first. Frames
-    are independent, so one shuffle by (video, run of frames) settles all of them.
+    if no kept stronger neighbour drops it; the strongest box with edges decides first. Edges
+    are dealt by frame, sorted and read as a stream; a task holds one batch and the boxes dropped in the current frame.
     """
     frame = frame or ["video", "frame_idx"]
     ids = [*frame, key]
@@ -183,20 +212,26 @@ def nms(df: DataFrame, threshold: float, frame: list[str] | None = None, key: st
     stronger = (F.col(f"l_{score}") > F.col(f"r_{score}")) | (
         (F.col(f"l_{score}") == F.col(f"r_{score}")) & (F.col(f"l_{key}") > F.col(f"r_{key}")))
     edges = pairs.where(stronger & (g.iou_plus1(real_a, real_b) >= threshold)).select(*frame, f"l_{key}", f"r_{key}", f"l_{score}")
-    edges = edges.withColumn("_run", F.floor(F.col(frame[-1]) / FRAMES_PER_GROUP))
-    lost = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.select(*ids).schema)
-
-    def suppressed(batch: pd.DataFrame) -> pd.DataFrame:
-        batch = batch.sort_values([f"l_{score}", f"l_{key}"], ascending=False, kind="stable")
-        boxes = pd.concat([batch[[*frame, f"{s}_{key}"]].set_axis(ids, axis=1) for s in ("l", "r")])
-        number = boxes.groupby(ids, sort=False, dropna=False).ngroup().to_numpy()
-        strong, weak = number[:len(batch)], number[len(batch):]
-        gone = np.zeros(number.max() + 1, bool)
-        # Every edge into a box comes before the edges out of it, as strong ends are in order.
-        for s, w in zip(strong, weak):
-            if not gone[s]:
-                gone[w] = True
-        return boxes[gone[number]].drop_duplicates()
-
-    groups = list(dict.fromkeys([*frame[:-1], "_run"]))
-    return df.join(edges.groupBy(*groups).applyInPandas(suppressed, lost), ids, "left_anti")
+    dealt = edges.repartition(*frame).sortWithinPartitions(*frame, F.col(f"l_{score}").desc(), F.col(f"l_{key}").desc())
+    lost = df.select(*ids).schema
+
+    def suppressed(batches):
+        last, gone = None, set()
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            table, number = _frame_numbers(batch, frame, [f"l_{key}", f"r_{key}"])
+            first, out, current = tuple(batch.column(k)[0].as_py() for k in frame), [], 0
+            gone = gone if first == last else set()
+            # Every edge into a box comes before the edges out of it, as strong ends are in order.
+            for i, (n, strong, weak) in enumerate(zip(number.tolist(), table[f"l_{key}"].tolist(), table[f"r_{key}"].tolist())):
+                if n != current:
+                    gone, current = set(), n
+                if strong not in gone and weak not in gone:
+                    gone.add(weak)
+                    out.append(i)
+            last = tuple(batch.column(k)[batch.num_rows - 1].as_py() for k in frame)
+            kept = batch.select([*frame, f"r_{key}"]).take(pa.array(out, pa.int64()))
+            yield pa.RecordBatch.from_arrays(kept.columns, names=ids)
+
+    return df.join(dealt.mapInArrow(suppressed, lost), ids, "left_anti")
