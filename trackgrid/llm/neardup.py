@@ -155,6 +155,33 @@ def _full_sets(text: str, size: int):
     return start
 
 
+def _numbered(sets: list[np.ndarray], total: int) -> tuple[np.ndarray, int]:
+    """The sets' elements one after another as small numbers, and how many differ.
+
+    Set by set into 32-bit numbers, as a block may fill a good part of a task's memory.
+    """
+    known = np.empty(total, np.uint64)
+    np.concatenate(sets, out=known)
+    known.sort()
+    known = known[np.r_[True, known[1:] != known[:-1]]]
+    element, at = np.empty(total, np.int32), 0
+    for s in sets:
+        element[at:at + len(s)] = np.searchsorted(known, s)
+        at += len(s)
+    return element, len(known)
+
+
+def _views(column: pa.ChunkedArray, kind) -> list[np.ndarray]:
+    """The binary values of a column as arrays on its own buffers."""
+    out = []
+    for chunk in column.chunks:
+        offsets = np.frombuffer(chunk.buffers()[1], np.int64 if pa.types.is_large_binary(chunk.type) else np.int32)
+        offsets = offsets[chunk.offset:chunk.offset + len(chunk) + 1]
+        width = np.dtype(kind).itemsize
+        out += [np.frombuffer(chunk.buffers()[2], kind, (b - a) // width, a) for a, b in zip(offsets.tolist(), offsets[1:].tolist())]
+    return out
+
+
 def confirmed_links(minima: np.ndarray, sets: list[np.ndarray], side: np.ndarray, percent: int, most: int) -> list[tuple[int, int]]:
     """Links between sets of similarity ``percent`` or more that join their groups, as places.
 
@@ -164,8 +191,8 @@ def confirmed_links(minima: np.ndarray, sets: list[np.ndarray], side: np.ndarray
     n = len(sets)
     size = np.array([len(s) for s in sets])
     ends = np.cumsum(size)
-    _, element = np.unique(np.concatenate(sets), return_inverse=True)
-    marked = np.zeros(int(element.max()) + 1, bool)
+    element, distinct = _numbered(sets, int(ends[-1]))
+    marked = np.zeros(distinct, bool)
     group, links = np.arange(n), []
     both = side.any() and not side.all()
     left, right = (np.flatnonzero(side == 0), np.flatnonzero(side == 1)) if both else (np.arange(n), None)
@@ -198,11 +225,13 @@ def confirmed_links(minima: np.ndarray, sets: list[np.ndarray], side: np.ndarray
 def _confirm(percent: int, scheme: Scheme):
     """Task on one pair of blocks of a family: its links."""
     def work(table: pa.Table) -> pa.Table:
-        table = table.sort_by("node")
-        node = table.column("node").to_numpy()
-        minima = np.frombuffer(b"".join(table.column("sketch").to_pylist()), np.uint16).reshape(-1, scheme.hashes)
-        sets = [np.frombuffer(s, np.uint64) for s in table.column("items").to_pylist()]
-        links = confirmed_links(minima, sets, (table.column("block").to_numpy() != table.column("i").to_numpy()).astype(np.int8), percent, scheme.distance)
+        # Rows in order of their nodes, without moving the sets.
+        order = np.argsort(table.column("node").to_numpy(), kind="stable")
+        node = table.column("node").to_numpy()[order]
+        minima = np.stack(_views(table.column("sketch"), np.uint16))[order]
+        sets = _views(table.column("items"), np.uint64)
+        side = (table.column("block").to_numpy() != table.column("i").to_numpy()).astype(np.int8)
+        links = confirmed_links(minima, [sets[k] for k in order], side[order], percent, scheme.distance)
         return pa.table({"a": pa.array([node[a] for a, _ in links], pa.int64()), "b": pa.array([node[b] for _, b in links], pa.int64())})
 
     return work
